@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketclime.operators import names, prices, profiles, quality
-from marketclime.sources import reference
+from marketclime.operators import climate, ingest, names, prices, profiles, quality, water, yields
+from marketclime.sources import reference, state
 from standin import views
 
+FROST = (0.0, 2.0, 8.0)
+BASE, CAP, FW, EFFICIENCY = 8.0, 30.0, 0.4, 0.9
+SHORT_SWEEP = [(2, 15), (4, 15), (9, 1)]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -196,3 +200,249 @@ def days_per_year(spark, sf_dir):
 @query
 def frequent_items(spark, sf_dir):
     return profiles.frequent_items(views.observations(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- climate
+
+
+@query
+def complete_years(spark, sf_dir):
+    weather = views.weather(spark, sf_dir)
+    return climate.complete_years(weather, ["tmax"])
+
+
+@query
+def monthly_climatology(spark, sf_dir):
+    return tidy(climate.monthly_climatology(views.weather(spark, sf_dir)))
+
+
+@query
+def monthly_climatology_totals(spark, sf_dir):
+    return tidy(climate.monthly_climatology_totals(views.weather(spark, sf_dir)))
+
+
+@query
+def heat_days(spark, sf_dir):
+    return tidy(climate.heat_days(views.weather(spark, sf_dir), (30.0, 33.0, 35.0)))
+
+
+@query
+def hydro_rain(spark, sf_dir):
+    return tidy(climate.hydro_rain(views.weather(spark, sf_dir)))
+
+
+@query
+def hydro_rain_distribution(spark, sf_dir):
+    return tidy(climate.hydro_rain_distribution(climate.hydro_rain(views.weather(spark, sf_dir))))
+
+
+@query
+def extreme_seasons(spark, sf_dir):
+    return tidy(climate.extreme_seasons(climate.hydro_rain(views.weather(spark, sf_dir)), 2))
+
+
+@query
+def frost_dates(spark, sf_dir):
+    return climate.frost_dates(views.weather(spark, sf_dir), FROST)
+
+
+@query
+def frost_summary(spark, sf_dir):
+    return tidy(climate.frost_summary(views.weather(spark, sf_dir), FROST))
+
+
+@query
+def gdd_days_to_target(spark, sf_dir):
+    return tidy(climate.gdd_days_to_target(views.weather(spark, sf_dir), 3, 15, 10.0))
+
+
+@query
+def daily_payload(spark, sf_dir):
+    return tidy(climate.daily_payload(views.weather(spark, sf_dir)))
+
+
+@query
+def weather_checks(spark, sf_dir):
+    return tidy(climate.weather_checks(views.weather(spark, sf_dir)))
+
+
+@query
+def ingest_metadata(spark, sf_dir):
+    return climate.ingest_metadata(views.weather(spark, sf_dir))
+
+
+@query
+def weather_merge(spark, sf_dir):
+    return tidy(ingest.merge_weather(views.archive_rows(spark, sf_dir), views.recent_rows(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- incremental ingest
+
+
+@query
+def missing_days(spark, sf_dir):
+    rows = views.observations(spark, sf_dir).filter(F.dayofmonth("date") != 13)
+    bounds = rows.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return ingest.missing_days(bounds, rows, views.no_bulletin(spark, sf_dir))
+
+
+@query
+def wanted_days(spark, sf_dir):
+    rows = views.observations(spark, sf_dir).filter(F.dayofmonth("date") % 4 != 1)
+    today = rows.agg(F.date_add(F.max("date"), 3)).scalar()
+    return ingest.wanted_days(today, rows, views.no_bulletin(spark, sf_dir), lookback=60, max_fetch=10)
+
+
+@query
+def unfetched_days(spark, sf_dir):
+    orders = views.table(spark, sf_dir, "orders")
+    bounds = orders.agg(
+        F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last")
+    )
+    return ingest.unfetched_days(bounds, views.checkpoint_entries(spark, sf_dir))
+
+
+@query
+def checkpoint_statuses(spark, sf_dir):
+    return state.status_counts(views.checkpoint_entries(spark, sf_dir))
+
+
+@query
+def upsert_new_rows(spark, sf_dir):
+    rows = views.observations(spark, sf_dir)
+    stored = rows.filter(F.col("ordinal") % 3 != 0)
+    batch = rows.filter(F.col("ordinal") % 3 == 0)
+    merged = ingest.upsert_new_rows(stored, batch, dedupe_batch=True)
+    return merged.select("date", "item", "ordinal", "price_mode")
+
+
+@query
+def observation_state(spark, sf_dir):
+    table = ingest.observation_state(views.observations(spark, sf_dir), views.no_bulletin(spark, sf_dir))
+    return table.select(
+        "first", "last", "days_with_data", F.concat_ws(",", F.col("no_bulletin").cast("array<string>")).alias("absent")
+    )
+
+
+# ---------------------------------------------------------------- crop water demand
+
+
+def water_setup(spark, sf_dir):
+    weather = views.weather(spark, sf_dir)
+    return weather, water.calibration_years(weather), views.crops(spark)
+
+
+def seasons_of(spark, sf_dir, dates, **options):
+    weather, years, variants = water_setup(spark, sf_dir)
+    calibrated = water.calibrated_variants(weather, years, variants, BASE, CAP)
+    return water.evaluate(calibrated, weather, years, dates, FW, EFFICIENCY, CAP, rain_fraction=0.5, **options)
+
+
+@query
+def reference_runs(spark, sf_dir):
+    weather, years, variants = water_setup(spark, sf_dir)
+    return tidy(water.reference_runs(weather, years, variants, [BASE], CAP))
+
+
+@query
+def gdd_requirement(spark, sf_dir):
+    weather, years, variants = water_setup(spark, sf_dir)
+    needs = water.gdd_requirement(water.reference_runs(weather, years, variants, [BASE], CAP))
+    return tidy(
+        needs.select(
+            "site_id", "crop_id", "variant", "base", "years", *[F.col("requirement")[i].alias(f"need{i}") for i in range(4)]
+        )
+    )
+
+
+@query
+def thermal_envelope(spark, sf_dir):
+    weather, years, variants = water_setup(spark, sf_dir)
+    bounds = water.thermal_envelope(water.reference_runs(weather, years, variants, [BASE], CAP))
+    return tidy(
+        bounds.select(
+            "site_id",
+            "crop_id",
+            "variant",
+            "base",
+            *[F.col("lowest")[i].alias(f"low{i}") for i in range(4)],
+            *[F.col("highest")[i].alias(f"high{i}") for i in range(4)],
+        )
+    )
+
+
+@query
+def stage_lengths(spark, sf_dir):
+    weather, years, variants = water_setup(spark, sf_dir)
+    calibrated = water.calibrated_variants(weather, years, variants, BASE, CAP)
+    candidates = water.planting_candidates(calibrated, years, SHORT_SWEEP)
+    grown = water.stage_lengths(candidates, weather, years, CAP)
+    return grown.select(*water.CANDIDATE, *water.STAGES)
+
+
+SEASON_COLUMNS = [
+    *water.CANDIDATE,
+    "start",
+    "end",
+    "season_days",
+    "et0_mm",
+    "etc_mm",
+    "rain_mm",
+    "gross_mm",
+    "kc_ini_used",
+    "kc_mid_used",
+    "kc_end_used",
+    "u2_mid",
+    "rhmin_mid",
+    "frost_days",
+    "coldest",
+    "heat_days",
+    "hottest",
+    "thermal_ok",
+    "thermal_worst",
+    "thermal_dev",
+]
+
+
+def season_table(seasons):
+    return tidy(
+        seasons.select(
+            *SEASON_COLUMNS,
+            *[F.col("etc_by_stage")[i].alias(f"etc{i}") for i in range(4)],
+            *[F.col("stage_temp")[i].alias(f"temp{i}") for i in range(4)],
+        )
+    )
+
+
+@query
+def season_run(spark, sf_dir):
+    return season_table(seasons_of(spark, sf_dir, SHORT_SWEEP))
+
+
+@query
+def fixed_length_seasons(spark, sf_dir):
+    return season_table(seasons_of(spark, sf_dir, SHORT_SWEEP, fixed_days=True))
+
+
+@query
+def planting_sweep(spark, sf_dir):
+    return tidy(water.planting_sweep(seasons_of(spark, sf_dir, water.sweep_dates(15)), max_heat_days=20), 3)
+
+
+@query
+def planting_summary(spark, sf_dir):
+    return tidy(water.planting_summary(seasons_of(spark, sf_dir, [(4, 15)])), 3)
+
+
+@query
+def gdd_sensitivity(spark, sf_dir):
+    weather, years, variants = water_setup(spark, sf_dir)
+    return tidy(water.gdd_sensitivity(weather, years, variants, (5.0, 10.0, 12.0), CAP))
+
+
+# ---------------------------------------------------------------- yields
+
+
+@query
+def yield_summary(spark, sf_dir):
+    return tidy(yields.yield_summary(views.yield_crops(spark, sf_dir), views.yield_rows(spark, sf_dir)))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketclime.operators.quality import with_order_ok
+from marketclime.sources.state import checkpoint_rows
 from marketclime.sources.tables import with_ordinal
 
 PRELIMINARY_FROM = "2001-10-06"
@@ -176,3 +177,109 @@ mapping as (
   from part),
 crops_of as (select item, crop_id from mapping where crop_id not in ('', 'ignore'))"""
 )
+
+# crop, variant, ini, dev, mid, late, months, kc_ini, kc_mid, kc_end, height, frost_tolerant, heat_threshold
+CROP_ROWS = [
+    ("alpha", 0, 25, 35, 40, 20, [4, 6], 0.6, 1.05, 0.90, 0.7, False, 34.0),
+    ("alpha", 1, 30, 40, 50, 30, [10], 0.6, 1.05, 0.90, 0.7, False, 34.0),
+    ("beta", 0, 35, 50, 40, 15, [9], 0.7, 1.05, 0.40, 0.4, True, None),
+    ("gamma", 0, 20, 30, 30, 30, [5], 0.5, 1.00, 0.75, 0.3, False, None),
+    ("gamma", 1, 25, 35, 45, 10, [3, 8], 0.5, 1.00, 0.75, 0.3, False, None),
+]
+CROP_DDL = (
+    "crop_id string, variant int, ini int, dev int, mid int, late int, months array<int>, kc_ini double, "
+    "kc_mid double, kc_end double, height double, frost_tolerant boolean, heat_threshold double"
+)
+
+
+def crops(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CROP_ROWS, CROP_DDL)
+
+
+def _sql_value(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return str(v).lower()
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+CROP_SQL = (
+    "crops(crop_id, variant, ini, dev, mid, late, months, kc_ini, kc_mid, kc_end, height, frost_tolerant, "
+    "heat_threshold) as (values "
+    + ", ".join("(" + ", ".join(_sql_value(v) for v in row) + ")" for row in CROP_ROWS)
+    + ")"
+)
+
+
+def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled source: the weather view, with tmax missing on the 7th of each month."""
+    return (
+        weather(spark, sf_dir)
+        .select("site_id", "date", "tmax", "tmin", "precip")
+        .withColumn("tmax", F.when(F.dayofmonth("date") != 7, F.col("tmax")))
+        .withColumn("ordinal", F.lit(0).cast("long"))
+    )
+
+
+def recent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preliminary source: order dates at site 0; several orders a day, the last one wins."""
+    orders = with_ordinal(table(spark, sf_dir, "orders"))
+    return orders.select(
+        F.lit(0).cast("long").alias("site_id"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        (F.col("o_totalprice") % 40).alias("tmax"),
+        (F.col("o_totalprice") % 10).alias("tmin"),
+        F.lit(None).cast("double").alias("precip"),
+        "ordinal",
+    )
+
+
+def no_bulletin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates taken as confirmed to have no bulletin: the first of March and the 13th of May."""
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    return days.filter(F.date_format("date", "MM-dd").isin("03-01", "05-13"))
+
+
+def checkpoint_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoint rows read back from JSON objects of order date to status."""
+    orders = table(spark, sf_dir, "orders")
+    status = (
+        F.when(F.col("o_orderstatus") == "F", "ok")
+        .when(F.col("o_orderstatus") == "O", "empty")
+        .otherwise("empty_confirmed")
+    )
+    rows = orders.select(F.col("o_orderdate").cast("date").cast("string").alias("day"), status.alias("status"))
+    per_day = rows.groupBy("day").agg(F.max("status").alias("status"))
+    documents = per_day.select(
+        F.to_json(F.create_map("day", F.struct("status", F.lit(1).alias("rows")))).alias("value")
+    )
+    return checkpoint_rows(documents)
+
+
+def yield_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yield rows: one per line item, item by part, year by ship date, four units and an unknown one."""
+    lines = table(spark, sf_dir, "lineitem")
+    unit = F.array(*[F.lit(u) for u in YIELD_UNITS])
+    return lines.select(
+        (F.col("l_partkey") % 7).cast("string").alias("item_code"),
+        F.year("l_shipdate").alias("year"),
+        F.col("l_quantity").alias("value"),
+        F.when(F.col("l_partkey") % 7 == 6, "bushels").otherwise(
+            F.get(unit, (F.col("l_linenumber") % 4).cast("int"))
+        ).alias("unit"),
+    )
+
+
+YIELD_UNITS = ["hg/ha", "kg/ha", "t / ha", "100 g/ha"]
+
+
+def yield_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crop list by part size; crops share items, and items 7 and up have no rows."""
+    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
+    return sizes.select(
+        F.concat(F.lit("crop"), F.col("p_size").cast("string")).alias("crop"),
+        (F.col("p_size") % 9).cast("string").alias("item_code"),
+        F.concat(F.lit("item "), (F.col("p_size") % 9).cast("string")).alias("label"),
+        F.lit(None).cast("string").alias("caveat"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from standin.views import CLEAN_SQL, OBS_SQL, WEATHER_SQL
+from standin.views import CLEAN_SQL, OBS_SQL
 
 MONTHS = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
 

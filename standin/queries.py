@@ -341,7 +341,7 @@ def seasons_of(spark, sf_dir, dates, **options):
 @query
 def reference_runs(spark, sf_dir):
     weather, years, variants = water_setup(spark, sf_dir)
-    return tidy(water.reference_runs(weather, years, variants, [BASE], CAP))
+    return tidy(water.reference_runs(weather, years, variants, [BASE], CAP), 6)
 
 
 @query
@@ -351,7 +351,8 @@ def gdd_requirement(spark, sf_dir):
     return tidy(
         needs.select(
             "site_id", "crop_id", "variant", "base", "years", *[F.col("requirement")[i].alias(f"need{i}") for i in range(4)]
-        )
+        ),
+        6,
     )
 
 
@@ -367,7 +368,8 @@ def thermal_envelope(spark, sf_dir):
             "base",
             *[F.col("lowest")[i].alias(f"low{i}") for i in range(4)],
             *[F.col("highest")[i].alias(f"high{i}") for i in range(4)],
-        )
+        ),
+        6,
     )
 
 
@@ -410,7 +412,8 @@ def season_table(seasons):
             *SEASON_COLUMNS,
             *[F.col("etc_by_stage")[i].alias(f"etc{i}") for i in range(4)],
             *[F.col("stage_temp")[i].alias(f"temp{i}") for i in range(4)],
-        )
+        ),
+        6,
     )
 
 
@@ -426,12 +429,12 @@ def fixed_length_seasons(spark, sf_dir):
 
 @query
 def planting_sweep(spark, sf_dir):
-    return tidy(water.planting_sweep(seasons_of(spark, sf_dir, water.sweep_dates(15)), max_heat_days=20), 3)
+    return tidy(water.planting_sweep(seasons_of(spark, sf_dir, water.sweep_dates(15)), max_heat_days=20), 6)
 
 
 @query
 def planting_summary(spark, sf_dir):
-    return tidy(water.planting_summary(seasons_of(spark, sf_dir, [(4, 15)])), 3)
+    return tidy(water.planting_summary(seasons_of(spark, sf_dir, [(4, 15)])), 6)
 
 
 @query

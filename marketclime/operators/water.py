@@ -33,6 +33,7 @@ from marketclime.functions.agronomy import (
 )
 from marketclime.functions.calendar import date_of, day_label
 from marketclime.operators.climate import complete_years
+from marketclime.session import cut_lineage
 
 MAX_SEASON_DAYS = 400
 MAX_VARIANTS = 10_000
@@ -43,8 +44,8 @@ CANDIDATE = ("site_id", "year", "crop_id", "variant", "month", "day")
 
 
 def calibration_years(weather: DataFrame, min_days: int = 360) -> DataFrame:
-    """Complete years for water work: enough settled days with ET0."""
-    return complete_years(weather, ["et0"], min_days).select("site_id", "year")
+    """Complete years for water work: enough settled days with ET0. Written out, as every later step uses it."""
+    return cut_lineage(complete_years(weather, ["et0"], min_days).select("site_id", "year"), "years")
 
 
 def season_blocks(weather: DataFrame, years: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def calibrated_variants(
     pool: bool = True,
 ) -> DataFrame:
     """Variants of each site with heat requirement and thermal envelope; uncalibrated ones drop out."""
-    runs = reference_runs(weather, years, variants, [base], cap)
+    runs = cut_lineage(reference_runs(weather, years, variants, [base], cap), "reference-runs")
     keys = ["site_id", "crop_id", "variant", "base"]
     limits = gdd_requirement(runs).join(thermal_envelope(runs, pool), keys)
     return limits.withColumnRenamed("years", "reference_years").join(variants, ["crop_id", "variant"])

@@ -24,10 +24,20 @@ def query(fn):
     return fn
 
 
-def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every double column."""
-    doubles = {f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)}
-    return df.select(*[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
+# stage temperatures are short decimals that often end in a tie at six places
+FINE = ("temp", "low", "high", "thermal_dev", "worst", "envelope")
+
+
+def tidy(df: DataFrame, digits: int = 4, fine: int | None = None) -> DataFrame:
+    """Round every double column; the ``FINE`` ones to ``fine`` digits if given."""
+
+    def column(field):
+        if not isinstance(field.dataType, T.DoubleType):
+            return F.col(field.name)
+        places = fine if fine and field.name.startswith(FINE) else digits
+        return F.round(field.name, places).alias(field.name)
+
+    return df.select(*[column(f) for f in df.schema])
 
 
 def clean(spark, sf_dir):
@@ -341,7 +351,7 @@ def seasons_of(spark, sf_dir, dates, **options):
 @query
 def reference_runs(spark, sf_dir):
     weather, years, variants = water_setup(spark, sf_dir)
-    return tidy(water.reference_runs(weather, years, variants, [BASE], CAP), 6)
+    return tidy(water.reference_runs(weather, years, variants, [BASE], CAP), 6, fine=9)
 
 
 @query
@@ -353,6 +363,7 @@ def gdd_requirement(spark, sf_dir):
             "site_id", "crop_id", "variant", "base", "years", *[F.col("requirement")[i].alias(f"need{i}") for i in range(4)]
         ),
         6,
+        fine=9,
     )
 
 
@@ -370,6 +381,7 @@ def thermal_envelope(spark, sf_dir):
             *[F.col("highest")[i].alias(f"high{i}") for i in range(4)],
         ),
         6,
+        fine=9,
     )
 
 
@@ -414,6 +426,7 @@ def season_table(seasons):
             *[F.col("stage_temp")[i].alias(f"temp{i}") for i in range(4)],
         ),
         6,
+        fine=9,
     )
 
 
@@ -429,12 +442,12 @@ def fixed_length_seasons(spark, sf_dir):
 
 @query
 def planting_sweep(spark, sf_dir):
-    return tidy(water.planting_sweep(seasons_of(spark, sf_dir, water.sweep_dates(15)), max_heat_days=20), 6)
+    return tidy(water.planting_sweep(seasons_of(spark, sf_dir, water.sweep_dates(15)), max_heat_days=20), 6, fine=9)
 
 
 @query
 def planting_summary(spark, sf_dir):
-    return tidy(water.planting_summary(seasons_of(spark, sf_dir, [(4, 15)])), 6)
+    return tidy(water.planting_summary(seasons_of(spark, sf_dir, [(4, 15)])), 6, fine=9)
 
 
 @query

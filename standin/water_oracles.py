@@ -328,9 +328,9 @@ SEASON_SELECT = """select site_id, year, crop_id, variant, month, day, start, st
   round(hottest, 6) as hottest, thermal_dev = 0 as thermal_ok,
   case when thermal_dev = 0 then null when d0 = thermal_dev then 0 when d1 = thermal_dev then 1
        when d2 = thermal_dev then 2 else 3 end as thermal_worst,
-  round(thermal_dev, 6) as thermal_dev,
+  round(thermal_dev, 9) as thermal_dev,
   round(etc0, 6) as etc0, round(etc1, 6) as etc1, round(etc2, 6) as etc2, round(etc3, 6) as etc3,
-  round(temp0, 6) as temp0, round(temp1, 6) as temp1, round(temp2, 6) as temp2, round(temp3, 6) as temp3
+  round(temp0, 9) as temp0, round(temp1, 9) as temp1, round(temp2, 9) as temp2, round(temp3, 9) as temp3
 from seasons"""
 
 
@@ -341,7 +341,7 @@ def water(name: str, sql: str, ctes: str = "", runs: str = RUNS) -> None:
 water(
     "reference_runs",
     "select site_id, year, crop_id, variant, month_rank, month, base, "
-    + ", ".join(f"round({c}{i}, 6) as {c}{i}" for c in ("gdd", "temp") for i in range(4))
+    + ", ".join(f"round({c}{i}, {d}) as {c}{i}" for c, d in (("gdd", 6), ("temp", 9)) for i in range(4))
     + " from runs",
 )
 water(
@@ -353,7 +353,7 @@ water(
 water(
     "thermal_envelope",
     "select site_id, crop_id, variant, base, "
-    + ", ".join(f"round({c}{i}, 6) as {c}{i}" for c in ("low", "high") for i in range(4))
+    + ", ".join(f"round({c}{i}, 9) as {c}{i}" for c in ("low", "high") for i in range(4))
     + " from env",
 )
 water(
@@ -399,10 +399,10 @@ water(
   round(avg(kc_ini_used), 6) as kc_ini, round(avg(kc_mid_used), 6) as kc_mid, round(avg(kc_end_used), 6) as kc_end,
   {_WATER_COLUMNS}, '15 Apr' as planted,
   count(*) filter (where frost_days > 0) > 0 and not any_value(frost_tolerant) as exposed,
-  round(any_value(wd), 6) as worst_departure,
+  round(any_value(wd), 9) as worst_departure,
   ['initial','development','mid-season','late'][any_value(ws)] as worst_stage,
-  round(any_value([t0,t1,t2,t3][ws]), 6) as worst_temp,
-  round(any_value([l0,l1,l2,l3][ws]), 6) as envelope_low, round(any_value([h0,h1,h2,h3][ws]), 6) as envelope_high,
+  round(any_value([t0,t1,t2,t3][ws]), 9) as worst_temp,
+  round(any_value([l0,l1,l2,l3][ws]), 9) as envelope_low, round(any_value([h0,h1,h2,h3][ws]), 9) as envelope_high,
   round(median(gross_mm)*15, 6) as m3_15_dunum, round(median(gross_mm)*20, 6) as m3_20_dunum
 from seasons left join bad using (site_id, crop_id, variant)
 group by 1, 2, 3, 4, 5""",

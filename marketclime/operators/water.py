@@ -123,7 +123,7 @@ def reference_runs(
     lengths = [F.col(s) for s in STAGES]
     total = _total(lengths)
     days = _season_days(runs, season_blocks(weather, years), total).select(
-        *CANDIDATE, *STAGES, "month_rank", "start_k", F.inline("days")
+        *CANDIDATE, *STAGES, "month_rank", "start_k", F.inline_outer("days")
     )
     stage = stage_of_day(F.col("k") - F.col("start_k") + 1, *lengths[:3])
     warmth = mean_temperature(F.col("tmin"), F.col("tmax"))
@@ -260,10 +260,9 @@ def stage_lengths(
     blocks = season_blocks(weather, years)
     days = _season_days(candidates, blocks, F.lit(MAX_SEASON_DAYS))
     found = _stage_lengths(F.col("days"), F.col("start_k"), F.col("requirement"), F.col("base"), cap)
-    # as a generator, the fold runs once per candidate and unfinished seasons produce no row
-    finished = F.explode(F.filter(F.array(found), lambda lengths: lengths.isNotNull())).alias("_lengths")
+    # as an outer generator, so that no filter on the result runs the fold again
     kept = [c for c in days.columns if c not in ("days", *STAGES)]
-    sized = days.select(*kept, finished)
+    sized = days.select(*kept, F.explode_outer(F.array(found)).alias("_lengths")).filter(F.col("_lengths").isNotNull())
     lengths = [F.get("_lengths", F.lit(i)).alias(s) for i, s in enumerate(STAGES)]
     return sized.select("*", *lengths).drop("_lengths", "start_k")
 
@@ -331,7 +330,7 @@ def season_run(
         heat.alias("_heat"),
     )
     constants = [*keep, "season_days", "u2_mid", "rhmin_mid", "kc_ini_used", "kc_mid_used", "kc_end_used"]
-    lived = seasons.select(*CANDIDATE, *constants, "_heat", "start_k", F.inline("days"))
+    lived = seasons.select(*CANDIDATE, *constants, "_heat", "start_k", F.inline_outer("days"))
     number = F.col("k") - F.col("start_k") + 1
     kc = kc_on_day(number, ini, dev, mid, late, F.col("kc_ini_used"), F.col("kc_mid_used"), F.col("kc_end_used"))
     daily = lived.select(

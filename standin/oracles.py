@@ -174,8 +174,10 @@ obs(
 from it join (select norm, count(*) as members from it group by norm having count(*) > 1) using (norm)
 left join tog using (norm)""",
     """
-sp as (select case when ordinal % 3 = 0 then replace(item, ' ', '  ') else item end as item, date from obs),
-ds as (select distinct item, regexp_replace(item, '\\s+', ' ', 'g') as norm, date from sp),
+sp as (select case ordinal % 3 when 0 then replace(item, ' ', '  ')
+         when 1 then replace(replace(item, ' ', ' ' || chr(1600) || chr(8203)), 'o', chr(65359)) else item end as item,
+         item as norm, date from obs),
+ds as (select distinct item, norm, date from sp),
 it as (select item, norm, count(*) as days from ds group by item, norm),
 tog as (select norm, max(c) as m from
   (select a.norm, a.item, b.item, count(*) as c from ds a join ds b on a.norm = b.norm and a.date = b.date

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketclime.functions import agronomy, calendar, text
 from marketclime.operators import climate, ingest, names, prices, profiles, quality, water, yields
-from marketclime.sources import reference, state
+from marketclime.session import cut_lineage, scratch_path
+from marketclime.sources import pages, reference, sinks, state
+from marketclime.sources import prices as prices_source
+from marketclime.sources import weather as weather_source
+from marketclime.streaming import ingest as streams
 from standin import views
 
 FROST = (0.0, 2.0, 8.0)
@@ -462,3 +467,179 @@ def gdd_sensitivity(spark, sf_dir):
 @query
 def yield_summary(spark, sf_dir):
     return tidy(yields.yield_summary(views.yield_crops(spark, sf_dir), views.yield_rows(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- pages, payloads, parameters
+
+
+@query
+def page_rows(spark, sf_dir):
+    rows = pages.bulletin_rows(views.pages(spark, sf_dir))
+    return rows.select(
+        "date", "item", "unit", "price_low", "price_mode", "price_high", "quantity", "order_ok", "source_file"
+    )
+
+
+@query
+def requested_page_rows(spark, sf_dir):
+    rows = pages.requested_rows(views.pages(spark, sf_dir))
+    return rows.select("date", "item", "unit", "price_low", "price_mode", "quantity")
+
+
+@query
+def page_counts(spark, sf_dir):
+    return pages.page_counts(views.pages(spark, sf_dir).select("path", "html"))
+
+
+@query
+def bare_pages(spark, sf_dir):
+    """The crawled pages have no bulletin table, so every page counts as empty."""
+    crawled = views.table(spark, sf_dir, "pages").select(F.col("url").alias("path"), "html")
+    counts = pages.page_counts(crawled)
+    return counts.groupBy("row_count").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def columnar_to_rows(spark, sf_dir):
+    rows = weather_source.payload_rows(
+        views.payloads(spark, sf_dir), ["temperature_2m_max", "precipitation_sum", "rain_sum"], keep=["vec_id"]
+    )
+    return tidy(rows, 6)
+
+
+@query
+def crop_listing(spark, sf_dir):
+    return reference.crop_listing(views.crop_documents(spark, sf_dir))
+
+
+@query
+def crop_variants(spark, sf_dir):
+    rows = reference.crop_variants(views.crop_documents(spark, sf_dir))
+    return tidy(rows.withColumn("months", F.concat_ws(",", F.col("months").cast("array<string>"))))
+
+
+@query
+def cell_values(spark, sf_dir):
+    cells = views.raw_cells(spark, sf_dir)
+    return cells.select("ordinal", text.to_number(F.col("number")).alias("number"), text.to_date_any(F.col("day")).alias("day"))
+
+
+@query
+def calendar_keys(spark, sf_dir):
+    days = views.table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date")).distinct()
+    day = F.col("date")
+    return days.select(
+        "date",
+        calendar.week_key(day).alias("week"),
+        calendar.week_start(calendar.week_key(day)).alias("week_start"),
+        calendar.week_of_year(day).alias("week_of_year"),
+        calendar.hydro_year(day).alias("hydro_year"),
+        calendar.month_key(day).alias("month"),
+        calendar.day_label(F.dayofyear(day)).alias("label"),
+        calendar.is_trading_day(day).alias("open"),
+    )
+
+
+@query
+def agronomy_terms(spark, sf_dir):
+    weather = views.weather(spark, sf_dir)
+    tmin, tmax = F.col("tmin"), F.col("tmax")
+    u2, rh = agronomy.wind_at_2m(F.col("wind_max")), agronomy.rh_min(tmin, tmax)
+    number = F.dayofyear("date") % 150
+    kc_mid = agronomy.adjust_kc(F.lit(1.05), u2, rh, F.lit(0.7))
+    stages = [F.lit(n) for n in (25, 35, 60, 30)]
+    return tidy(
+        weather.select(
+            "site_id",
+            "date",
+            agronomy.saturation_vapour_pressure(tmax).alias("svp"),
+            u2.alias("u2"),
+            rh.alias("rh"),
+            kc_mid.alias("kc_mid"),
+            agronomy.kc_on_day(number, *stages, F.lit(0.24), F.lit(1.05), F.lit(0.9)).alias("kc"),
+            agronomy.degree_days(tmin, tmax, 8.0, 30.0).alias("gdd"),
+            agronomy.gross_irrigation(F.col("et0"), F.col("precip"), 0.5, 0.9).alias("gross"),
+        ),
+        6,
+    )
+
+
+# ---------------------------------------------------------------- outputs
+
+
+@query
+def month_store(spark, sf_dir):
+    """Rows written by month and two months read back."""
+    path = scratch_path(spark, "months")
+    sinks.write_month_store(quality.first_row_distinct(views.observations(spark, sf_dir)), path)
+    back = prices_source.read_month_store(spark, path, ["1996-02", "1999-11"])
+    return back.select("date", "item", "ordinal", "price_mode", F.col("month").cast("string").alias("month"))
+
+
+@query
+def series_payload(spark, sf_dir):
+    cleaned = cut_lineage(clean(spark, sf_dir), "clean")
+    index = prices.series_index(cleaned, tags(spark, sf_dir))
+    payload = sinks.series_payload(index, prices.weekly_prices(cleaned), prices.seasonal_profile(cleaned))
+    first = F.col("weekly")[0]
+    return payload.select(
+        "series_id",
+        "name",
+        F.size("weekly").alias("weeks"),
+        F.size("seasonal").alias("seasons"),
+        first["week_start"].alias("first_week"),
+        first["n"].alias("first_n"),
+    )
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query
+def stream_weekly_counts(spark, sf_dir):
+    table, checkpoint = scratch_path(spark, "weekly"), scratch_path(spark, "progress")
+    counts = streams.weekly_counts(views.stream_events(spark, sf_dir), "ts", "event_type", "price_mode")
+    streams.publish_weekly(counts, table, checkpoint, "event_type")
+    weekly = spark.read.parquet(table)
+    return tidy(weekly.select("week_start", "event_type", "n", "total", "lowest", "highest"))
+
+
+@query
+def stream_dedup_ingest(spark, sf_dir):
+    store, checkpoint = scratch_path(spark, "store"), scratch_path(spark, "progress")
+    rows = views.stream_events(spark, sf_dir).select("ordinal", "date", "item", "price_mode")
+    streams.ingest_observations(rows, store, checkpoint)
+    return spark.read.parquet(store).select("date", "item", "ordinal", "price_mode")
+
+
+@query
+def stream_recent_keys(spark, sf_dir):
+    table, checkpoint = scratch_path(spark, "keys"), scratch_path(spark, "progress")
+    recent = streams.dedup_recent(views.stream_events(spark, sf_dir)).select("date", "item")
+    writer = recent.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("date date, item string").parquet(table)
+
+
+@query
+def stream_weather_merge(spark, sf_dir):
+    table, checkpoint = scratch_path(spark, "weather"), scratch_path(spark, "progress")
+    events = views.stream_events(spark, sf_dir)
+    rows = events.select(
+        F.regexp_extract("item", "([0-9]+)", 1).cast("long").alias("site_id"),
+        "date",
+        F.col("price_mode").alias("tmax"),
+        F.when(F.col("event_type") == "purchase", "era5_archive").otherwise("preliminary").alias("source"),
+        "ordinal",
+    )
+    streams.ingest_weather(rows, table, checkpoint)
+    return spark.read.parquet(table).select("site_id", "date", "tmax", "source")
+
+
+@query
+def stream_page_ingest(spark, sf_dir):
+    folder, store = scratch_path(spark, "pages"), scratch_path(spark, "store")
+    views.pages(spark, sf_dir).write.parquet(folder)
+    arriving = spark.readStream.schema("path string, html string, expected date").parquet(folder)
+    streams.ingest_pages(arriving, store, scratch_path(spark, "progress"))
+    return spark.read.parquet(store).select("date", "item", "unit", "price_low", "price_mode", "quantity")

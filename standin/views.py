@@ -6,9 +6,10 @@ Every 50 suppliers form one weather site, so sites grow with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketclime.functions.text import ARABIC_INDIC_DIGITS
 from marketclime.operators.quality import with_order_ok
 from marketclime.sources.state import checkpoint_rows
 from marketclime.sources.tables import with_ordinal
@@ -55,10 +56,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spelled_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price rows where every third listing spells its name with two blanks."""
+    """Price rows where listings spell their names in three ways.
+
+    Plain, with two blanks, or with a stretched blank, a zero-width mark and a
+    full-width o.
+    """
     rows = observations(spark, sf_dir)
-    wide = F.replace(F.col("item"), F.lit(" "), F.lit("  "))
-    return rows.withColumn("item", F.when(F.col("ordinal") % 3 == 0, wide).otherwise(F.col("item")))
+    name = F.col("item")
+    wide = F.replace(name, F.lit(" "), F.lit("  "))
+    odd = F.replace(F.replace(name, F.lit(" "), F.lit(" \u0640\u200b")), F.lit("o"), F.lit("\uff4f"))
+    way = F.col("ordinal") % 3
+    return rows.withColumn("item", F.when(way == 0, wide).when(way == 1, odd).otherwise(name))
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,3 +291,148 @@ def yield_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("item "), (F.col("p_size") % 9).cast("string")).alias("label"),
         F.lit(None).cast("string").alias("caveat"),
     )
+
+
+def _arabic(text: Column) -> Column:
+    return F.translate(text, "0123456789", ARABIC_INDIC_DIGITS)
+
+
+BLOCK_ROWS = 20000  # a page holds the rows of one date within one block of the file
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTML bulletins written from the price rows: one page per date and block of rows.
+
+    Odd rows use Arabic-Indic digits, every third block leaves cells unclosed
+    and carries comments, and rows of one kind show the following day.
+    """
+    rows = shown_rows(spark, sf_dir).withColumn("block", F.floor(F.col("ordinal") / BLOCK_ROWS))
+    messy = F.col("block") % 3 == 0
+
+    def cell(text: Column) -> Column:
+        shown = F.when(F.col("ordinal") % 2 == 1, _arabic(text)).otherwise(text)
+        close = F.when(messy, "").otherwise("</td>")
+        return F.concat(F.lit("<td> <span>"), F.coalesce(shown, F.lit("")), F.lit("</span>‏&nbsp;"), close)
+
+    cells = [
+        F.concat(F.lit("<td>"), F.replace(F.col("item"), F.lit(" "), F.lit(" <b>")), F.lit("</b></td>")),
+        cell(F.col("unit")),
+        cell(F.col("price_high").cast("string")),
+        cell(F.format_number("price_mode", 2)),
+        cell(F.col("price_low").cast("string")),
+        cell(F.col("quantity").cast("string")),
+        cell(F.date_format("shown", "dd-MM-yyyy")),
+    ]
+    line = F.concat(F.lit("<tr class='r'>"), *cells, F.lit("</tr>"))
+    listed = rows.groupBy("date", "block").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("h")))), lambda x: x["h"]), "\n").alias("body")
+    )
+    head = "<html><body><table class='menu'><tr><td>x</td></tr></table><table class=\"table table-bordered\">"
+    return listed.select(
+        F.concat_ws("/", F.lit("raw"), F.col("block").cast("string"), F.concat("date", F.lit(".html"))).alias("path"),
+        F.concat(
+            F.lit(head + "<tr><th>item</th><th>unit</th></tr>"),
+            F.when(messy, "<!-- served late -->").otherwise(""),
+            "body",
+            F.lit("<tr><td colspan='7'>end</td></tr></table></body></html>"),
+        ).alias("html"),
+        F.col("date").alias("expected"),
+    )
+
+
+def shown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price rows with the date a page shows: some "box" rows show the following day."""
+    late = (F.col("unit") == "box") & (F.col("ordinal") % 7 == 0)
+    rows = observations(spark, sf_dir)
+    return rows.withColumn("shown", F.when(late, F.date_add("date", 1)).otherwise(F.col("date")))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column-oriented payloads from the vectors: full, short and absent variables."""
+    vectors = spark.read.schema("vec_id bigint, embedding array<float>").parquet(f"{sf_dir}/embeddings.parquet")
+    time = F.transform(
+        F.sequence(F.lit(0), F.size("embedding") - 1),
+        lambda i: F.date_add(F.lit("2020-01-01").cast("date"), i).cast("string"),
+    )
+    doubles = F.col("embedding").cast("array<double>")
+    return vectors.select(
+        "vec_id",
+        F.struct(
+            time.alias("time"),
+            doubles.alias("temperature_2m_max"),
+            F.slice(doubles, 1, 10).alias("precipitation_sum"),
+        ).alias("daily"),
+    )
+
+
+def crop_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested crop parameters from the parts: sizes give stage lengths, months and gaps."""
+    parts = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+
+    def sourced(value: Column) -> Column:
+        return F.struct(value.cast("double").alias("value"), F.lit("table").alias("src"))
+
+    def stage(variant: int) -> Column:
+        months = F.array(*[F.lit(m) for m in PLANT_DATES])
+        return F.struct(
+            (size + variant).alias("ini"),
+            (size + 10).alias("dev"),
+            (size + 20).alias("mid"),
+            F.lit(15 + variant).alias("late"),
+            F.lit(0).alias("total"),
+            F.get(months, (size + variant) % len(PLANT_DATES)).alias("plant_date"),
+            F.lit("here").alias("region"),
+            F.lit("table").alias("src"),
+        )
+
+    variants = F.slice(F.array(stage(0), stage(1)), F.lit(1), size % 3)
+    return parts.select(
+        F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("id"),
+        F.col("p_name").alias("name_en"),
+        F.struct(
+            sourced(F.lit(0.5)).alias("ini"),
+            sourced(F.when(size % 5 != 0, size / 40)).alias("mid"),
+            sourced(size / 50).alias("end"),
+        ).alias("kc"),
+        sourced(size / 10).alias("height_m"),
+        variants.alias("stage_lengths_days"),
+        (F.col("p_type") == "PROMO").alias("frost_tolerant"),
+        F.when(size % 2 == 0, 34.0).alias("heat_threshold_c"),
+        F.concat_ws(" ", F.lit("no figures published for"), "p_name", "p_brand", "p_type").alias("GAP"),
+    )
+
+
+PLANT_DATES = ["October", "May/June", "Oct/Nov", "April; December, Apr", "foo, Mar"]
+
+
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published-looking texts of line items: numbers, dates in three forms, yields with units."""
+    lines = with_ordinal(table(spark, sf_dir, "lineitem"))
+    day = F.col("l_shipdate").cast("date")
+    form = F.col("l_linenumber") % 4
+    text = (
+        F.when(form == 0, F.date_format(day, "dd-MM-yyyy"))
+        .when(form == 1, F.date_format(day, "yyyy-MM-dd"))
+        .when(form == 2, F.date_format(day, "d/M/yyyy"))
+        .otherwise("n/a")
+    )
+    mark = F.lit("‎")
+    return lines.select(
+        "ordinal",
+        F.concat(F.lit(" "), mark, _arabic(F.format_number("l_extendedprice", 2)), mark, F.lit(" ")).alias("number"),
+        F.concat(mark, _arabic(text)).alias("day"),
+    )
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream of price-like rows."""
+    files = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return files.select(
+        F.col("event_id").alias("ordinal"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("ts").cast("date").alias("date"),
+        F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("item"),
+        "event_type",
+        F.col("value").alias("price_mode"),
+    )

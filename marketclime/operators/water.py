@@ -94,9 +94,17 @@ def _start_offset() -> Column:
 def _season_days(candidates: DataFrame, blocks: DataFrame, longest: Column) -> DataFrame:
     """Attach the days of each candidate's season, ``longest`` days from planting."""
     dated = candidates.withColumn("start_k", _start_offset()).filter(F.col("start_k").isNotNull())
+    # candidates are few bytes but much work, so their spread must not shrink with their size
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dated = dated.repartition(tasks, "site_id", "year")
     met = dated.join(blocks, ["site_id", "year"])
-    chosen = F.filter("days", lambda d: (d["k"] >= F.col("start_k")) & (d["k"] < F.col("start_k") + longest))
-    return met.withColumn("days", chosen)
+    first = F.get("days", F.lit(0))["k"]
+    last = F.get("days", F.size("days") - 1)["k"]
+    # a block without gaps is cut by position, any other by day number
+    by_place = F.slice("days", F.greatest(F.col("start_k") - first, F.lit(0)) + 1, F.greatest(longest, F.lit(0)))
+    by_number = F.filter("days", lambda d: (d["k"] >= F.col("start_k")) & (d["k"] < F.col("start_k") + longest))
+    whole = (last - first + 1 == F.size("days")) & (F.col("start_k") >= first)
+    return met.withColumn("days", F.when(whole, by_place).otherwise(by_number))
 
 
 # ------------------------------------------------------------ calibration
@@ -186,68 +194,46 @@ def calibrated_variants(
     runs = cut_lineage(reference_runs(weather, years, variants, [base], cap), "reference-runs")
     keys = ["site_id", "crop_id", "variant", "base"]
     limits = gdd_requirement(runs).join(thermal_envelope(runs, pool), keys)
-    return limits.withColumnRenamed("years", "reference_years").join(variants, ["crop_id", "variant"])
+    limits = limits.withColumnRenamed("years", "reference_years").join(variants, ["crop_id", "variant"])
+    return cut_lineage(limits, "calibration")
 
 
 # ------------------------------------------------------------ season length
 
 
-def _stage_lengths(days: Column, start_k: Column, needs: Column, base: Column, cap: float | None) -> Column:
-    """Days each stage takes to gather its heat; null if a day is missing or the season never ends.
+def _stage_lengths(heats: Column, start_k: Column, needs: Column) -> Column:
+    """Days each needed stage takes to gather its heat; null if a day is missing or the season never ends.
 
-    A fold over the days: each stage starts from zero, so what it gathers
-    beyond its need is not carried over. Stages without a need take no day and
-    are set to zero afterwards.
+    A fold over the daily heat: each stage starts from zero, so what it gathers
+    beyond its need is not carried over. ``needs`` holds positive needs only.
     """
-    positive = F.filter(needs, lambda n: n > 0)
     start = F.struct(
         F.lit(0).alias("at"),
         F.lit(0.0).alias("heat"),
         F.lit(0).alias("taken"),
         F.lit(0).alias("used"),
-        F.lit(False).alias("failed"),
         F.array().cast("array<int>").alias("lengths"),
     )
+    failed = F.lit(-1)
 
-    def step(state: Column, day: Column) -> Column:
-        over = state["failed"] | (state["at"] >= F.size(positive))
-        gained = degree_days(day["tmin"], day["tmax"], base, cap)
-        gap = (day["k"] != start_k + state["used"]) | gained.isNull()
-        heat = state["heat"] + gained
-        taken = state["taken"] + 1
-        full = heat >= F.get(positive, state["at"])
-        grown = F.struct(
-            (state["at"] + full.cast("int")).alias("at"),
-            F.when(full, 0.0).otherwise(heat).alias("heat"),
-            F.when(full, 0).otherwise(taken).alias("taken"),
-            (state["used"] + 1).alias("used"),
-            F.lit(False).alias("failed"),
-            F.when(full, F.concat(state["lengths"], F.array(taken))).otherwise(state["lengths"]).alias("lengths"),
+    def state(at, heat, taken, used, lengths) -> Column:
+        return F.struct(
+            at.alias("at"), heat.alias("heat"), taken.alias("taken"), used.alias("used"), lengths.alias("lengths")
         )
-        broken = F.struct(
-            state["at"].alias("at"),
-            state["heat"].alias("heat"),
-            state["taken"].alias("taken"),
-            state["used"].alias("used"),
-            F.lit(True).alias("failed"),
-            state["lengths"].alias("lengths"),
-        )
-        return F.when(over, state).when(gap, broken).otherwise(grown)
-
-    end = F.aggregate(days, start, step)
 
-    def placed(state: Column) -> Column:
-        """Lengths of all stages: zero where there was no need, else in order."""
-        return F.transform(
-            needs,
-            lambda n, i: F.when(
-                n > 0, F.get(state["lengths"], F.size(F.filter(F.slice(needs, 1, i + 1), lambda m: m > 0)) - 1)
-            ).otherwise(F.lit(0)),
+    def step(now: Column, day: Column) -> Column:
+        settled = (now["at"] < 0) | (now["at"] >= F.size(needs))
+        gap = (day["k"] != start_k + now["used"]) | day["gdd"].isNull()
+        heat, taken, used = now["heat"] + day["gdd"], now["taken"] + 1, now["used"] + 1
+        full = heat >= F.get(needs, now["at"])
+        return (
+            F.when(settled, now)
+            .when(gap, state(failed, now["heat"], now["taken"], now["used"], now["lengths"]))
+            .when(full, state(now["at"] + 1, F.lit(0.0), F.lit(0), used, F.concat(now["lengths"], F.array(taken))))
+            .otherwise(state(now["at"], heat, taken, used, now["lengths"]))
         )
 
-    # through a one-element array, so that the fold is evaluated once
-    done = F.transform(F.array(end), lambda s: F.when(~s["failed"] & (s["at"] >= F.size(positive)), placed(s)))
-    return F.get(done, F.lit(0))
+    return F.aggregate(heats, start, step, lambda end: F.when(end["at"] >= F.size(needs), end["lengths"]))
 
 
 def stage_lengths(
@@ -255,32 +241,45 @@ def stage_lengths(
 ) -> DataFrame:
     """Stage lengths in days from the heat requirement, for every candidate that finishes within 400 days.
 
-    Candidates carry ``requirement`` and ``base``.
+    Candidates carry ``requirement`` and ``base``. Stages without a need take
+    no day: the fold sees the positive needs only, and zeros are put back.
     """
-    blocks = season_blocks(weather, years)
-    days = _season_days(candidates, blocks, F.lit(MAX_SEASON_DAYS))
-    found = _stage_lengths(F.col("days"), F.col("start_k"), F.col("requirement"), F.col("base"), cap)
-    # as an outer generator, so that no filter on the result runs the fold again
-    kept = [c for c in days.columns if c not in ("days", *STAGES)]
-    sized = days.select(*kept, F.explode_outer(F.array(found)).alias("_lengths")).filter(F.col("_lengths").isNotNull())
-    lengths = [F.get("_lengths", F.lit(i)).alias(s) for i, s in enumerate(STAGES)]
-    return sized.select("*", *lengths).drop("_lengths", "start_k")
+    days = _season_days(candidates, season_blocks(weather, years), F.lit(MAX_SEASON_DAYS))
+    kept = [c for c in days.columns if c not in ("days", "start_k", *STAGES)]
+    heats = F.transform(
+        "days", lambda d: F.struct(d["k"].alias("k"), degree_days(d["tmin"], d["tmax"], F.col("base"), cap).alias("gdd"))
+    )
+    ready = days.select(
+        *kept, "start_k", heats.alias("_heats"), F.filter("requirement", lambda n: n > 0).alias("_needs")
+    )
+    # an outer generator, so that no filter on the result runs the fold again
+    found = _stage_lengths(F.col("_heats"), F.col("start_k"), F.col("_needs"))
+    grown = ready.select(*kept, F.explode_outer(F.array(found)).alias("_taken")).filter(F.col("_taken").isNotNull())
+    need = [F.get("requirement", F.lit(i)) > 0 for i in range(4)]
+    lengths = []
+    for i, stage in enumerate(STAGES):
+        place = sum((n.cast("int") for n in need[:i]), F.lit(0))
+        lengths.append(F.when(need[i], F.get("_taken", place)).otherwise(F.lit(0)).alias(stage))
+    return grown.select(*kept, *lengths)
 
 
 # ------------------------------------------------------------ season run
 
 
-def _mean_of(days: Column, field: str, first: Column, stop: Column, start_k: Column) -> Column:
-    """Mean of a field over the season days [first, stop), nulls skipped."""
-    values = F.transform(
-        F.filter(
-            days, lambda d: (d["k"] >= start_k + first) & (d["k"] < start_k + stop) & d[field].isNotNull()
-        ),
-        lambda d: d[field],
-    )
-    return F.when(
-        F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+def _mean_of(days: Column, field: str, first: Column, length: Column) -> Column:
+    """Mean of a field over ``length`` season days from day ``first`` (from 0), nulls skipped.
+
+    Cut by position: a season with a missing day is left out later anyway.
+    """
+    stage = F.slice(days, first + 1, length)
+    known = F.filter(F.transform(stage, lambda d: d[field]), lambda v: v.isNotNull())
+    mean = F.aggregate(
+        known,
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        lambda now, v: F.struct((now["s"] + v).alias("s"), (now["n"] + 1).alias("n")),
+        lambda end: F.when(end["n"] > 0, end["s"] / end["n"]),
     )
+    return mean
 
 
 def season_run(
@@ -303,9 +302,10 @@ def season_run(
     blocks = season_blocks(weather, years)
     seasons = _season_days(candidates, blocks, total).withColumn("season_days", total)
 
-    start_k, days = F.col("start_k"), F.col("days")
-    mid_from, mid_to = ini + dev, ini + dev + mid
-    late_from = F.when(late > 0, mid_to).otherwise(mid_from)
+    days = F.col("days")
+    # without late days the mid-season stands in for them
+    late_from = ini + dev + F.when(late > 0, mid).otherwise(0)
+    late_length = F.when(late > 0, late).otherwise(mid)
     heat = F.lit(float(heat_threshold)) if heat_threshold is not None else F.col("heat_threshold")
     keep = [c for c in candidates.columns if c not in CANDIDATE]
     seasons = seasons.select(
@@ -314,10 +314,10 @@ def season_run(
         "season_days",
         "start_k",
         "days",
-        _mean_of(days, "u2", mid_from, mid_to, start_k).alias("u2_mid"),
-        _mean_of(days, "rh", mid_from, mid_to, start_k).alias("rhmin_mid"),
-        _mean_of(days, "u2", late_from, total, start_k).alias("_u2_late"),
-        _mean_of(days, "rh", late_from, total, start_k).alias("_rh_late"),
+        _mean_of(days, "u2", ini + dev, mid).alias("u2_mid"),
+        _mean_of(days, "rh", ini + dev, mid).alias("rhmin_mid"),
+        _mean_of(days, "u2", late_from, late_length).alias("_u2_late"),
+        _mean_of(days, "rh", late_from, late_length).alias("_rh_late"),
     )
     kc_end = F.when(
         F.col("kc_end") > 0.45, adjust_kc(F.col("kc_end"), F.col("_u2_late"), F.col("_rh_late"), F.col("height"))
@@ -423,11 +423,15 @@ def evaluate(
     With ``fixed_days`` the published stage lengths are used instead of the
     lengths that follow from the heat requirement.
     """
+    keys = ["site_id", "crop_id", "variant"]
+    limits = calibrated.select(*keys, "requirement", "lowest", "highest", "months", "frost_tolerant")
     candidates = planting_candidates(calibrated, years, dates)
     if not fixed_days:
         candidates = stage_lengths(candidates, weather, years, cap)
+    # the arrays of the calibration rejoin afterwards: day rows carry plain numbers only
+    candidates = candidates.drop("requirement", "lowest", "highest", "months", "frost_tolerant")
     seasons = season_run(candidates, weather, years, fw, efficiency, **season_options)
-    return thermal_fit(seasons, tolerance)
+    return thermal_fit(seasons.join(limits, keys), tolerance)
 
 
 def sweep_dates(step: int = 15) -> list[tuple[int, int]]:

@@ -25,13 +25,17 @@ LETTER_FOLDS = {
 }
 MONTH_LABELS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-_OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# every character that Unicode or ASCII separators count as white space
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode white space (``trim`` only knows blanks)."""
-    return F.regexp_replace(c, _OUTER_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def clean_cell(c: Column) -> Column:
@@ -71,7 +75,7 @@ def fold_arabic(c: Column) -> Column:
     c = F.regexp_replace(c, ARABIC_DIACRITICS, "")
     c = F.replace(c, F.lit(TATWEEL), F.lit(""))
     c = F.translate(c, "".join(LETTER_FOLDS), "".join(LETTER_FOLDS.values()))
-    return strip(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    return strip(F.regexp_replace(c, f"[{WHITE_SPACE}]+", " "))
 
 
 def nfkc():

@@ -1,6 +1,6 @@
 """Bulletin pages: HTML tables to price rows.
 
-Pages with a plain table are cut by native regular expressions. Pages that are
+Pages with a plain table are cut by native text functions. Pages that are
 not that tidy (unclosed or nested tags, comments, unusual entities) go through
 the standard library's HTML parser in an Arrow-batched function; tidy pages
 pass it as null, so they cost it nothing.
@@ -26,47 +26,49 @@ _TABLE = (
     r"(?is)<table\b[^>]*\bclass\s*=\s*(?:\"[^\"]*(?<![\w-])%s(?![\w-])[^\"]*\"|'[^']*(?<![\w-])%s(?![\w-])[^']*')[^>]*>(.*?)</table\s*>"
     % (TABLE_CLASS, TABLE_CLASS)
 )
-_ROW = r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"
-_CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"
+_CELL_TAG = r"(?i)<(/?t[rdh])\b"
+_WELL_NESTED = r"^(?:tr(?:,t[dh],/t[dh])*,/tr(?:,|$))*$"
 _TAG = r"(?s)<[^>]*>"
-_ODD_ENTITY = r"&(?!(?:amp|lt|gt|quot|nbsp|#39);)"
-_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-_BREAK = "\u0001"
-
+# markup that needs a real parser inside the table, and anywhere on the page
+_STRAY = (
+    r"(?i)<(?:table|script|style|textarea|title)\b|<[!?]|<(?![a-z/])|&(?!(?:amp|lt|gt|quot|nbsp|#39);)"
+    r"|=\s*(?:\"[^\"]*[<>][^\"]*\"|'[^']*[<>][^']*')"
+)
+_HIDDEN = r"(?i)<(?:!--|script|style|textarea|title|template)\b|<!--"
+_ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+_NODE, _ROW_END, _CELL_START, _CELL_END = "\u0001", "\u0002", "\u0003", "\u0004"
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
 
+def _native_rows(table: Column) -> Column:
+    """Cells of a well nested table.
 
-def _cell_text(cell: Column) -> Column:
-    """Text nodes of a cell, each stripped, empty ones dropped, joined by a blank."""
-    text = F.regexp_replace(cell, _TAG, _BREAK)
+    Row and cell tags become single marks and other tags node breaks in a few
+    passes over the whole table; cells are then cut at the marks. A cell is
+    its text nodes, each stripped, empty ones dropped, joined by a blank.
+    """
+    text = F.regexp_replace(table, r"(?i)</tr\s*>", _ROW_END)
+    text = F.regexp_replace(text, r"(?i)</t[dh]\s*>", _CELL_END)
+    text = F.regexp_replace(text, r"(?is)<t[dh]\b[^>]*>", _CELL_START)
+    text = F.regexp_replace(text, _TAG, _NODE)
     for entity, character in _ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(character))
-    parts = F.transform(F.split(text, _BREAK), lambda t: strip(t))
-    return F.array_join(F.filter(parts, lambda t: t != ""), " ")
 
+    def cell(piece: Column) -> Column:
+        nodes = F.transform(F.split(F.substring_index(piece, _CELL_START, -1), _NODE), lambda t: strip(t))
+        return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
 
-def _native_rows(table: Column) -> Column:
-    rows = F.regexp_extract_all(table, F.lit(_ROW), F.lit(1))
-    return F.transform(
-        rows, lambda row: F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)), lambda c: _cell_text(c))
-    )
+    def row(line: Column) -> Column:
+        pieces = F.split(line, _CELL_END)
+        return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), cell)  # the rest follows the last cell
+
+    lines = F.split(text, _ROW_END)
+    return F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), row)
 
 
 def _is_tidy(html: Column, table: Column) -> Column:
-    """Whether cutting by pattern and parsing properly give the same cells."""
-    balanced = F.lit(True)
-    for tag in ("tr", "td", "th"):
-        balanced = balanced & (_count(table, rf"(?i)<{tag}\b") == _count(table, rf"(?i)</{tag}\s*>"))
-    strays = r"(?i)<(?:table|script|style|textarea|title)\b|<!|<\?|<(?![a-z/!])|=\s*(?:\"[^\"]*[<>][^\"]*\"|'[^']*[<>][^']*')"
-    hidden = r"(?i)<(?:!--|script|style|textarea|title|template)\b|<!--"
-    return (
-        balanced
-        & (_count(table, strays) == 0)
-        & (_count(table, _ODD_ENTITY) == 0)
-        & (_count(html, hidden) == 0)
-    )
+    """Whether cutting at the tags and parsing properly give the same cells."""
+    nesting = F.array_join(F.transform(F.regexp_extract_all(table, F.lit(_CELL_TAG), F.lit(1)), lambda t: F.lower(t)), ",")
+    return nesting.rlike(_WELL_NESTED) & ~table.rlike(_STRAY) & ~html.rlike(_HIDDEN)
 
 
 def _parsed_rows():

@@ -45,13 +45,17 @@ def clean_cell(c: Column) -> Column:
 
 def plain_number(c: Column) -> Column:
     """Decimal text to double; anything else, including nan and inf, is null."""
-    text = strip(c)
-    return F.when(text.rlike(_DECIMAL_TEXT), text.try_cast("double"))
+    return F.regexp_extract(strip(c), _DECIMAL_TEXT, 0).try_cast("double")
+
+
+def number_of(cleaned: Column) -> Column:
+    """Cleaned cell text to double, thousands separators removed."""
+    return plain_number(F.replace(cleaned, F.lit(","), F.lit("")))
 
 
 def to_number(c: Column) -> Column:
-    """Published cell text to double: cleaned, thousands separators removed."""
-    return plain_number(F.replace(clean_cell(c), F.lit(","), F.lit("")))
+    """Published cell text to double."""
+    return number_of(clean_cell(c))
 
 
 def iso_date(c: Column) -> Column:
@@ -59,16 +63,20 @@ def iso_date(c: Column) -> Column:
     return F.try_to_date(c, "yyyy-M-d")
 
 
-def to_date_any(c: Column) -> Column:
-    """Published date text to date: day-first with dashes, ISO, day-first with slashes."""
-    text = clean_cell(c)
+def date_of_text(cleaned: Column) -> Column:
+    """Cleaned date text to date: day-first with dashes, ISO, day-first with slashes."""
     return F.coalesce(
-        F.try_to_date(text, "d-M-yyyy"),
-        F.try_to_date(text, "yyyy-M-d"),
-        F.try_to_date(text, "d/M/yyyy"),
+        F.try_to_date(cleaned, "d-M-yyyy"),
+        F.try_to_date(cleaned, "yyyy-M-d"),
+        F.try_to_date(cleaned, "d/M/yyyy"),
     )
 
 
+def to_date_any(c: Column) -> Column:
+    """Published date text to date."""
+    return date_of_text(clean_cell(c))
+
+
 def fold_arabic(c: Column) -> Column:
     """Spelling folds that carry no meaning; expects NFKC text (see :func:`nfkc`)."""
     c = F.regexp_replace(c, BIDI_MARKS, "")

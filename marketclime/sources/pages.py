@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketclime.functions.text import clean_cell, strip, to_date_any, to_number
+from marketclime.functions.text import clean_cell, date_of_text, number_of, strip
 from marketclime.operators.quality import with_order_ok
 
 # The table's class, and the order the cells are rendered in
@@ -159,18 +159,21 @@ def bulletin_rows(pages: DataFrame, kind: str = "local") -> DataFrame:
     The date comes from the row, else from the file name. A missing table or a
     short row yields nothing. ``row`` counts from 0 within the page.
     """
-    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    rows = _spread(table_rows(pages), "path")
+    file = F.substring_index("path", "/", -1)
+    named = table_rows(pages).select(
+        "path", "rows", file.alias("source_file"), F.try_to_date(F.regexp_replace(file, r"\.[^.]*$", ""), "yyyy-MM-dd").alias("_stem")
+    )
+    rows = _spread(named, "path", "source_file", "_stem")
     parsed = rows.select(
-        F.coalesce(to_date_any(_cell(DATE)), F.try_to_date(stem, "yyyy-MM-dd")).alias("date"),
+        F.coalesce(date_of_text(_cell(DATE)), "_stem").alias("date"),
         _cell(ITEM).alias("item"),
         _cell(UNIT).alias("unit"),
-        to_number(_cell(LOW)).alias("price_low"),
-        to_number(_cell(MODE)).alias("price_mode"),
-        to_number(_cell(HIGH)).alias("price_high"),
-        to_number(_cell(QUANTITY)).alias("quantity"),
+        number_of(_cell(LOW)).alias("price_low"),
+        number_of(_cell(MODE)).alias("price_mode"),
+        number_of(_cell(HIGH)).alias("price_high"),
+        number_of(_cell(QUANTITY)).alias("quantity"),
         F.lit(kind).alias("kind"),
-        F.regexp_extract("path", r"([^/]*)$", 1).alias("source_file"),
+        "source_file",
         "path",
         "row",
     )
@@ -194,10 +197,10 @@ def requested_rows(pages: DataFrame) -> DataFrame:
         F.col("expected").alias("date"),
         _cell(ITEM).alias("item"),
         _cell(UNIT).alias("unit"),
-        to_number(_cell(LOW)).alias("price_low"),
-        to_number(_cell(MODE)).alias("price_mode"),
-        to_number(_cell(HIGH)).alias("price_high"),
-        to_number(_cell(QUANTITY)).alias("quantity"),
+        number_of(_cell(LOW)).alias("price_low"),
+        number_of(_cell(MODE)).alias("price_mode"),
+        number_of(_cell(HIGH)).alias("price_high"),
+        number_of(_cell(QUANTITY)).alias("quantity"),
         "path",
         "row",
     )

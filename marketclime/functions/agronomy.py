@@ -66,6 +66,15 @@ def degree_days(tmin: Column, tmax: Column, base, cap=None) -> Column:
     return F.when(warmth.isNotNull(), F.greatest(F.lit(0.0), warmth))
 
 
+# Heat sums of the same days differ in their last bits with the order of
+# addition; a need that is met exactly must count as met in any order.
+HEAT_TOLERANCE = 1e-9
+
+
+def reached(heat: Column, need) -> Column:
+    return heat + HEAT_TOLERANCE >= need
+
+
 def gross_irrigation(etc_mm: Column, rain_mm: Column, rain_fraction: float, efficiency: float) -> Column:
     """Water to apply: demand less the usable part of the rain, over the application efficiency."""
     return F.greatest(F.lit(0.0), etc_mm - rain_fraction * rain_mm) / efficiency

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketclime.functions.agronomy import degree_days
+from marketclime.functions.agronomy import degree_days, reached
 from marketclime.functions.calendar import date_of, day_label, hydro_year
 from marketclime.functions.text import month_label
 
@@ -283,11 +283,11 @@ def gdd_hits(
             F.sum("gdd").over(running.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
         )
     )
-    reached = [F.min(F.when(F.col("total") >= t, F.col("offset") + 1)).alias(f"_t{i}") for i, t in enumerate(targets)]
+    first_days = [F.min(F.when(reached(F.col("total"), t), F.col("offset") + 1)).alias(f"_t{i}") for i, t in enumerate(targets)]
     cells = F.array(
         *[F.struct(F.lit(float(t)).alias("target"), F.col(f"_t{i}").alias("days")) for i, t in enumerate(targets)]
     )
-    per_year = summed.groupBy("site_id", "start_year").agg(*reached)
+    per_year = summed.groupBy("site_id", "start_year").agg(*first_days)
     return per_year.select("site_id", "start_year", F.inline(cells)).filter(F.col("days").isNotNull())
 
 

@@ -9,6 +9,7 @@ Shared columns:
 
 * ``variants`` (see ``sources.reference.crop_variants``): crop_id, variant,
   stage lengths ini/dev/mid/late, months, Kc values, height, heat_threshold;
+* ``weather``: one row per (site_id, date); ``ingest.last_row_per_day`` makes it so;
 * ``years``: site_id, year of complete years;
 * candidates: site_id, year, crop_id, variant, month, day and stage lengths.
 """
@@ -26,6 +27,7 @@ from marketclime.functions.agronomy import (
     gross_irrigation,
     kc_on_day,
     mean_temperature,
+    reached,
     rh_min,
     stage_of_day,
     volume_m3,
@@ -225,7 +227,7 @@ def _stage_lengths(heats: Column, start_k: Column, needs: Column) -> Column:
         settled = (now["at"] < 0) | (now["at"] >= F.size(needs))
         gap = (day["k"] != start_k + now["used"]) | day["gdd"].isNull()
         heat, taken, used = now["heat"] + day["gdd"], now["taken"] + 1, now["used"] + 1
-        full = heat >= F.get(needs, now["at"])
+        full = reached(heat, F.get(needs, now["at"]))
         return (
             F.when(settled, now)
             .when(gap, state(failed, now["heat"], now["taken"], now["used"], now["lengths"]))

@@ -52,7 +52,7 @@ def crop_tags(mapping: DataFrame) -> DataFrame:
 
 
 def crop_members(mapping: DataFrame) -> DataFrame:
-    """Items per crop."""
+    """Items per crop. The mapping is filled in by hand, so a crop's list stays short."""
     return crop_tags(mapping).groupBy("crop_id").agg(
         F.sort_array(F.collect_list("item")).alias("members"), F.count(F.lit(1)).alias("n")
     )

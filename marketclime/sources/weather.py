@@ -11,6 +11,7 @@ from marketclime.functions.text import iso_date, plain_number
 from marketclime.operators.ingest import last_row_per_day
 from marketclime.sources.reference import read_csv
 
+# Names of the published daily variables.
 DAILY_VARIABLES = [
     "temperature_2m_max",
     "temperature_2m_min",

@@ -1,7 +1,8 @@
 """SQL for the climate, ingest, water demand and yield queries.
 
 Heat sums are integers in 1/200 degree here (the stand-in weather is given in
-hundredths), so the day a stage ends is exact.
+hundredths) and a mean need is compared as a sum over its years, so the day a
+stage ends is exact.
 """
 
 from __future__ import annotations
@@ -226,7 +227,7 @@ runs as (select site_id, year, crop_id, variant, r-1 as month_rank, month, base,
        from rd cross join (select unnest([{bases}]) as base)
        group by all having count(*) = any_value(total)),
 need as (select site_id, crop_id, variant, base, count(*) as years,
-         {", ".join(f"avg(gdd{i}) as need{i}" for i in range(4))}
+         {", ".join(f"avg(gdd{i}) as need{i}, sum(round(200*gdd{i})) as heat{i}" for i in range(4))}
        from runs where month_rank = 0 group by all),
 env as (select n.site_id, n.crop_id, n.variant, n.base,
          {", ".join(f"min(temp{i}) as low{i}, max(temp{i}) as high{i}" for i in range(4))}
@@ -247,7 +248,7 @@ def grown_sql(candidates: str) -> str:
         steps.append(
             f"""g{i} as (select x.*, l.e as e{i}, l.q as q{i} from {last} x, lateral (
          select min(date) as e, min(h) as q from pw where pw.site_id = x.site_id and pw.base = x.base
-           and date >= {after} and date < x.start + 400 and h - {have} >= 200 * x.need{i}) l)"""
+           and date >= {after} and date < x.start + 400 and (h - {have}) * x.years >= x.heat{i}) l)"""
         )
         last = f"g{i}"
     return f"""
@@ -421,7 +422,7 @@ water(
     """select n.site_id, n.crop_id, n.variant, n.base, round(need0+need1+need2+need3, 4) as gdd_total,
   coalesce(g.ini+g.dev+g.mid+g.late, 0) as season_days
 from need n left join grown g using (site_id, crop_id, variant, base)""",
-    grown_sql("""select n.* exclude (years), y.year, months[1] as month, 15 as day, make_date(y.year, months[1], 15) as start
+    grown_sql("""select n.*, y.year, months[1] as month, 15 as day, make_date(y.year, months[1], 15) as start
   from need n join crops using (crop_id, variant)
   join (select site_id, list_sort(list(year))[count(*)//2 + 1] as year from cy group by 1) y using (site_id)"""),
     runs_sql("5.0e0, 10.0e0, 12.0e0"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ MAX_RANK_FILE = 64 << 20  # bytes; a rank file is a few hundred kilobytes
 PLACE_BITS = 40
 PLACES = (1 << PLACE_BITS) - 1
 NONE = 1 << 62  # a pair that does not merge
-GENERATION = 300_000  # remembered words per generation and worker
+GENERATION = 200_000  # remembered words per generation and worker
 
 
 def read_ranks(path: str) -> bytes:
@@ -70,26 +71,44 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         j = after[i]  # joins the token at i
         end = after[i] = after[j]
         before[end] = i
-        left = before[i]
-        changes = []
-        if left >= 0:
-            rank = get(piece[left:end])
-            changes.append((left, NONE if rank is None else rank << PLACE_BITS | left))
         if end < n:
             rank = get(piece[i : after[end]])
-            changes.append((i, NONE if rank is None else rank << PLACE_BITS | i))
-            changes.append((j, NONE))
+            value = NONE if rank is None else rank << PLACE_BITS | i
+            k = size + j
+            if tree[k] != NONE:
+                tree[k] = NONE
+                k >>= 1
+                while k:  # the dead leaf's parents, up to one that does not change
+                    x, y = tree[k + k], tree[k + k + 1]
+                    if y < x:
+                        x = y
+                    if tree[k] == x:
+                        break
+                    tree[k] = x
+                    k >>= 1
         else:
-            changes.append((i, NONE))
-        for leaf, value in changes:
-            k = size + leaf
+            value = NONE
+        k = size + i
+        while tree[k] != value:
+            tree[k] = value
+            if k == 1:
+                break
+            x = tree[k ^ 1]
+            if x < value:
+                value = x
+            k >>= 1
+        left = before[i]
+        if left >= 0:
+            rank = get(piece[left:end])
+            value = NONE if rank is None else rank << PLACE_BITS | left
+            k = size + left
             while tree[k] != value:
                 tree[k] = value
                 if k == 1:
                     break
-                other = tree[k ^ 1]
-                if other < value:
-                    value = other
+                x = tree[k ^ 1]
+                if x < value:
+                    value = x
                 k >>= 1
     out, i = [], 0
     while i < n:
@@ -194,7 +213,7 @@ def _place(df: DataFrame, name: str) -> int:
 def _list_array(rows: list[list[int]]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
@@ -247,8 +266,9 @@ def decode_bpe(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded
         for batch in batches:
             for first in range(0, batch.num_rows, PART):
                 part = batch.slice(first, PART)
-                column = part.column(place)
-                texts = [b"".join(map(token, row.as_py() if row.is_valid else ())) for row in column]
+                lists = part.column(place).fill_null([])
+                flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+                texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(texts, pa.binary())], names)
 
     return df.mapInArrow(run, schema)

@@ -228,6 +228,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = cut_lineage(classes, "classes")
     banded = classes.select("class", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = cut_lineage(shared, "shared")  # so that the join is of plain exchanges, which Spark can split
     members = cut_lineage(banded.join(shared, "bucket").select("bucket", "class", "size"), "buckets")
     met = members.select("class").distinct()
     reps = classes.join(met, "class").select("text_key").distinct()

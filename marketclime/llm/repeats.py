@@ -94,6 +94,21 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         reach *= 2
 
 
+def _widths(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """How far it is from each of ``begins`` to the next place with a value, or to the end."""
+    n = values.size
+    widths = np.ones(begins.size, np.int64)
+    open_ones = np.arange(begins.size)
+    for _ in range(16 if begins.size < n // 64 else 0):  # few intervals, as a rule short ones
+        at = begins[open_ones] + widths[open_ones]
+        open_ones = open_ones[(at < n) & (values[np.minimum(at, n - 1)] < 0)]
+        if not open_ones.size:
+            return widths
+        widths[open_ones] += 1
+    known = np.append(np.flatnonzero(values >= 0), n)
+    return known[np.searchsorted(known, begins, "right")] - begins
+
+
 def common_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each place in suffix order the common prefix with the one before it, -1 where it is ``length`` or more.
 
@@ -115,9 +130,7 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     fresh = np.append(0, np.flatnonzero(firsts[1:] != firsts[:-1]) + 1)
     out[fresh] = 0
     for level in range(length - 1):
-        known = np.append(np.flatnonzero(out >= 0), n)
-        ends = known[np.searchsorted(known, fresh, "right")]
-        widths = ends - fresh
+        widths = _widths(out, fresh)
         begins = np.repeat(fresh, widths)
         inside = np.arange(widths.sum()) - np.repeat(np.cumsum(widths) - widths, widths) + begins
         targets = moved[inside[last[inside] < begins]]
@@ -262,6 +275,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     """key, check and stretches (start, stop in bytes, may overlap) of every text with repeated windows."""
     texts = _keyed(docs.select("text")).filter(F.octet_length("text") >= LENGTH)
     grams = _segment_rows(texts, True).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    grams = cut_lineage(grams, "grams")  # a join of two plain exchanges, whose hot grams Spark can split
     met = cut_lineage(_segment_rows(texts, False).join(grams, "gram", "left_semi"), "segments")
     different = met.groupBy("gram", "segment").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "place")).alias("at"))
     different = cut_lineage(different.select("gram", "segment", "copies", "at.key", "at.place"), "different")

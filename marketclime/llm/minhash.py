@@ -11,8 +11,10 @@ A bucket's pairs are never all formed at once. In each round the next few of
 its members, in the order of their digests, are centres and meet the members
 behind them. Links found so far are summed up into components, and what lies in
 one component already is not compared again, so a bucket of thousands of copies
-needs its size in comparisons, not the square. Rounds go on until every pair is
-either compared or known to be connected, so no link that matters is left out.
+needs its size in comparisons, not the square. Shingles that only one member
+has bound its similarity to all others; members they rule out leave. Rounds go
+on until every other pair is either compared or known to be connected, so no
+link that matters is left out.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ MINIMA = BANDS * ROWS
 BITS = 2
 LONGS = -(-MINIMA * BITS // 64)
 SLACK = 0.2  # five standard deviations of the estimate
-CENTRES, GROWTH = 4, 8  # centres per bucket in the first round, and their growth
+CENTRES, GROWTH = 4, 4  # centres per bucket in the first round, and their growth
 
 _random = np.random.default_rng(20)
 _factor = _random.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -206,6 +208,54 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def _candidates(live: DataFrame, centres: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the first ``centres`` members of every bucket with the members behind them, where a link is possible.
+
+    ``live``: bucket, class, component, n (set size), common (at most so many
+    shingles in any other set), signature. Members go by the number of shingles
+    nobody else has, so the first is nearest to what the bucket shares. Pairs
+    that cannot reach ``percent``, or that are connected, do not leave the join.
+    """
+    live = live.withColumn("place", F.struct((F.col("n") - F.col("common")).alias("alone"), "class"))
+    first = live.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("place")))
+    first = first.filter(F.col("rank") <= centres)
+    named = ("class", "component", "place", "n", "common", "signature")
+    one = first.select("bucket", *[F.col(c).alias(f"{c}_a") for c in named])
+    two = live.select("bucket", *[F.col(c).alias(f"{c}_b") for c in named])
+    # no more in common than the smaller set, and than either has in common with anyone
+    most = F.least("n_a", "n_b", "common_a", "common_b")
+    possible = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    near = estimated_similarity(F.col("signature_a"), F.col("signature_b")) >= percent / 100 - SLACK
+    apart = (F.col("component_a") != F.col("component_b")) & (F.col("place_b") > F.col("place_a"))
+    met = one.join(two, (one["bucket"] == two["bucket"]) & apart & possible & near)
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def _alone(sets: DataFrame, live: DataFrame) -> DataFrame:
+    """class and alone: how many of its shingles no other class in ``live`` has; classes with none are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, packed in zip(batch.column("class"), batch.column("shingles"), strict=True):
+                shingles = np.frombuffer(packed.as_buffer(), np.int64)
+                names = pa.array([name.as_py()], pa.binary()).take(pa.array(np.zeros(shingles.size, np.int64)))
+                yield pa.RecordBatch.from_arrays([names, pa.array(shingles)], ["class", "shingle"])
+
+    own = sets.join(live.select("class").distinct(), "class", "left_semi").select("class", "shingles")
+    rows = own.mapInArrow(run, "class binary, shingle long")
+    once = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"), F.min("class").alias("class")).filter("sets = 1")
+    return once.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _still_open(live: DataFrame, centres: int) -> DataFrame:
+    """The buckets with members in different components that not all have been centres."""
+    state = live.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("left")
+    )
+    state = state.filter((F.col("low") != F.col("high")) & (F.col("left") > centres + 1)).select("bucket")
+    return live.join(cut_lineage(state, "open"), "bucket", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id and kept per row of ``docs`` (doc_id, text).
 
@@ -227,54 +277,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     classes = cut_lineage(classes, "classes")
     banded = classes.select("class", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
     shared = cut_lineage(shared, "shared")  # so that the join is of plain exchanges, which Spark can split
-    members = cut_lineage(banded.join(shared, "bucket").select("bucket", "class", "size"), "buckets")
-    met = members.select("class").distinct()
-    reps = classes.join(met, "class").select("text_key").distinct()
-    sets = cut_lineage(_full_sets(docs, cut_lineage(reps, "candidates")), "sets")
-    lanes = classes.join(met, "class").select("class", "n_shingles", "signature")
-    lanes = cut_lineage(lanes, "lanes")
-
-    links, labels = None, None
-    done, upto, live = 0, CENTRES, members
+    members = cut_lineage(banded.join(shared, "bucket").select("bucket", "class"), "buckets")
+    met = cut_lineage(members.select("class").distinct(), "met")
+    sets = classes.join(met, "class").select("text_key").distinct()
+    sets = cut_lineage(_full_sets(docs, cut_lineage(sets, "candidates")), "sets")
+    lanes = classes.join(met, "class").select("class", F.col("n_shingles").alias("n"), "signature")
+    members = members.join(cut_lineage(lanes, "lanes"), "class")
+    members = members.select("bucket", "class", "n", "signature")
+
+    labels, centres = None, CENTRES
+    live = members.select("*", F.col("class").alias("component"), F.col("n").alias("common"))
     while True:
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("class"))
-        centres = live.withColumn("place", place).filter(F.col("place") <= upto)
-        centres = centres.filter(F.col("place") > done).select("bucket", F.col("class").alias("a"))
-        pairs = live.select("bucket", F.col("class").alias("b"), *([F.col("component").alias("to")] if labels is not None else []))
-        if labels is not None:
-            centres = centres.join(labels.select(F.col("class").alias("a"), F.col("component").alias("of")), "a", "left")
-        pairs = pairs.join(centres, "bucket").filter(F.col("b") > F.col("a"))
-        if labels is not None:
-            pairs = pairs.filter(F.coalesce("of", "a") != F.col("to"))
-        pairs = pairs.select("a", "b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(
-                lanes.select(
-                    F.col("class").alias(side),
-                    F.col("n_shingles").alias(f"n_{side}"),
-                    F.col("signature").alias(f"signature_{side}"),
-                ),
-                side,
-            )
-        sized = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        near = estimated_similarity(F.col("signature_a"), F.col("signature_b")) >= percent / 100 - SLACK
-        pairs = cut_lineage(pairs.filter(sized & near).select("a", "b"), "pairs")
+        pairs = cut_lineage(_candidates(live, centres, percent), "pairs")
         found = _confirmed(pairs, sets, percent)
-        # links so far count through their component, so old ones come as (class, component)
-        if labels is not None:
+        if labels is not None:  # links found before count through their component
             found = found.union(labels.filter(F.col("class") != F.col("component")).select("class", "component"))
-        links = cut_lineage(found, "found")
-        labels = cut_lineage(components(links).select(F.col("node").alias("class"), "component"), "labels")
-        live = members.filter(F.col("size") > upto + 1).join(labels, "class", "left")
-        live = live.select("bucket", "class", "size", F.coalesce("component", "class").alias("component"))
-        open_ones = live.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        open_ones = open_ones.filter("low != high").select("bucket")
-        live = cut_lineage(live.join(open_ones, "bucket", "left_semi"), "open")
+        labels = cut_lineage(components(cut_lineage(found, "found")).select(F.col("node").alias("class"), "component"), "labels")
+        live = live.drop("component").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        live = cut_lineage(_still_open(live, centres), "live")
         if live.isEmpty():
             break
-        done, upto = upto, upto * GROWTH
+        # a set with many shingles of its own cannot be near any other: such members leave
+        live = live.drop("common").join(_alone(sets, live), "class", "left")
+        live = live.withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+        smallest = live.groupBy("bucket").agg(F.min("n").alias("smallest"))
+        live = live.join(smallest, "bucket")
+        hopeful = 100 * F.col("common") >= percent * (
+            F.col("n") + F.greatest("smallest", "common") - F.col("common")
+        )
+        live = cut_lineage(live.filter(hopeful).drop("smallest"), "hopeful")
+        centres *= GROWTH
 
     placed = classes.select("class", "first_id").join(labels, "class", "left")
     placed = placed.select("class", "first_id", F.coalesce("component", "class").alias("component"))

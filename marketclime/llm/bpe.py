@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketclime.llm.textbytes import held
+
 MAX_RANK_FILE = 64 << 20  # bytes; a rank file is a few hundred kilobytes
 PLACE_BITS = 40
 PLACES = (1 << PLACE_BITS) - 1
@@ -122,7 +124,7 @@ class _Irregular(Exception):
 
 
 class Encoder:
-    """Splits and merges texts; remembers words."""
+    """Splits and merges texts; remembers words. Ids are packed 32-bit integers."""
 
     def __init__(self, data: bytes, pattern: str, generation: int = GENERATION):
         import regex
@@ -133,64 +135,53 @@ class Encoder:
         self.words: tuple[dict, dict] = ({}, {})
         self.generation = generation
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         new, old = self.pieces
         ids = new.get(piece)
         if ids is None:
             ids = old.get(piece)
             if ids is None:
-                ids = merge_piece(piece.encode(), self.ranks)
+                ids = array("i", merge_piece(piece.encode(), self.ranks)).tobytes()
             if len(piece) < 64:
                 if len(new) >= self.generation:
                     self.pieces = ({}, new)
                 self.pieces[0][piece] = ids
         return ids
 
-    def split(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.find(text):
-            out += self.piece(piece)
-        return out
+    def split(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.find(text)))
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         """Ids of a space and ``word``, which stands between two single spaces."""
-        ids = self.words[1].get(word)
+        new, old = self.words
+        ids = new.get(word) or old.get(word)
         if ids is None:
             # a space with no white space on either side always starts a match
             if not word or word[0].isspace() or word[-1].isspace():
                 raise _Irregular
             ids = self.split(" " + word)
         if len(word) < 64:
-            if len(self.words[0]) >= self.generation:
-                self.words = ({}, self.words[0])
+            if len(new) >= self.generation:
+                self.words = ({}, new)
             self.words[0][word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         first, *words = text.split(" ")
         if not words or not first or first[-1].isspace() or words[-1] == "":
             return self.split(text)
-        out = list(self.split(first))
+        known, other = self.words[0].get, self.word
         try:
-            known = self.words[0].get
-            for w in words:
-                ids = known(w)
-                if ids is None:
-                    ids = self.word(w)
-                    known = self.words[0].get
-                out += ids
+            return self.split(first) + b"".join([known(w) or other(w) for w in words])
         except _Irregular:
             return self.split(text)
-        return out
-
-
-_held: dict[str, tuple] = {}  # the last encoder and the last vocabulary of this worker
 
 
 def _once(kind: str, key, make):
-    if kind not in _held or _held[kind][0] != key:
-        _held[kind] = (key, make())
-    return _held[kind][1]
+    """The last encoder or vocabulary of this worker, or a new one."""
+    if kind not in held or held[kind][0] != key:
+        held[kind] = (key, make())
+    return held[kind][1]
 
 
 def _shared_ranks(df: DataFrame, path: str) -> tuple[Broadcast, str]:
@@ -210,11 +201,10 @@ def _place(df: DataFrame, name: str) -> int:
     return places[0]
 
 
-def _list_array(rows: list[list[int]]) -> pa.Array:
+def _list_array(rows: list[bytes]) -> pa.Array:
     offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum([len(r) for r in rows], out=offsets[1:])
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
 PART = 512  # rows encoded at once; ids go out in parts as small
@@ -237,7 +227,7 @@ def encode_bpe(df: DataFrame, ranks: str, pattern: str, text: str = "text", into
         for batch in batches:
             for first in range(0, batch.num_rows, PART):
                 part = batch.slice(first, PART)
-                ids = [encoder.encode(t) if t else [] for t in part.column(place).to_pylist()]
+                ids = [encoder.encode(t) if t else b"" for t in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), _list_array(ids)], names)
 
     return df.mapInArrow(run, schema)

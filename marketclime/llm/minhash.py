@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketclime.llm.components import components
+from marketclime.llm.sieve import bitmap, with_maybe
 from marketclime.llm.textbytes import (
     SECOND_BASE,
     column_bytes,
@@ -47,7 +48,7 @@ MINIMA = BANDS * ROWS
 BITS = 2
 LONGS = -(-MINIMA * BITS // 64)
 SLACK = 0.2  # five standard deviations of the estimate
-CENTRES, GROWTH = 4, 4  # centres per bucket in the first round, and their growth
+CENTRES, GROWTH = 1, 4  # centres per bucket in the first round, and their growth
 
 _random = np.random.default_rng(20)
 _factor = _random.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -185,7 +186,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     ["class", "shingles"],
                 )
 
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi")
+    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    texts = with_maybe(keyed, F.col("text_key"), bitmap(wanted, "text_key")).filter("_maybe").drop("_maybe")
+    texts = texts.join(wanted, "text_key", "left_semi")
     sets = texts.mapInArrow(run, "class binary, shingles binary")
     return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
@@ -328,8 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``: the smallest doc_id's; blank texts all stay.
 
-    Rows that go are told by id and text. Rows equal in both are copies too:
-    the one whose other columns come first stays.
+    Rows that go are told by id and text. Of rows equal in both one stays.
     """
     found = near_duplicates(docs, percent)
     named = F.struct(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
@@ -338,12 +340,13 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     gone = cut_lineage(gone.select("_gone._id", "_gone._key"), "gone")
     again = cut_lineage(again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "again")
     key = F.xxhash64("text")
-
-    def same(df: DataFrame) -> list[Column]:
-        return [docs["doc_id"].eqNullSafe(df["_id"]), key == df["_key"]]
-
-    once = docs.join(gone, same(gone), "left_anti")
+    # only rows that may have to go are shuffled to meet the list
+    sieved = with_maybe(docs, key, bitmap(gone, "_key"))
+    doubtful = sieved.filter("_maybe").drop("_maybe")
+    meets = [doubtful["doc_id"].eqNullSafe(gone["_id"]), key == gone["_key"]]
+    once = sieved.filter("not _maybe").drop("_maybe").union(doubtful.join(gone, meets, "left_anti"))
     if again.isEmpty():
         return once
-    repeated = once.join(again, same(again), "left_semi").distinct()
-    return once.join(again, same(again), "left_anti").unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    repeats = [once["doc_id"].eqNullSafe(again["_id"]), key == again["_key"]]
+    single = once.join(again, repeats, "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.join(again, repeats, "left_anti").union(single)

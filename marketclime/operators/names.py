@@ -57,6 +57,8 @@ def near_names(norms: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     keys = norms.select("norm", F.explode(deletion_keys(F.col("norm"))).alias("_key"))
     left = keys.select(F.col("norm").alias("norm_a"), "_key")
     right = keys.select(F.col("norm").alias("norm_b"), "_key")
+    if not 0 <= max_distance <= 2:
+        raise ValueError("deletion keys are exact up to two edits")
     distance = F.levenshtein("norm_a", "norm_b", max_distance)
     return (
         left.join(right, "_key")

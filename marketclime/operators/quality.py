@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketclime.operators.quantiles import exact_mad
@@ -27,24 +27,39 @@ def first_ordinals(df: DataFrame, keys: Sequence[str] = ("date", "item"), ordina
     return df.groupBy(*keys).agg(F.min(ordinal).alias(ordinal))
 
 
+def _renamed(columns: Sequence[str]) -> list[str]:
+    return [f"_first_{c}" for c in columns]
+
+
+def _firsts(df: DataFrame, keys: Sequence[str], ordinal: str) -> tuple[DataFrame, list[Column]]:
+    """Key and ordinal of each key's first row under other names, and the condition that meets it."""
+    columns = [*keys, ordinal]
+    renamed = zip(columns, _renamed(columns), strict=True)
+    firsts = first_ordinals(df, keys, ordinal).select(*[F.col(c).alias(n) for c, n in renamed])
+    return firsts, [df[c].eqNullSafe(firsts[n]) for c, n in zip(columns, _renamed(columns), strict=True)]
+
+
 def flag_duplicates(
     df: DataFrame, keys: Sequence[str] = ("date", "item"), ordinal: str = "ordinal"
 ) -> DataFrame:
     """``duplicate`` = 0 for the first listing of a key, 1 for the repeats.
 
-    The first ordinals are joined back on the unique ordinal, not on the key,
-    so a key that owns a third of the rows still spreads over all tasks.
+    The first ordinals are joined back on key and ordinal together: a key that
+    owns a third of the rows still spreads over all tasks by its ordinals, and
+    an ordinal that another key or load uses too meets nothing. Null keys and
+    ordinals are values like others.
     """
-    firsts = first_ordinals(df, keys, ordinal).select(ordinal, F.lit(0).alias("duplicate"))
-    return df.join(firsts, ordinal, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(1)))
+    firsts, same = _firsts(df, keys, ordinal)
+    flagged = df.join(firsts.withColumn("duplicate", F.lit(0)), same, "left")
+    return flagged.withColumn("duplicate", F.coalesce("duplicate", F.lit(1))).drop(*_renamed([*keys, ordinal]))
 
 
 def first_row_distinct(
     df: DataFrame, keys: Sequence[str] = ("date", "item"), ordinal: str = "ordinal"
 ) -> DataFrame:
-    """Keep the first row of each key, all columns."""
-    firsts = first_ordinals(df, keys, ordinal).select(ordinal)
-    return df.join(firsts, ordinal, "left_semi")
+    """Keep the first row of each key, all columns; ordinals need only be unique within a key."""
+    firsts, same = _firsts(df, keys, ordinal)
+    return df.join(firsts, same, "left_semi")
 
 
 def duplicate_keys(df: DataFrame) -> DataFrame:
@@ -72,10 +87,24 @@ def duplicate_audit(df: DataFrame) -> DataFrame:
     )
 
 
-def conflicting_examples(df: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` repeated keys that disagree on price or quantity."""
-    keys = duplicate_keys(df).filter(F.col("variants") > 1)
-    return keys.orderBy("ordinal").limit(n).select("date", "item", "rows", "variants")
+def conflicting_examples(df: DataFrame, n: int | None = None) -> DataFrame:
+    """The listings of repeated keys that disagree on a price: date, item, ordinal, prices, quantity.
+
+    Quantity alone is no conflict here. ``n`` keeps the first so many keys, in
+    the order of their first row.
+    """
+    keys = (
+        df.groupBy("date", "item", *PRICES)
+        .agg(F.min("ordinal").alias("_first"))
+        .groupBy("date", "item")
+        .agg(F.count(F.lit(1)).alias("_prices"), F.min("_first").alias("_first"))
+        .filter(F.col("_prices") > 1)
+    )
+    if n is not None:
+        keys = keys.orderBy("_first").limit(n)
+    keys = keys.select(F.col("date").alias("_date"), F.col("item").alias("_item"))
+    same = [F.col("date").eqNullSafe(F.col("_date")), F.col("item").eqNullSafe(F.col("_item"))]
+    return df.join(keys, same, "left_semi").select("date", "item", "ordinal", *PRICES, "quantity")
 
 
 def column_order_audit(df: DataFrame) -> DataFrame:

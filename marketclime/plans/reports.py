@@ -65,7 +65,7 @@ def audit_report(rows: DataFrame) -> dict[str, DataFrame]:
     """The quality audit by name: duplicates, column order, missing values, name pairs and groups."""
     return {
         "duplicates": quality.duplicate_audit(rows),
-        "conflicts": quality.conflicting_examples(rows),
+        "conflicts": quality.conflicting_examples(rows, 5),
         "column_order": quality.column_order_audit(rows),
         "missing": quality.missing_audit(rows),
         "name_pairs": names.near_duplicate_pairs(rows),

@@ -78,7 +78,7 @@ def crop_listing(crops: DataFrame) -> DataFrame:
     """Readiness of each crop: variants, frost label and what is missing."""
     variants = F.coalesce(F.size("stage_lengths_days"), F.lit(0))
     ready = F.col("kc.mid.value").isNotNull() & (variants > 0)
-    gap = F.concat(F.lit("INCOMPLETE: "), F.substring(F.coalesce("GAP", F.lit("")), 1, 38))
+    gap = F.concat(F.lit("INCOMPLETE: "), F.coalesce("GAP", F.lit("")))
     return crops.select(
         "id",
         "name_en",

@@ -33,11 +33,11 @@ from (select date, item, count(*) as n,
 )
 obs(
     "conflicting_examples",
-    """select date, item, n as rows, v as variants
-from (select date, item, count(*) as n, min(ordinal) as o,
-        count(distinct (price_low, price_mode, price_high, quantity)) as v
-      from obs group by date, item having count(*) > 1)
-where v > 1 order by o limit 5""",
+    """select date, item, round(price_low, 4) as price_low, round(price_mode, 4) as price_mode,
+  round(price_high, 4) as price_high, quantity
+from obs where (date, item) in (
+  select (date, item) from obs group by date, item
+  having count(distinct (price_low, price_mode, price_high)) > 1)""",
 )
 obs(
     "column_order_audit",

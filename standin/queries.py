@@ -69,7 +69,7 @@ def duplicate_audit(spark, sf_dir):
 
 @query
 def conflicting_examples(spark, sf_dir):
-    return quality.conflicting_examples(views.observations(spark, sf_dir))
+    return tidy(quality.conflicting_examples(views.observations(spark, sf_dir)).drop("ordinal"))
 
 
 @query

@@ -34,7 +34,7 @@ from (select vec_id, embedding, unnest(range(0, len(embedding)))::int as i from
 ORACLES["crop_listing"] = """select 'c' || p_partkey as id, p_name as name_en, p_size % 3 as variants,
   case when p_type = 'PROMO' then 'tolerant' else 'sensitive' end as frost,
   case when p_size % 5 <> 0 and p_size % 3 > 0 then 'ready'
-       else 'INCOMPLETE: ' || substr('no figures published for ' || p_name || ' ' || p_brand || ' ' || p_type, 1, 38) end as status
+       else 'INCOMPLETE: ' || 'no figures published for ' || p_name || ' ' || p_brand || ' ' || p_type end as status
 from part"""
 ORACLES["crop_variants"] = """select 'c' || p_partkey as crop_id, v as variant, p_size + v as ini, p_size + 10 as dev, p_size + 20 as mid,
   15 + v as late, ['10', '5,6', '10,11', '4,12', '3'][(p_size + v) % 5 + 1] as months, 0.5e0 as kc_ini,

@@ -38,7 +38,25 @@ def test_duplicate_audit_tells_repeats_from_conflicts(rows):
         (6, "2020-01-02", "b", 1, 2, 3, 6),
     )
     assert tuple(quality.duplicate_audit(df).first()) == (2, 3, 1, 1)
-    assert [r.item for r in quality.conflicting_examples(df).collect()] == ["b"]
+    assert quality.conflicting_examples(df).isEmpty()  # a quantity alone is no conflict
+
+
+def test_conflicting_examples_list_every_row_of_a_key(rows):
+    df = rows(
+        (1, "2020-01-02", "a", 1, 2, 3, 5),
+        (2, "2020-01-01", "b", 1, 2, 3, 5),
+        (3, "2020-01-02", "a", 1, 2, 4, 5),
+        (4, "2020-01-01", "b", 1, 1, 3, 5),
+    )
+    assert sorted(r.ordinal for r in quality.conflicting_examples(df).collect()) == [1, 2, 3, 4]
+    assert sorted(r.ordinal for r in quality.conflicting_examples(df, 1).collect()) == [1, 3]
+
+
+def test_ordinals_that_repeat_between_loads_multiply_nothing(rows):
+    df = rows(*[(o, f"2020-01-0{d}", "a", 1, 2, 3, 5) for d in (1, 2, 3) for o in (0, 1)])
+    assert sorted(r.duplicate for r in quality.flag_duplicates(df).collect()) == [0, 0, 0, 1, 1, 1]
+    assert {r.ordinal for r in quality.first_row_distinct(df).collect()} == {0}
+    assert quality.first_row_distinct(df).count() == 3
 
 
 def test_audits_of_nothing(rows):

@@ -193,7 +193,7 @@ def test_crops(spark, tmp_path):
     crops = reference.read_crops(spark, path)
     listing = {r.id: (r.variants, r.frost, r.status) for r in reference.crop_listing(crops).collect()}
     assert listing["full"] == (2, "tolerant", "ready")
-    assert listing["bare"] == (0, "sensitive", "INCOMPLETE: nothing published about this one, so i")
+    assert listing["bare"] == (0, "sensitive", "INCOMPLETE: nothing published about this one, so it is left blank")
     assert listing["half"] == (1, "sensitive", "INCOMPLETE: ")
     variants = reference.crop_variants(crops).orderBy("variant").collect()
     assert [(r.crop_id, r.variant, r.months, r.ini + r.dev + r.mid + r.late) for r in variants] == [

@@ -1,11 +1,12 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
 One pass gives every document its number of distinct word shingles, a digest of
-the set, band keys over its minima and a signature of the low bits of the
-minima, packed into longs. Documents with equal sets are one class from there
-on, so groups of copies collapse at once. Candidates are classes in one band
-bucket; their similarity is estimated from bit counts, corrected for chance
-agreement of the low bits, and those that come near are confirmed on full sets.
+the set and band keys over its minima. Documents with equal sets are one class
+from there on, so groups of copies collapse at once. Classes that meet another
+in a band bucket get a signature: the low bits of further minima, packed into
+longs. Candidates are classes in one bucket, taken in the first band they share;
+their similarity is estimated from bit counts, corrected for chance agreement of
+the low bits, and those that come near are confirmed on full sets.
 
 A bucket's pairs are never all formed at once. In each round the next few of
 its members, in the order of their digests, are centres and meet the members
@@ -20,7 +21,9 @@ link that matters is left out.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +48,21 @@ from marketclime.session import cut_lineage
 WORDS = 5
 BANDS, ROWS = 24, 5  # at similarity 0.85 all bands miss a pair once in a million
 MINIMA = BANDS * ROWS
-BITS = 2
-LONGS = -(-MINIMA * BITS // 64)
-SLACK = 0.2  # five standard deviations of the estimate
-CENTRES, GROWTH = 1, 4  # centres per bucket in the first round, and their growth
+BITS, LANES = 2, 256  # of the signature; its minima are others than the bands'
+PLANE = LANES // 64  # longs that hold one bit of every lane
+DEVIATIONS = 5  # of the estimate, by which it may fall short
+CENTRES, GROWTH = 1, 16  # centres per bucket in the first round, and their growth
 
 _random = np.random.default_rng(20)
-_factor = _random.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
-_offset = _random.integers(0, 1 << 63, MINIMA, np.uint64)
+
+
+def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    factor = _random.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factor, _random.integers(0, 1 << 63, count, np.uint64)
+
+
+BAND_FUNCTIONS = _functions(MINIMA)
+LANE_FUNCTIONS = _functions(LANES)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -70,13 +80,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> Itera
             yield np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = BAND_FUNCTIONS) -> np.ndarray:
     """The smallest value of each hash function over a set."""
-    out = np.full(MINIMA, (1 << 32) - 1, np.uint64)
+    factor, offset = functions
+    out = np.full(factor.size, (1 << 32) - 1, np.uint64)
     for first in range(0, shingles.size, 1024):
         part = shingles[first : first + 1024]
-        hashed = part[None, :] * _factor[:, None]
-        hashed += _offset[:, None]
+        hashed = part[None, :] * factor[:, None]
+        hashed += offset[:, None]
         hashed >>= np.uint64(32)
         np.minimum(out, hashed.min(axis=1), out=out)
     return out
@@ -90,46 +101,36 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signature(low: np.ndarray) -> np.ndarray:
-    """The low ``BITS`` bits of the minima, packed into longs: lane k of plane p is bit p of minimum k."""
-    flat = np.zeros(LONGS * 64, np.uint8)
-    for plane in range(BITS):
-        flat[plane * MINIMA : (plane + 1) * MINIMA] = (low >> np.uint64(plane)) & np.uint64(1)
-    return np.packbits(flat).view(">i8").astype(np.int64)
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The low ``BITS`` bits of the lanes' minima, packed into longs: all lanes' lowest bits, then all their next."""
+    low = minima(shingles, LANE_FUNCTIONS)
+    planes = [(low >> np.uint64(p)) & np.uint64(1) for p in range(BITS)]
+    return np.packbits(np.concatenate(planes).astype(np.uint8)).view(">i8").astype(np.int64)
 
 
-def _fold(a: Column, b: Column) -> Column:
-    """How many minima differ in their low bits: planes are XORed, ORed together, and counted."""
-    # planes are not aligned to longs, so bits are counted per plane through shifted longs
-    length = 64
-
-    def piece(x: list[Column], start: int) -> Column:
-        word, shift = divmod(start, length)
-        if shift == 0:
-            return x[word]
-        low = F.shiftleft(x[word], shift)
-        return low if word + 1 >= LONGS else low.bitwiseOR(F.shiftrightunsigned(x[word + 1], length - shift))
-
-    xs = [F.get(a, i).bitwiseXOR(F.get(b, i)) for i in range(LONGS)]
+def _differing(a: Column, b: Column) -> Column:
+    """How many lanes differ in their low bits: planes are XORed, ORed together, and counted."""
     total = F.lit(0)
-    for start in range(0, MINIMA, length):
-        width = min(length, MINIMA - start)
-        folded = piece(xs, start)
-        for plane in range(1, BITS):
-            folded = folded.bitwiseOR(piece(xs, plane * MINIMA + start))
-        if width < length:  # only the leading lanes are of this plane
-            folded = F.shiftrightunsigned(folded, length - width)
-        total = total + F.bit_count(folded)
+    for word in range(PLANE):
+        differ = [F.get(a, i).bitwiseXOR(F.get(b, i)) for i in range(word, BITS * PLANE, PLANE)]
+        total = total + F.bit_count(reduce(Column.bitwiseOR, differ))
     return total
 
 
 def estimated_similarity(a: Column, b: Column) -> Column:
     """Similarity of two signatures, corrected for lanes that agree by chance."""
     chance = 2.0**-BITS
-    agree = 1 - _fold(a, b) / MINIMA
+    agree = 1 - _differing(a, b) / LANES
     return (agree - chance) / (1 - chance)
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate that a pair of similarity ``percent`` falls below by chance only ``DEVIATIONS`` deviations off."""
+    chance = 2.0**-BITS
+    agree = percent / 100 + (1 - percent / 100) * chance
+    return percent / 100 - DEVIATIONS * math.sqrt(agree * (1 - agree) / LANES) / (1 - chance) - 1e-9
+
+
 SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -137,7 +138,6 @@ SIGNED = T.StructType(
         T.StructField("n_shingles", T.LongType()),
         T.StructField("class", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("signature", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -147,18 +147,16 @@ def _class_of(shingles: np.ndarray) -> bytes:
 
 
 def sign_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, class, bands and signature per row; the last three are null for empty sets."""
+    """doc_id, text_key, n_shingles, class and bands per row; the last two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sizes, classes, bands, signatures = [], [], [], []
+                sizes, classes, bands = [], [], []
                 for s in shingle_sets(*column_bytes(part.column("text"))):
                     sizes.append(s.size)
-                    low = minima(s) if s.size else None
                     classes.append(_class_of(s) if s.size else None)
-                    bands.append(band_keys(low) if s.size else None)
-                    signatures.append(signature(low) if s.size else None)
+                    bands.append(band_keys(minima(s)) if s.size else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -166,7 +164,6 @@ def sign_documents(docs: DataFrame) -> DataFrame:
                         pa.array(sizes, pa.int64()),
                         pa.array(classes, pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(signatures, pa.list_(pa.int64())),
                     ],
                     SIGNED.names,
                 )
@@ -175,22 +172,26 @@ def sign_documents(docs: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class and the packed shingle set of every text whose key is in ``wanted``."""
+    """class, packed shingle set and signature of every text whose key is in ``wanted``, which has no blank texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(*column_bytes(part.column("text"))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_class_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["class", "shingles"],
+                    [
+                        pa.array([_class_of(s) for s in sets], pa.binary()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                        pa.array([signature(s) for s in sets], pa.list_(pa.int64())),
+                    ],
+                    ["class", "shingles", "signature"],
                 )
 
     keyed = docs.select(F.xxhash64("text").alias("text_key"), "text")
     texts = with_maybe(keyed, F.col("text_key"), bitmap(wanted, "text_key")).filter("_maybe").drop("_maybe")
     texts = texts.join(wanted, "text_key", "left_semi")
-    sets = texts.mapInArrow(run, "class binary, shingles binary")
-    return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
+    sets = texts.mapInArrow(run, "class binary, shingles binary, signature array<long>")
+    return sets.groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,26 +212,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def _short(key: Column) -> Column:
+    """The high half of a band key."""
+    return F.shiftright(key, 32).cast("int")
+
+
 def _candidates(live: DataFrame, centres: int, percent: int) -> DataFrame:
     """Pairs (a, b) of the first ``centres`` members of every bucket with the members behind them, where a link is possible.
 
     ``live``: bucket, class, component, n (set size), common (at most so many
-    shingles in any other set), signature. Members go by the number of shingles
-    nobody else has, so the first is nearest to what the bucket shares. Pairs
-    that cannot reach ``percent``, or that are connected, do not leave the join.
+    shingles in any other set), signature, bands. Members go by the number of
+    shingles nobody else has, so the first is nearest to what the bucket shares.
+    Pairs that cannot reach ``percent``, that are connected, or that meet in an
+    earlier band's bucket too do not leave the join. The earlier bucket stays
+    open until the pair is compared there or connected.
     """
     live = live.withColumn("place", F.struct((F.col("n") - F.col("common")).alias("alone"), "class"))
     first = live.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("place")))
     first = first.filter(F.col("rank") <= centres)
-    named = ("class", "component", "place", "n", "common", "signature")
+    named = ("class", "component", "place", "n", "common", "signature", "bands")
     one = first.select("bucket", *[F.col(c).alias(f"{c}_a") for c in named])
     two = live.select("bucket", *[F.col(c).alias(f"{c}_b") for c in named])
     # no more in common than the smaller set, and than either has in common with anyone
     most = F.least("n_a", "n_b", "common_a", "common_b")
     possible = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
-    near = estimated_similarity(F.col("signature_a"), F.col("signature_b")) >= percent / 100 - SLACK
+    near = estimated_similarity(F.col("signature_a"), F.col("signature_b")) >= least_estimate(percent)
     apart = (F.col("component_a") != F.col("component_b")) & (F.col("place_b") > F.col("place_a"))
-    met = one.join(two, (one["bucket"] == two["bucket"]) & apart & possible & near)
+    here = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == _short(one["bucket"])
+    met = one.join(two, (one["bucket"] == two["bucket"]) & apart & possible & near & here)
     return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
@@ -276,7 +285,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.min("text_key").alias("text_key"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
-        F.first("signature").alias("signature"),
     )
     classes = cut_lineage(classes, "classes")
     banded = classes.select("class", F.explode("bands").alias("bucket"))
@@ -286,9 +294,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     met = cut_lineage(members.select("class").distinct(), "met")
     sets = classes.join(met, "class").select("text_key").distinct()
     sets = cut_lineage(_full_sets(docs, cut_lineage(sets, "candidates")), "sets")
-    lanes = classes.join(met, "class").select("class", F.col("n_shingles").alias("n"), "signature")
+    # halves of the band keys tell the first band that two classes share
+    short = F.transform("bands", _short).alias("bands")
+    lanes = classes.join(met, "class").select("class", F.col("n_shingles").alias("n"), short)
+    lanes = lanes.join(sets.select("class", "signature"), "class")
     members = members.join(cut_lineage(lanes, "lanes"), "class")
-    members = members.select("bucket", "class", "n", "signature")
+    members = members.select("bucket", "class", "n", "signature", "bands")
 
     labels, centres = None, CENTRES
     live = members.select("*", F.col("class").alias("component"), F.col("n").alias("common"))

@@ -305,11 +305,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     live = members.select("*", F.col("class").alias("component"), F.col("n").alias("common"))
     while True:
         pairs = cut_lineage(_candidates(live, centres, percent), "pairs")
-        found = _confirmed(pairs, sets, percent)
-        if labels is not None:  # links found before count through their component
-            found = found.union(labels.filter(F.col("class") != F.col("component")).select("class", "component"))
-        labels = cut_lineage(components(cut_lineage(found, "found")).select(F.col("node").alias("class"), "component"), "labels")
-        live = live.drop("component").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        found = cut_lineage(_confirmed(pairs, sets, percent), "found")
+        if labels is None or not found.isEmpty():
+            if labels is not None:  # links found before count through their component
+                found = found.union(labels.filter(F.col("class") != F.col("component")).select("class", "component"))
+            labels = cut_lineage(components(found).select(F.col("node").alias("class"), "component"), "labels")
+            live = live.drop("component").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
         live = cut_lineage(_still_open(live, centres), "live")
         if live.isEmpty():
             break

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marketclime.functions.calendar import week_key, week_of_year, week_start
 from marketclime.functions.numbers import percent_change
 from marketclime.operators.numbering import number_rows
+from marketclime.session import cut_lineage
 
 MIN_DAYS = 150
 MIN_OBSERVATIONS = 4
@@ -106,10 +107,14 @@ def series_index(clean: DataFrame, mapping: DataFrame, min_days: int = MIN_DAYS)
 def market_days(clean: DataFrame) -> DataFrame:
     """One row: the latest market day and the one before it, over all items."""
     dates = clean.filter((F.col("usable") == 1) & F.col("date").isNotNull() & F.col("price_mode").isNotNull())
-    dates = dates.select("date").distinct()
-    latest = dates.agg(F.max("date").alias("latest"))
-    return dates.agg(
-        F.max("date").alias("latest"), F.max(F.when(F.col("date") < latest.scalar(), F.col("date"))).alias("previous")
+    return _last_days(dates.select("date").distinct())
+
+
+def _last_days(dates: DataFrame) -> DataFrame:
+    """One row: the last and the last but one of distinct dates, null where there is none."""
+    last = dates.orderBy(F.col("date").desc()).limit(2)
+    return last.agg(
+        F.max("date").alias("latest"), F.when(F.count(F.lit(1)) > 1, F.min("date")).alias("previous")
     )
 
 
@@ -117,10 +122,11 @@ def latest_snapshot(clean: DataFrame, mapping: DataFrame, min_observations: int
     """Every item listed on the latest market day, against the previous market day and its own week of year.
 
     One conditional aggregation per item over the rows of the two days and of
-    the latest day's week of year.
+    the latest day's week of year. The usable rows are written out first, so
+    cleaning runs once and not again for the two days.
     """
-    rows = usable_rows(clean)
-    days = market_days(clean)
+    rows = cut_lineage(usable_rows(clean), "usable")
+    days = cut_lineage(_last_days(rows.select("date").distinct()), "market-days")
     latest = days.select("latest").scalar()
     previous = days.select("previous").scalar()
     week = days.select(week_of_year(F.col("latest"))).scalar()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketclime.functions.calendar import span_label
 from marketclime.functions.text import month_label
 from marketclime.operators.quantiles import exact_quantiles
+from marketclime.session import cut_lineage
 
 MIN_PER_MONTH = 5
 MIN_MONTHS = 6
@@ -29,13 +30,16 @@ def item_profile(df: DataFrame, existing: DataFrame | None = None, min_days: int
         F.count_if(F.col("order_ok") == 0).alias("flagged"),
     )
     good = dated.filter(F.coalesce(F.col("order_ok") != 0, F.lit(True)))
-    priced = (
+    # distinct values and their counts, written once: every median below comes from them
+    priced = cut_lineage(
         good.filter(F.col("price_mode").isNotNull())
         .groupBy("item", F.month("date").alias("month"), "price_mode")
-        .agg(F.count(F.lit(1)).alias("rows"), F.min("ordinal").alias("ordinal"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("ordinal").alias("ordinal")),
+        "item-prices",
     )
+    listed = cut_lineage(good.groupBy("item", "quantity").agg(F.count(F.lit(1)).alias("rows")), "item-quantities")
     price = exact_quantiles(priced, ["item"], "price_mode", {"median_mode_price": 0.5}, weight="rows", count_as="_np")
-    quantity = exact_quantiles(good, ["item"], "quantity", {"median_qty_t": 0.5}, count_as="_nq")
+    quantity = exact_quantiles(listed, ["item"], "quantity", {"median_qty_t": 0.5}, weight="rows", count_as="_nq")
 
     monthly = exact_quantiles(priced, ["item", "month"], "price_mode", {"price": 0.5}, weight="rows")
     first_met = priced.groupBy("item", "month").agg(F.min("ordinal").alias("ordinal"))

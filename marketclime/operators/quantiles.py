@@ -84,14 +84,18 @@ def exact_quantiles(
 def exact_mad(
     df: DataFrame, keys: Sequence[str], value: str, min_values: int = 3, scale: float = 1.4826
 ) -> DataFrame:
-    """Median and scaled median absolute deviation per ``keys``; smaller groups are left out."""
+    """Median and scaled median absolute deviation per ``keys``; smaller groups are left out.
+
+    ``df`` is read once: its distinct values and their counts are written out,
+    and both medians come from them.
+    """
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).alias("_x"))
-    centre = exact_quantiles(rows, keys, "_x", {"median": 0.5}, count_as="values")
+    rows = cut_lineage(df.groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_times")), "values")
+    centre = exact_quantiles(rows, keys, "_x", {"median": 0.5}, weight="_times", count_as="values")
     centre = cut_lineage(centre.filter(F.col("values") >= min_values), "medians")
     deviations = rows.join(centre, keys).select(
-        *keys, "values", "median", F.abs(F.col("_x") - F.col("median")).alias("_dev")
+        *keys, "values", "median", "_times", F.abs(F.col("_x") - F.col("median")).alias("_dev")
     )
-    spread = exact_quantiles(deviations, [*keys, "values", "median"], "_dev", {"_mad": 0.5})
+    spread = exact_quantiles(deviations, [*keys, "values", "median"], "_dev", {"_mad": 0.5}, weight="_times")
     spread = spread.select(*keys, "values", "median", (F.col("_mad") * scale).alias("scale"))
     return cut_lineage(spread, "mad")

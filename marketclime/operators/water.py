@@ -1,9 +1,8 @@
 """Crop water demand over many sites, crops, planting dates and years.
 
 Weather is laid out as one array of days per (site, start year), long enough
-for any season that starts in that year. A block holds at most three calendar
-years, whatever the number of candidates, and candidates meet their block by
-an equi-join on (site, year); after that no step shuffles weather again.
+for the longest season that may start in that year, and candidates meet their
+block by an equi-join on (site, year); after that no step shuffles weather again.
 
 Shared columns:
 
@@ -37,8 +36,7 @@ from marketclime.functions.calendar import date_of, day_label
 from marketclime.operators.climate import complete_years
 from marketclime.session import cut_lineage
 
-MAX_SEASON_DAYS = 400
-MAX_VARIANTS = 10_000
+MAX_SEASON_DAYS = 400  # fixed value: a heat-driven season that has not ended by then has no length
 STAGES = ("ini", "dev", "mid", "late")
 STAGE_NAMES = ("initial", "development", "mid-season", "late")
 SENSITIVITY_BASES = (5.0, 8.0, 10.0, 12.0, 15.0)
@@ -50,12 +48,13 @@ def calibration_years(weather: DataFrame, min_days: int = 360) -> DataFrame:
     return cut_lineage(complete_years(weather, ["et0"], min_days).select("site_id", "year"), "years")
 
 
-def season_blocks(weather: DataFrame, years: DataFrame) -> DataFrame:
-    """Per (site, start year), the days of that and the next two years in date order.
+def season_blocks(weather: DataFrame, years: DataFrame, longest: int) -> DataFrame:
+    """Per (site, start year), the days that seasons of up to ``longest`` days may reach, in date order.
 
     Day ``k`` counts from 1 January of the start year. Weather is not limited
     to settled days or complete years; only start years are.
     """
+    last = 365 + max(longest, 1) - 1  # of a season planted on the last day of a leap year
     wind = F.coalesce("wind_mean", "wind_max")
     days = weather.select(
         "site_id",
@@ -66,21 +65,32 @@ def season_blocks(weather: DataFrame, years: DataFrame) -> DataFrame:
         "precip",
         wind_at_2m(wind).alias("u2"),
         rh_min(F.col("tmin"), F.col("tmax")).alias("rh"),
-        F.explode(F.array(*[F.year("date") - back for back in range(3)])).alias("year"),
+        F.explode(F.array(*[F.year("date") - back for back in range(last // 365 + 1)])).alias("year"),
     )
     k = F.datediff("date", date_of(F.col("year"), F.lit(1), F.lit(1)))
     return (
-        days.join(years, ["site_id", "year"], "left_semi")
+        days.filter(k <= last)
+        .join(years, ["site_id", "year"], "left_semi")
         .groupBy("site_id", "year")
         .agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), "tmin", "tmax", "et0", "precip", "u2", "rh"))).alias("days"))
     )
 
 
-def _variant_list(variants: DataFrame) -> Column:
-    """All variants as one array, refused beyond ``MAX_VARIANTS``: a parameter table, not data."""
-    listed = variants.agg(F.sort_array(F.collect_list(F.struct(*variants.columns))).alias("v"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_VARIANTS} crop variants")).cast(listed.schema["v"].dataType)
-    return listed.select(F.when(F.size("v") <= MAX_VARIANTS, F.col("v")).otherwise(too_many)).scalar()
+def _every_variant(years: DataFrame, variants: DataFrame) -> DataFrame:
+    """Each site-year with each variant, as is wanted of a calibration.
+
+    Site-years are dealt to parts and every part meets a copy of the variants,
+    so neither table is gathered in one place, whatever its size.
+    """
+    parts = int(years.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = years.withColumn("_part", F.pmod(F.xxhash64("site_id", "year"), F.lit(parts)).cast("int"))
+    copies = variants.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(copies, "_part").drop("_part")
+
+
+def _longest(df: DataFrame) -> int:
+    """The largest sum of stage lengths; 0 for an empty table."""
+    return df.agg(F.max(_total([F.col(s) for s in STAGES]))).first()[0] or 0
 
 
 def _total(lengths: Sequence[Column]) -> Column:
@@ -125,14 +135,13 @@ def reference_runs(
     base temperature; a run with a missing day is left out.
     """
     runs = (
-        years.withColumn("_v", _variant_list(variants))
-        .select("site_id", "year", F.inline("_v"))
+        _every_variant(years, variants)
         .select("site_id", "year", "crop_id", "variant", *STAGES, F.posexplode("months").alias("month_rank", "month"))
         .withColumn("day", F.lit(15))
     )
     lengths = [F.col(s) for s in STAGES]
     total = _total(lengths)
-    days = _season_days(runs, season_blocks(weather, years), total).select(
+    days = _season_days(runs, season_blocks(weather, years, _longest(variants)), total).select(
         *CANDIDATE, *STAGES, "month_rank", "start_k", F.inline_outer("days")
     )
     stage = stage_of_day(F.col("k") - F.col("start_k") + 1, *lengths[:3])
@@ -239,14 +248,18 @@ def _stage_lengths(heats: Column, start_k: Column, needs: Column) -> Column:
 
 
 def stage_lengths(
-    candidates: DataFrame, weather: DataFrame, years: DataFrame, cap: float | None = None
+    candidates: DataFrame,
+    weather: DataFrame,
+    years: DataFrame,
+    cap: float | None = None,
+    max_days: int = MAX_SEASON_DAYS,
 ) -> DataFrame:
-    """Stage lengths in days from the heat requirement, for every candidate that finishes within 400 days.
+    """Stage lengths in days from the heat requirement, for every candidate that finishes within ``max_days``.
 
     Candidates carry ``requirement`` and ``base``. Stages without a need take
     no day: the fold sees the positive needs only, and zeros are put back.
     """
-    days = _season_days(candidates, season_blocks(weather, years), F.lit(MAX_SEASON_DAYS))
+    days = _season_days(candidates, season_blocks(weather, years, max_days), F.lit(max_days))
     kept = [c for c in days.columns if c not in ("days", "start_k", *STAGES)]
     heats = F.transform(
         "days", lambda d: F.struct(d["k"].alias("k"), degree_days(d["tmin"], d["tmax"], F.col("base"), cap).alias("gdd"))
@@ -293,15 +306,18 @@ def season_run(
     rain_fraction: float = 0.0,
     frost_threshold: float = 0.0,
     heat_threshold: float | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Water balance and thermal record of each candidate season.
 
     Candidates carry stage lengths and the Kc columns. A season with a missing
     day or ET0 is left out. ``heat_threshold`` overrides the crop's own.
+    ``longest`` is a bound on the seasons' days where one is known; without it
+    the candidates are read for their longest season first.
     """
     ini, dev, mid, late = (F.col(s) for s in STAGES)
     total = ini + dev + mid + late
-    blocks = season_blocks(weather, years)
+    blocks = season_blocks(weather, years, _longest(candidates) if longest is None else longest)
     seasons = _season_days(candidates, blocks, total).withColumn("season_days", total)
 
     days = F.col("days")
@@ -428,11 +444,12 @@ def evaluate(
     keys = ["site_id", "crop_id", "variant"]
     limits = calibrated.select(*keys, "requirement", "lowest", "highest", "months", "frost_tolerant")
     candidates = planting_candidates(calibrated, years, dates)
+    longest = _longest(calibrated) if fixed_days else MAX_SEASON_DAYS
     if not fixed_days:
-        candidates = stage_lengths(candidates, weather, years, cap)
+        candidates = stage_lengths(candidates, weather, years, cap, longest)
     # the arrays of the calibration rejoin afterwards: day rows carry plain numbers only
     candidates = candidates.drop("requirement", "lowest", "highest", "months", "frost_tolerant")
-    seasons = season_run(candidates, weather, years, fw, efficiency, **season_options)
+    seasons = season_run(candidates, weather, years, fw, efficiency, longest=longest, **season_options)
     return thermal_fit(seasons.join(limits, keys), tolerance)
 
 

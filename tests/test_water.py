@@ -269,8 +269,24 @@ def test_base_sensitivity(setup, sites):
             assert row.season_days == (sum(lengths) if lengths else 0)
 
 
-def test_too_many_variants_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(water, "MAX_VARIANTS", 2)
-    listed = spark.range(1).withColumn("v", water._variant_list(spark.createDataFrame(CROPS, CROP_DDL)))
-    with pytest.raises(Exception, match="more than 2 crop variants"):
-        listed.select(F.size("v")).collect()
+def test_any_number_of_variants(spark):
+    years = spark.createDataFrame([("s", 2001), ("s", 2002), ("t", 2001)], "site_id string, year int")
+    variants = spark.range(10_001).select(F.lit("c").alias("crop_id"), F.col("id").cast("int").alias("variant"))
+    met = water._every_variant(years, variants)
+    assert met.count() == met.distinct().count() == 30_003
+
+
+@pytest.mark.parametrize("length", [1, 400, 800, 1200])
+def test_long_seasons_are_whole(spark, length):
+    first = dt.date(2000, 1, 1)
+    rows = [("s", first + dt.timedelta(days=i), 10.0, 20.0, 1.0, 0.0, 1.0, 1.0, "era5_archive") for i in range(2000)]
+    weather = spark.createDataFrame(rows, DDL)
+    years = spark.createDataFrame([("s", 2000)], "site_id string, year int")
+    crop = ("s", 2000, "c", 0, 12, 31, 0, 0, length, 0, 0.6, 1.05, 0.9, 0.7, None)
+    kc = "kc_ini double, kc_mid double, kc_end double, height double, heat_threshold double"
+    ddl = "site_id string, year int, crop_id string, variant int, month int, day int, ini int, dev int, mid int, late int, "
+    et0 = next(i for i, c in enumerate(weather.columns) if c == "et0")
+    for longest in (None, length):
+        row = water.season_run(spark.createDataFrame([crop], ddl + kc), weather, years, 1.0, 1.0, longest=longest).first()
+        assert row.season_days == length and row.et0_mm == pytest.approx(length * rows[0][et0])
+        assert row.end == dt.date(2000, 12, 31) + dt.timedelta(days=length - 1)

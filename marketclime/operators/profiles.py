@@ -21,14 +21,17 @@ def item_profile(df: DataFrame, existing: DataFrame | None = None, min_days: int
     Rows that fail the price order count as seen but not in the statistics.
     Peak and trough need five prices in a month and six such months; ties go
     to the month listed first. A zero quantity counts as a value here.
+    ``first_ordinal`` is the item's first row, dated or not.
     """
     dated = df.filter(F.col("date").isNotNull())
-    seen = dated.groupBy("item").agg(
-        F.count(F.lit(1)).alias("days_seen"),
+    seen = df.groupBy("item").agg(
+        F.count("date").alias("days_seen"),
+        F.min("ordinal").alias("first_ordinal"),
         F.min("date").alias("first_seen"),
         F.max("date").alias("last_seen"),
-        F.count_if(F.col("order_ok") == 0).alias("flagged"),
+        F.count_if((F.col("order_ok") == 0) & F.col("date").isNotNull()).alias("flagged"),
     )
+    seen = seen.filter(F.col("days_seen") > 0)
     good = dated.filter(F.coalesce(F.col("order_ok") != 0, F.lit(True)))
     # distinct values and their counts, written once: every median below comes from them
     priced = cut_lineage(
@@ -77,20 +80,22 @@ def item_profile(df: DataFrame, existing: DataFrame | None = None, min_days: int
         F.coalesce("notes", F.lit("")).alias("notes"),
         "flagged",
         span_label(F.col("first_seen"), F.col("last_seen")).alias("span"),
+        "first_ordinal",
     )
 
 
 def top_items(profile: DataFrame, n: int = 30) -> DataFrame:
-    """The items worth mapping first."""
-    return profile.orderBy(F.col("days_seen").desc(), "item").limit(n)
+    """The items worth mapping first; of items seen equally often, the one listed first."""
+    return profile.orderBy(F.col("days_seen").desc(), "first_ordinal").limit(n)
 
 
 def mapping_coverage(df: DataFrame, existing: DataFrame, min_days: int = 1) -> DataFrame:
-    """One row: distinct items, items above the threshold, mapped items, thin items."""
-    seen = df.groupBy("item").agg(F.count("date").alias("days_seen"))
+    """One row: rows read, dated rows, distinct items, items above the threshold, mapped items, thin items."""
+    seen = df.groupBy("item").agg(F.count("date").alias("days_seen"), F.count(F.lit(1)).alias("_rows"))
     seen = seen.join(existing.select("item", "crop_id"), "item", "left")
     kept = F.col("days_seen") >= min_days
     return seen.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows_read"),
         F.sum("days_seen").alias("dated_rows"),
         F.count(F.lit(1)).alias("distinct_items"),
         F.count_if(kept).alias("items"),
@@ -145,6 +150,6 @@ def days_per_year(rows: DataFrame) -> DataFrame:
 
 
 def frequent_items(rows: DataFrame, n: int = 15) -> DataFrame:
-    """The ``n`` items with most rows."""
-    counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("rows"))
-    return counts.orderBy(F.col("rows").desc(), "item").limit(n)
+    """The ``n`` items with most rows; of equal counts, the item listed first."""
+    counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("rows"), F.min("ordinal").alias("_first"))
+    return counts.orderBy(F.col("rows").desc(), "_first").limit(n).drop("_first")

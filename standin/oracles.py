@@ -193,18 +193,18 @@ prof as (
   select s.item, coalesce(crop_id, '') as crop_id, days_seen, first_seen, last_seen,
     round(mp, 4) as median_mode_price, {MONTHS}[hi] as peak_month, {MONTHS}[lo] as trough_month,
     round(mq, 4) as median_qty_t, '' as notes, flagged,
-    year(first_seen) || '-' || year(last_seen) as span
-  from (select item, count(*) as days_seen, min(date) as first_seen, max(date) as last_seen,
+    year(first_seen) || '-' || year(last_seen) as span, first_ordinal
+  from (select item, count(*) as days_seen, min(date) as first_seen, max(date) as last_seen, min(ordinal) as first_ordinal,
           count(*) filter (where order_ok = 0) as flagged from obs group by item) s
   left join st using (item) left join pk using (item)
   left join (select distinct p_name as item,
     case split_part(p_name, ' ', 2) when 'rod' then '' when 'ring' then 'ignore'
          else split_part(p_name, ' ', 2) end as crop_id from part) using (item))"""
-obs("item_profile", "select * from prof", _PROFILE)
-obs("top_items", "select item, days_seen, span from prof order by days_seen desc, item limit 30", _PROFILE)
+obs("item_profile", "select * exclude (first_ordinal) from prof", _PROFILE)
+obs("top_items", "select item, days_seen, span from prof order by days_seen desc, first_ordinal limit 30", _PROFILE)
 obs(
     "mapping_coverage",
-    """select sum(days_seen) as dated_rows, count(*) as distinct_items, count(*) as items,
+    """select (select count(*) from obs) as rows_read, sum(days_seen) as dated_rows, count(*) as distinct_items, count(*) as items,
   count(*) filter (where crop_id <> '') as mapped, count(*) filter (where days_seen < 100) as thin_items
 from prof""",
     _PROFILE,
@@ -232,4 +232,4 @@ obs(
 from obs where order_ok = 0 order by date, item, ordinal limit 5""",
 )
 obs("days_per_year", "select year(date) as year, count(distinct date) as days from obs group by 1")
-obs("frequent_items", "select item, count(*) as rows from obs group by item order by rows desc, item limit 15")
+obs("frequent_items", "select item, count(*) as rows from obs group by item order by rows desc, min(ordinal) limit 15")

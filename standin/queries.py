@@ -167,7 +167,8 @@ def exact_name_groups(spark, sf_dir):
 
 @query
 def item_profile(spark, sf_dir):
-    return tidy(profiles.item_profile(views.observations(spark, sf_dir), views.mapping(spark, sf_dir)))
+    profile = profiles.item_profile(views.observations(spark, sf_dir), views.mapping(spark, sf_dir))
+    return tidy(profile.drop("first_ordinal"))
 
 
 @query

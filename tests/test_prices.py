@@ -116,3 +116,11 @@ def test_parse_report(rows, spark):
     by_year = sorted(tuple(r) for r in profiles.order_failures_by_year(df).collect())
     assert by_year == [(2020, 0, 1), (2021, 1, 2)]
     assert [tuple(r) for r in profiles.frequent_items(df, 1).collect()] == [("a", 2)]
+
+
+def test_equal_counts_go_by_first_listing(rows):
+    df = rows((1, None, "z", 1, 2, 3, 5), (2, "2020-01-01", "a", 1, 2, 3, 5), (3, "2020-01-01", "z", 5, 2, 3, 5))
+    assert [r.item for r in profiles.top_items(profiles.item_profile(df), 1).collect()] == ["z"]
+    even = df.filter("ordinal > 1").withColumn("ordinal", -df.ordinal)
+    assert [tuple(r) for r in profiles.frequent_items(even, 1).collect()] == [("z", 1)]
+    assert profiles.mapping_coverage(df, df.select("item", df.item.alias("crop_id")).limit(0)).first().rows_read == 3

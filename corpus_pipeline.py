@@ -17,6 +17,7 @@ from marketclime.llm import bpe, contamination, minhash, quality, secrets
 from marketclime.session import scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
+NEAR_PERCENT = 80  # similarity from which documents are near-duplicates; op8 by itself takes 85
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of smallest id."""
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,23 +46,34 @@ from marketclime.llm.textbytes import (
 from marketclime.session import cut_lineage
 
 WORDS = 5
-BANDS, ROWS = 24, 5  # at similarity 0.85 all bands miss a pair once in a million
-MINIMA = BANDS * ROWS
+ROWS = 5  # minima a band
+MISSES = 1e-6  # share of the pairs just similar enough that no band may find
 BITS, LANES = 2, 256  # of the signature; its minima are others than the bands'
 PLANE = LANES // 64  # longs that hold one bit of every lane
 DEVIATIONS = 5  # of the estimate, by which it may fall short
 CENTRES, GROWTH = 1, 16  # centres per bucket in the first round, and their growth
 
-_random = np.random.default_rng(20)
 
+def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(seed)
+    factor = random.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factor, random.integers(0, 1 << 63, count, np.uint64)
 
-def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
-    factor = _random.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
-    return factor, _random.integers(0, 1 << 63, count, np.uint64)
 
+def bands_for(percent: int) -> int:
+    """The fewest bands that miss a pair of similarity ``percent`` at most once in a million: 24 at 85, 35 at 80."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 1 to 100")
+    missed = 1 - (percent / 100) ** ROWS  # by one band
+    return math.ceil(math.log(MISSES) / math.log(missed)) if missed else 1
 
-BAND_FUNCTIONS = _functions(MINIMA)
-LANE_FUNCTIONS = _functions(LANES)
+
+def band_functions(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash functions of all bands' minima."""
+    return _functions(bands_for(percent) * ROWS, 20)
+
+
+LANE_FUNCTIONS = _functions(LANES, 21)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -80,7 +91,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> Itera
             yield np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = BAND_FUNCTIONS) -> np.ndarray:
+def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The smallest value of each hash function over a set."""
     factor, offset = functions
     out = np.full(factor.size, (1 << 32) - 1, np.uint64)
@@ -95,9 +106,10 @@ def minima(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = BAND
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     """A key per band; equal minima in a band give equal keys, different bands different ones."""
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    low = low.reshape(-1, ROWS)
+    out = np.arange(1, low.shape[0] + 1, dtype=np.uint64)
     for k in range(ROWS):
-        out = mix(out * np.uint64(SECOND_BASE) + low.reshape(BANDS, ROWS)[:, k])
+        out = mix(out * np.uint64(SECOND_BASE) + low[:, k])
     return out.view(np.int64)
 
 
@@ -146,8 +158,9 @@ def _class_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sign_documents(docs: DataFrame) -> DataFrame:
+def sign_documents(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_key, n_shingles, class and bands per row; the last two are null for empty sets."""
+    functions = band_functions(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +169,7 @@ def sign_documents(docs: DataFrame) -> DataFrame:
                 for s in shingle_sets(*column_bytes(part.column("text"))):
                     sizes.append(s.size)
                     classes.append(_class_of(s) if s.size else None)
-                    bands.append(band_keys(minima(s)) if s.size else None)
+                    bands.append(band_keys(minima(s, functions)) if s.size else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -278,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Null and blank texts are linked with nothing and kept. Null ids have the
     component's smallest id; a component without any id keeps its rows.
     """
-    signed = cut_lineage(sign_documents(docs), "signatures")
+    signed = cut_lineage(sign_documents(docs, percent), "signatures")
     classes = signed.filter(F.col("class").isNotNull()).groupBy("class")
     classes = classes.agg(
         F.min("doc_id").alias("first_id"),

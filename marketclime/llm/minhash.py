@@ -281,8 +281,13 @@ def _still_open(live: DataFrame, centres: int) -> DataFrame:
     return live.join(cut_lineage(state, "open"), "bucket", "left_semi")
 
 
+def _order() -> Column:
+    """What the rows of a component go by: ids before nulls, then the key of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept per row of ``docs`` (doc_id, text).
+    """doc_id, text_key, n_shingles, component_id, kept and stays per row of ``docs`` (doc_id, text).
 
     Words are maximal runs without space or 0x09-0x0D, A-Z lower-cased. Two
     documents are linked where their sets of 5-word shingles (fewer words: the
@@ -290,11 +295,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component_id is the smallest doc_id reachable, and ``kept`` marks its rows.
     Null and blank texts are linked with nothing and kept. Null ids have the
     component's smallest id; a component without any id keeps its rows.
+    ``stays`` marks the one document of each component that has the smallest id
+    and text key, ids before nulls, with all its copies; and blank texts.
     """
     signed = cut_lineage(sign_documents(docs, percent), "signatures")
     classes = signed.filter(F.col("class").isNotNull()).groupBy("class")
     classes = classes.agg(
-        F.min("doc_id").alias("first_id"),
+        F.min(_order()).alias("first_row"),
         F.min("text_key").alias("text_key"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
@@ -338,30 +345,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         live = cut_lineage(live.filter(hopeful).drop("smallest"), "hopeful")
         centres *= GROWTH
 
-    placed = classes.select("class", "first_id").join(labels, "class", "left")
-    placed = placed.select("class", "first_id", F.coalesce("component", "class").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("first_id").alias("least_id"))
-    ids = cut_lineage(placed.join(smallest, "component").select("class", "least_id"), "component-ids")
+    placed = classes.select("class", "first_row").join(labels, "class", "left")
+    placed = placed.select("class", "first_row", F.coalesce("component", "class").alias("component"))
+    smallest = placed.groupBy("component").agg(F.min("first_row").alias("least"))
+    ids = cut_lineage(placed.join(smallest, "component").select("class", "least"), "component-ids")
     out = signed.select("doc_id", "text_key", "n_shingles", "class").join(ids, "class", "left")
-    component_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    component_id = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return out.select(
         "doc_id",
         "text_key",
         "n_shingles",
         component_id.alias("component_id"),
         F.col("doc_id").eqNullSafe(component_id).alias("kept"),
+        (F.col("class").isNull() | (_order() == F.col("least"))).alias("stays"),
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``: the smallest doc_id's; blank texts all stay.
 
-    Rows that go are told by id and text. Of rows equal in both one stays.
+    Rows that go are told by id and text. Of rows equal in both one stays, and
+    of texts that share the smallest id, or have none, that of the smallest key.
     """
     found = near_duplicates(docs, percent)
     named = F.struct(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    gone = found.filter(~F.col("kept")).select(named.alias("_gone")).distinct()
-    again = found.filter(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_key").count().filter("count > 1")
+    gone = found.filter(~F.col("stays")).select(named.alias("_gone")).distinct()
+    again = found.filter(F.col("stays") & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_key").count().filter("count > 1")
     gone = cut_lineage(gone.select("_gone._id", "_gone._key"), "gone")
     again = cut_lineage(again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "again")
     key = F.xxhash64("text")

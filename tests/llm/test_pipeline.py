@@ -25,3 +25,15 @@ def test_bands_follow_the_similarity():
     assert minhash.bands_for(85) == 24 and minhash.bands_for(100) == 1
     for percent in (50, 80, 85, 95):
         assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands_for(percent) <= 1e-6
+
+
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    same, none, mixed = near_pair("same", 90, 4), near_pair("none", 90, 4), near_pair("mixed", 90, 4)
+    rows = [(5, same[0]), (5, same[1]), (5, same[1]), (None, none[0]), (None, none[1]), (None, mixed[0]), (8, mixed[1]), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, text, "en", "s", 1) for i, text in rows], DOCS)
+    out = minhash.keep_one(docs).collect()
+    groups = sorted((r.text or "").rstrip("0123456789 ")[:4] for r in out)
+    assert groups == ["", "", "mixe", "none", "same"]
+    assert {r.doc_id for r in out} == {5, 8, 9, None}
+    # the contract's column still marks every row of the smallest id
+    assert minhash.near_duplicates(docs).filter("kept").count() == 8

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketclime.llm import bpe, chat, contamination, lm, minhash, quality, repeats, secrets, slots, urls
+from marketclime.llm import alignment, bpe, chat, contamination, langid, lm, minhash, quality, repeats, search, secrets, slots, urls
 from marketclime.session import scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
+BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 # fixed values: rules and the probe conversation that results must agree on
 URL_RULES = (
     ("allow", "com/"),
@@ -80,6 +82,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +107,9 @@ QUERIES = {
         op8_minhash_dedup,
         op9_url_filter,
         op10_quality_rules,
+        op11_lexical_search,
+        op12_tokenizer_alignment,
+        op13_language_id,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -128,4 +145,32 @@ best as (
   from parts join rules on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
 from parts left join (from best where place = 1) using (r)""",
+    "op11_lexical_search": r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from documents),
+sizes as (select doc_id, len(t)::bigint as n from words where len(t) > 0),
+corpus as (select count(*)::bigint as big_n, sum(n)::bigint as l from sizes),
+wanted as (
+  select i, item_id, term, count(*)::bigint as repeats from (
+    select i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select row_number() over () as i, item_id, text from benchmark))
+  group by i, item_id, term),
+tf as (
+  select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(t) as term from words)
+  where term in (select term from wanted) group by doc_id, term),
+w as (
+  select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*)::bigint as df from tf group by term), corpus),
+impact as (
+  select doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // l))) as impact
+  from tf join w using (term) join sizes using (doc_id), corpus),
+scored as (
+  select i, item_id, doc_id, sum(repeats * impact)::bigint as score
+  from wanted join impact using (term) group by i, item_id, doc_id),
+ranked as (
+  select *, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 20""",
 }

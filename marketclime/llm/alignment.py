@@ -27,8 +27,11 @@ libraries themselves. A segment is never cut elsewhere, however long it is.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -46,8 +49,13 @@ from marketclime.session import cut_lineage
 SHARD = 1 << 17
 PASS = 1 << 23
 FAN = 32
+# Fixed value: the pattern that byte-level pre-tokenizers split by.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = regex.compile(r"(?<=\S) (?=\S)")
 BLOCK = 1 << 22  # pairs listed at once
+SLICE = 2 << 20  # bytes of text aligned at once
+KEPT = 1 << 18
+ENCODED = 1 << 12  # segments handed to a library as one text
 
 PARTIAL = "pair long, n long"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
@@ -61,13 +69,38 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _ranked(spec: dict, tokens: list[bytes]):
+    """A tiktoken encoding that gives the ids of a byte-level BPE vocabulary, or None where its ids are no ranks."""
+    import tiktoken
+
+    model, splits = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = not spec.get("normalizer") and splits.get("type") == "ByteLevel" and splits.get("use_regex", True)
+    plain = plain and not splits.get("add_prefix_space") and model.get("type") == "BPE"
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return None
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if any(model["vocab"].get(x + y) != 256 + i for i, (x, y) in enumerate(merges)):
+        return None
+    ranks = {tokens[i]: i for i in range(256 + len(merges))}
+    if len(ranks) != 256 + len(merges) or any(len(tokens[i]) != 1 for i in range(256)):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
-    """Both libraries, and the bytes of every id."""
+    """Both libraries, and the bytes of every id.
+
+    Where a byte-level vocabulary numbers its merges in order, splits by the
+    usual pattern and does nothing else, its ids are ranks, and the tiktoken
+    library gives the same ids in a quarter of the time; it is then used for A.
+    """
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
@@ -77,6 +110,9 @@ class Tokenizers:
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
         if len(self.a_bytes) > 1 << 16 or len(self.b_bytes) > 1 << 16:
             raise ValueError("vocabularies of at most 65,536 entries")
+        self.ranked = _ranked(json.loads(a), self.a_bytes)
+        ids = range(max(len(self.a_bytes), len(self.b_bytes)))
+        self.labels = [np.array([b"%d%s" % (i, end) for i in ids], "S6") for end in (b",", b"|", b";")]
         self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
 
@@ -84,9 +120,58 @@ class Tokenizers:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
-        return a, self.b.encode(segments, num_threads=1)
+    def encode(self, segments: list[str], regular: int) -> tuple[np.ndarray, ...]:
+        """The ids of A and of B of all segments, how many each segment has of both, and whether they join to its bytes.
+
+        The first ``regular`` segments have no white space at their edges, so
+        many of them are one text to the libraries; each one's ids are told by
+        the bytes they cover. Where that fails, and for the other segments, each
+        is encoded by itself.
+        """
+        parts = []
+        first = 0
+        while first < len(segments):
+            last = min(first + ENCODED, regular) if first < regular else len(segments)
+            part = segments[first:last]
+            parts.append((self._together(part) if first < regular else None) or self._apart(part))
+            first = last
+        a, b, sizes_a, sizes_b, whole = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 5))
+        return a, b, sizes_a, sizes_b, whole.astype(bool)
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        spaced = [" " + t for t in texts]
+        if self.ranked:
+            a = [self.ranked.encode_ordinary(t) for t in spaced]
+        else:
+            a = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        return a, self.b.encode(texts, num_threads=1)
+
+    def _together(self, segments: list[str]) -> tuple[np.ndarray, ...] | None:
+        text = " ".join(segments)
+        want = b" " + text.encode()
+        ends = np.cumsum([len(s.encode()) + 1 for s in segments])
+        ids, counts = [], []
+        for own, vocabulary, sizes in zip(self._ids([text]), (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes)):
+            if b"".join(map(vocabulary.__getitem__, own[0])) != want:
+                return None
+            flat = np.array(own[0], np.int64)
+            covered = np.cumsum(sizes[flat])
+            at = np.searchsorted(covered, ends)
+            if (covered[at] != ends).any():
+                return None
+            ids.append(flat)
+            counts.append(np.diff(at, prepend=-1))
+        return *ids, *counts, np.ones(len(segments), bool)
+
+    def _apart(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        a, b = self._ids(segments)
+        whole = np.ones(len(segments), bool)
+        for i, s in enumerate(segments):
+            want = b" " + s.encode()
+            if b"".join([self.a_bytes[t] for t in a[i]]) != want or b"".join([self.b_bytes[t] for t in b[i]]) != want:
+                whole[i], a[i], b[i] = False, [], []
+        (flat_a, n_a), (flat_b, n_b) = _flat(a), _flat(b)
+        return flat_a, flat_b, n_a, n_b, whole
 
 
 @dataclass
@@ -103,59 +188,78 @@ class Aligned:
     pairs: np.ndarray  # A id << 16 | B id
     times: np.ndarray
 
+    def take(self, rows: np.ndarray) -> Aligned:
+        sizes = np.diff(self.first)[rows]
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(self.first[rows] - first[:-1], sizes) + np.arange(int(first[-1]))
+        groups = [self.groups[i] for i in rows.tolist()] if self.groups else []
+        numbers = [x[rows] for x in (self.whole, self.n_a, self.n_b, self.n_groups, self.n_links)]
+        return Aligned(*numbers, groups, first, self.pairs[at], self.times[at])
+
+    def joined(self, other: Aligned) -> Aligned:
+        def both(name: str) -> np.ndarray:
+            return np.concatenate([getattr(self, name), getattr(other, name)])
+
+        first = np.concatenate([self.first, self.first[-1] + other.first[1:]])
+        numbers = [both(c) for c in ("whole", "n_a", "n_b", "n_groups", "n_links")]
+        return Aligned(*numbers, self.groups + other.groups, first, both("pairs"), both("times"))
+
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if values.size else values
 
 
-def _labels(ids: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Decimal ids, each with its separator, as fixed-width bytes."""
-    return np.char.add(ids.astype("S5"), after)
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``values``, of the given sizes."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(sizes)
+    return upto[ends] - upto[ends - sizes]
 
 
-def align(tokens: Tokenizers, segments: list[str]) -> Aligned:
-    """Encode and align segments, each with a space before it."""
-    a_lists, b_lists = tokens.encode(segments)
-    raw = [b" " + s.encode() for s in segments]
-    whole = np.ones(len(segments), bool)
-    for i, want in enumerate(raw):
-        if b"".join([tokens.a_bytes[t] for t in a_lists[i]]) != want or b"".join([tokens.b_bytes[t] for t in b_lists[i]]) != want:
-            whole[i], a_lists[i], b_lists[i] = False, [], []
-    a, n_a = _flat(a_lists)
-    b, n_b = _flat(b_lists)
+def align(tokens: Tokenizers, segments: list[str], regular: int, texts: bool) -> Aligned:
+    """Encode and align segments, each with a space before it; ``groups`` is left empty where ``texts`` is not set."""
+    a, b, n_a, n_b, whole = tokens.encode(segments, regular)
     # both sides cover the same bytes, so one running offset places all segments
     a_end, b_end = np.cumsum(tokens.a_sizes[a]), np.cumsum(tokens.b_sizes[b])
-    ends = np.intersect1d(a_end, b_end)
-    a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
-    of_a, of_b = np.bincount(a_group, minlength=ends.size), np.bincount(b_group, minlength=ends.size)
+    marks = np.zeros(int(a_end[-1]) + 1 if a.size else 1, np.uint8)
+    marks[a_end] = 1
+    marks[b_end] += 1
+    before = np.cumsum(marks == 2) - (marks == 2)  # ends of both before each byte offset
+    a_group, b_group = before[a_end], before[b_end]
+    groups = int(np.count_nonzero(marks == 2))
+    of_a, of_b = np.bincount(a_group, minlength=groups), np.bincount(b_group, minlength=groups)
     segment = np.repeat(np.arange(len(segments)), n_a)
-    group_segment = segment[np.cumsum(of_a) - 1] if ends.size else np.zeros(0, np.int64)
+    group_segment = segment[np.cumsum(of_a) - 1] if groups else np.zeros(0, np.int64)
     n_groups = np.bincount(group_segment, minlength=len(segments))
-    links = np.bincount(group_segment, of_a.astype(float) * of_b, len(segments))
+    links = _sums(of_a * of_b, n_groups)
     return Aligned(
-        whole, n_a, n_b, n_groups, np.rint(links).astype(np.int64), _texts(a, b, a_group, b_group, group_segment, len(segments)),
+        whole, n_a, n_b, n_groups, links, _texts(tokens, a, b, a_group, b_group, _sums(of_a + of_b, n_groups)) if texts else [],
         *_pairs(a, b, of_a, of_b, group_segment, len(segments)),
     )
 
 
-def _texts(a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, segment: np.ndarray, n: int) -> list[bytes]:
-    """``a1,a2|b1;...`` of each segment."""
+def _texts(tokens: Tokenizers, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """``a1,a2|b1;...`` of each segment; ``sizes``: its tokens of both kinds."""
     last_a, last_b = np.ones(a.size, bool), np.ones(b.size, bool)
     last_a[:-1] = a_group[1:] != a_group[:-1]
     last_b[:-1] = b_group[1:] != b_group[:-1]
-    all_a = _labels(a, np.where(last_a, b"|", b","))
-    all_b = _labels(b, np.where(last_b, b";", b","))
-    groups = segment.size
+    groups = int(a_group[-1]) + 1 if a.size else 0
     before_b = np.concatenate([[0], np.cumsum(np.bincount(b_group, minlength=groups))])
     upto_a = np.cumsum(np.bincount(a_group, minlength=groups))
-    out = np.empty(a.size + b.size, "S6")
-    out[np.arange(a.size) + before_b[a_group]] = all_a
-    out[np.arange(b.size) + upto_a[b_group]] = all_b
-    upto = upto_a + before_b[1:]  # tokens up to the end of each group
-    last = np.searchsorted(segment, np.arange(n), "right")
-    edges = np.concatenate([[0], np.where(last > 0, upto[np.maximum(last, 1) - 1] if groups else 0, 0)])
-    return [out[edges[i] : edges[i + 1]].tobytes().replace(b"\0", b"")[:-1] for i in range(n)]
+    inner, end_a, end_b = tokens.labels
+    out = np.empty(a.size + b.size, inner.dtype)
+    out[np.arange(a.size) + before_b[a_group]] = np.where(last_a, end_a[a], inner[a])
+    out[np.arange(b.size) + upto_a[b_group]] = np.where(last_b, end_b[b], inner[b])
+    written = _sums(np.char.str_len(out), sizes)
+    whole = out.tobytes().translate(None, b"\0")
+    ends = np.cumsum(written)
+    return [whole[i:j][:-1] for i, j in zip((ends - written).tolist(), ends.tolist())]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,39 +297,93 @@ def _pairs(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, seg
     return np.searchsorted(owner[at], np.arange(n + 1)), keys[at], np.add.reduceat(times, at)
 
 
-def cut(text: str) -> list[str]:
-    """Segments of a text: cut at every single space between two other characters that are no white space."""
-    parts = text.split(" ")
-    if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-        return parts
-    return CUT.split(text)
+class Known:
+    """The alignments of segments that a worker has met, most used ones kept; ``KEPT`` of them at most, none of a long segment."""
+
+    def __init__(self, tokens: Tokenizers, groups: bool):
+        self.tokens, self.groups = tokens, groups
+        self.rows: dict[str, int] = {}
+        self.store = align(tokens, [], 0, groups)
+        self.uses = np.zeros(0, np.int64)
+
+    def find(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each segment, -1 where it is new, and whether it is empty or has white space at an edge (then it is new)."""
+        get = self.rows.get
+        rows = np.fromiter((get(s, -1) for s in segments), np.int64, len(segments))
+        ragged = np.zeros(rows.size, bool)
+        new = np.flatnonzero(rows < 0)
+        ragged[new] = [not s or s[0].isspace() or s[-1].isspace() for s in map(segments.__getitem__, new.tolist())]
+        return rows, ragged
+
+    def align(self, segments: list[str], rows: np.ndarray, ragged: np.ndarray) -> Aligned:
+        """The alignment of ``segments``; ``rows`` and ``ragged`` as found."""
+        new = np.flatnonzero(rows < 0)
+        new = new[np.argsort(ragged[new], kind="stable")]
+        fresh = align(self.tokens, [segments[i] for i in new.tolist()], int(np.count_nonzero(~ragged[new])), self.groups)
+        at = rows.copy()
+        at[new] = self.uses.size + np.arange(new.size)
+        out = self.store.joined(fresh).take(at)
+        self.uses[rows[rows >= 0]] += 1
+        keep = [k for k, i in enumerate(new.tolist()) if not ragged[i] and len(segments[i]) <= 64 and fresh.whole[k]]
+        for k, row in zip(keep, range(self.uses.size, self.uses.size + len(keep))):
+            self.rows[segments[new[k]]] = row
+        self.store = self.store.joined(fresh.take(np.array(keep, np.int64)))
+        self.uses = np.concatenate([self.uses, np.ones(len(keep), np.int64)])
+        if self.uses.size > KEPT:
+            self._thin()
+        return out
+
+    def _thin(self) -> None:
+        stay = np.sort(np.argsort(-self.uses, kind="stable")[: KEPT // 2])
+        stay = stay[self.uses[stay] > 1]
+        place = np.full(self.uses.size, -1)
+        place[stay] = np.arange(stay.size)
+        self.rows = {s: r for s, i in self.rows.items() if (r := int(place[i])) >= 0}
+        self.store, self.uses = self.store.take(stay), (self.uses[stay] + 1) // 2
 
 
 class Slice:
-    """The texts of a slice as numbers of distinct segments, and their alignment."""
+    """The texts of a slice as numbers of distinct segments, and their alignment.
 
-    def __init__(self, tokens: Tokenizers, texts: list[str | None]):
-        numbers: dict[str, int] = {}
-        lists = [[numbers.setdefault(s, len(numbers)) for s in cut(t)] if t else [] for t in texts]
-        self.segments, self.sizes = _flat(lists)
-        self.aligned = align(tokens, list(numbers))
+    A segment ends at every single space between two other characters that are
+    no white space. Most texts can be split at every space; whether one can is
+    seen from its distinct parts, none of which may be blank at an edge.
+    """
+
+    def __init__(self, known: Known, texts: list[str | None]):
+        parts = [t.split(" ") if t else [] for t in texts]
+        sizes, numbers, distinct = self._numbered(parts)
+        rows, ragged = known.find(distinct)
+        odd = _sums(ragged[numbers], sizes) > 0
+        if odd.any():
+            parts = [CUT.split(t) if o else p for t, p, o in zip(texts, parts, odd)]
+            sizes, numbers, distinct = self._numbered(parts)
+            rows, ragged = known.find(distinct)
+        self.aligned = known.align(distinct, rows, ragged)
+        self.good = (_sums(~self.aligned.whole[numbers], sizes) == 0) & (sizes > 0)
+        fine = np.repeat(self.good, sizes)
+        self.segments, self.sizes = numbers[fine], np.where(self.good, sizes, 0)
         self.text = np.repeat(np.arange(len(texts)), self.sizes)
-        broken = np.bincount(self.text, ~self.aligned.whole[self.segments], len(texts)) > 0
-        self.good = ~broken & (self.sizes > 0)
-        self.lists = [x if g else [] for x, g in zip(lists, self.good)]
-        fine = self.good[self.text]
-        self.segments, self.text = self.segments[fine], self.text[fine]
+
+    @staticmethod
+    def _numbered(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        numbers, distinct = pd.factorize(np.array(list(chain.from_iterable(parts)), object))
+        return np.fromiter(map(len, parts), np.int64, len(parts)), numbers, distinct.tolist()
 
     def total(self, per_segment: np.ndarray) -> np.ndarray:
         """Sums of a segment's numbers over each text, in whole numbers."""
-        sums = np.concatenate([[0], np.cumsum(per_segment[self.segments], dtype=np.int64)])
-        upto = np.searchsorted(self.text, np.arange(self.sizes.size + 1))
-        return sums[upto[1:]] - sums[upto[:-1]]
+        return _sums(per_segment[self.segments], self.sizes)
+
+    def groups(self) -> list[bytes]:
+        """The groups of each text."""
+        of, numbers = self.aligned.groups, self.segments.tolist()
+        ends = np.cumsum(self.sizes)
+        return [b";".join([of[n] for n in numbers[i:j]]) for i, j in zip((ends - self.sizes).tolist(), ends.tolist())]
 
     def documents_with(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs and the number of texts each is linked in."""
         x, many = self.aligned, max(1, self.aligned.n_a.size)
-        met = np.unique(self.text * many + self.segments)
+        met = _distinct(self.text * many + self.segments)
         text, segment = met // many, met % many
         keys, counts = [], []
         sizes = np.diff(x.first)[segment]
@@ -237,8 +395,8 @@ class Slice:
             last = int(np.searchsorted(text, text[last - 1], "right"))
             many_of = sizes[first:last]
             at = np.repeat(x.first[segment[first:last]] - np.cumsum(many_of) + many_of, many_of) + np.arange(int(many_of.sum()))
-            both = np.unique(np.repeat(text[first:last], many_of) << 32 | x.pairs[at])
-            pair, n = np.unique(both & 0xFFFFFFFF, return_counts=True)
+            both = _distinct(np.repeat(text[first:last], many_of) << 32 | x.pairs[at])
+            pair, n = added(both & 0xFFFFFFFF, np.ones(both.size, np.int64))
             keys.append(pair)
             counts.append(n)
             first = last
@@ -247,12 +405,6 @@ class Slice:
         return added(np.concatenate(keys), np.concatenate(counts))
 
 
-def _tokens(name: str, a: bytes, b: bytes) -> Tokenizers:
-    if held.get("align", (None,))[0] != name:
-        held["align"] = (name, Tokenizers(a, b))
-    return held["align"][1]
-
-
 MAX_FILE = 64 << 20
 
 
@@ -269,16 +421,20 @@ class Files:
         self.name = hashlib.sha256(data[0] + b"|" + data[1]).hexdigest()
         self.shared = df.sparkSession.sparkContext.broadcast(tuple(data))
 
-    def load(self) -> Tokenizers:
-        return _tokens(self.name, *self.shared.value)
+    def load(self, groups: bool) -> tuple[tuple, Known]:
+        """What this worker has met, with or without groups; new where another operator or file was at work here."""
+        key = (self.name, groups)
+        if held.get("align", (None,))[0] != key:
+            held["align"] = (key, Known(Tokenizers(*self.shared.value), groups))
+        return held["align"]
 
 
-def _slices(batch: pa.RecordBatch, files: Files) -> Iterator[tuple[pa.RecordBatch, Slice]]:
-    """``held`` is emptied when another operator cuts its slices; ours is put back for the next slice."""
-    own = files.load()
-    for part in slices(batch, "text", 4 << 20):
-        held["align"] = (files.name, own)
-        yield part, Slice(own, part.column("text").to_pylist())
+def _slices(batch: pa.RecordBatch, files: Files, groups: bool) -> Iterator[tuple[pa.RecordBatch, Slice]]:
+    """``held`` is emptied when slices are cut; ours is put back for the next batch."""
+    own = files.load(groups)
+    for part in slices(batch, "text", SLICE):
+        held["align"] = own
+        yield part, Slice(own[1], part.column("text").to_pylist())
 
 
 def partial_counts(docs: DataFrame, files: Files) -> DataFrame:
@@ -291,7 +447,7 @@ def partial_counts(docs: DataFrame, files: Files) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
         for batch in batches:
-            for _, part in _slices(batch, files):
+            for _, part in _slices(batch, files, False):
                 tally.add(*part.documents_with())
                 if tally.full:
                     yield rows(tally)
@@ -495,7 +651,7 @@ def _looked_up(rows: DataFrame, files: Files, shared: Broadcast, shards: int, mo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value, shards)
         for batch in batches:
-            for part, texts in _slices(batch, files):
+            for part, texts in _slices(batch, files, last):
                 x = texts.aligned
                 counts = table.look_up(x.pairs)
                 segment = np.repeat(np.arange(x.n_a.size), np.diff(x.first))
@@ -506,8 +662,8 @@ def _looked_up(rows: DataFrame, files: Files, shared: Broadcast, shards: int, mo
                 sums = [texts.total(v) + part.column(c).to_numpy() for c, v in zip(SUMS, (n_best, summed))]
                 if last:
                     numbers = [texts.total(v) for v in (x.n_a, x.n_b, x.n_groups, x.n_links)]
-                    groups = [b";".join([x.groups[s] for s in own]).decode() for own in texts.lists]
-                    columns = [part.column("doc_id"), *map(pa.array, [*numbers, *sums]), pa.array(groups, pa.string())]
+                    groups = pa.array(texts.groups(), pa.binary()).cast(pa.string())
+                    columns = [part.column("doc_id"), *map(pa.array, [*numbers, *sums]), groups]
                 else:
                     columns = [part.column("doc_id"), part.column("text"), *map(pa.array, sums)]
                 yield pa.RecordBatch.from_arrays(columns, names)

@@ -14,7 +14,7 @@ A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piec
 TEXTS = [
     (1, "The cat sat on the mat, it's 1234 cats!"), (2, "the cat  sat\n\non\tthe mat. "), (3, None), (4, ""), (5, " "),
     (6, "x▁y z"), (7, "<|endoftext|> </s> 😀é中文字 中文"), (8, "ab" * 3000 + " " + "😀" * 500), (9, "  lead trail  "),
-    (10, "nul\x00 a\x1cb c\x1c d e f  g"), (None, "the cat"), (1, "The cat sat on the mat, it's 1234 cats!"), (11, "a" * 200_000),
+    (20, "a\x85b \u2028c \u3000d\u180ee \xa0f \x1f g\u200b h 's 'll I'll we're"), (10, "nul\x00 a\x1cb c\x1c d e f  g"), (None, "the cat"), (1, "The cat sat on the mat, it's 1234 cats!"), (11, "a" * 200_000),
     (12, "long " * 20_000 + "tail"),
 ]
 
@@ -109,6 +109,34 @@ def test_many_shards_passes_and_levels(docs, want, monkeypatch):
     assert found(docs) == want[0]
 
 
+def test_few_kept_segments(want):
+    files = [open(p, "rb").read() for p in (A, B)]
+    known = alignment.Known(alignment.Tokenizers(*files), True)
+    alignment.KEPT, kept = 8, alignment.KEPT
+    try:
+        for _ in range(3):
+            for doc_id, text in TEXTS:
+                found = alignment.Slice(known, [text])
+                row = (doc_id, *(int(found.total(x)[0]) for x in (found.aligned.n_a, found.aligned.n_b, found.aligned.n_groups, found.aligned.n_links)))
+                groups = found.groups()[0]
+                digest = hashlib.sha256(groups).hexdigest() if groups else ""
+                assert (*row, digest) in {(*w[:5], w[7]) for w in want[0]}
+                assert known.uses.size == len(known.rows) <= 8
+    finally:
+        alignment.KEPT = kept
+
+
+def test_ranks_are_used_only_where_they_are_the_ids():
+    import json
+
+    spec = json.load(open(A))
+    tokens = alignment.Tokenizers(open(A, "rb").read(), open(B, "rb").read())
+    assert tokens.ranked is not None
+    spec["model"]["merges"][0], spec["model"]["merges"][1] = spec["model"]["merges"][1], spec["model"]["merges"][0]
+    assert alignment._ranked(spec, tokens.a_bytes) is None
+    assert alignment._ranked({**spec, "normalizer": {"type": "NFC"}}, tokens.a_bytes) is None
+
+
 def test_links_of_a_large_group_in_blocks(monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", 7)
     a, b = np.array([5, 6, 5, 9, 9]), np.array([1, 2, 1, 3])

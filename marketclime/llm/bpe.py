@@ -30,7 +30,7 @@ MAX_RANK_FILE = 64 << 20  # bytes; a rank file is a few hundred kilobytes
 PLACE_BITS = 40
 PLACES = (1 << PLACE_BITS) - 1
 NONE = 1 << 62  # a pair that does not merge
-GENERATION = 200_000  # remembered words per generation and worker
+GENERATION = 100_000  # remembered words (of under 64 characters) and matches per generation and worker: some 25 MB each
 
 
 def read_ranks(path: str) -> bytes:
@@ -190,10 +190,6 @@ def _shared_ranks(df: DataFrame, path: str) -> tuple[Broadcast, str]:
     return df.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
 
-def _out_schema(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema.fields if f.name != column), T.StructField(column, kind)])
-
-
 def _place(df: DataFrame, name: str) -> int:
     places = [i for i, c in enumerate(df.columns) if c == name]
     if len(places) != 1:
@@ -210,63 +206,80 @@ def _list_array(rows: list[bytes]) -> pa.Array:
 PART = 512  # rows encoded at once; ids go out in parts as small
 
 
-def encode_bpe(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Add ``into``: the ids of ``text`` as the tiktoken library's ``encode_ordinary`` gives them.
+class Coder:
+    """Ids of texts and bytes of ids, by one rank file; what one process of a worker keeps for both."""
 
-    ``ranks`` is the path of a rank file, ``pattern`` the split pattern. Null
-    or empty text gives an empty list. A column already named ``into`` is
-    replaced; all other columns and rows stay, repeated rows included.
-    """
+    def __init__(self, data: bytes, pattern: str | None):
+        self.encoder = Encoder(data, pattern) if pattern else None
+        ranks = self.encoder.ranks if self.encoder else parse_ranks(data)
+        self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            self.tokens[i] = token
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        return _list_array([self.encoder.encode(t) if t else b"" for t in texts.to_pylist()])
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        lists, token = ids.fill_null([]), self.tokens.__getitem__
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        return pa.array([b"".join(map(token, flat[a:b].tolist())) for a, b in zip([0, *ends], ends)], pa.binary())
+
+
+def _coded(df: DataFrame, ranks: str, pattern: str | None, source: str, out: dict[str, T.DataType], run_part) -> DataFrame:
+    """Replace or add the columns ``out``, computed from ``source`` by ``run_part(coder, column)``, a few rows at a time."""
     data, name = _shared_ranks(df, ranks)
-    place, schema = _place(df, text), _out_schema(df, into, T.ArrayType(T.IntegerType()))
-    keep = [i for i, c in enumerate(df.columns) if c != into]
+    place, schema = _place(df, source), df.schema
+    for column, kind in out.items():
+        schema = T.StructType([*(f for f in schema.fields if f.name != column), T.StructField(column, kind)])
+    keep = [i for i, c in enumerate(df.columns) if c not in out]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once("encode", (name, pattern), lambda: Encoder(data.value, pattern))
+        coder = _once("bpe", (name, pattern), lambda: Coder(data.value, pattern))
         for batch in batches:
             for first in range(0, batch.num_rows, PART):
                 part = batch.slice(first, PART)
-                ids = [encoder.encode(t) if t else b"" for t in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), _list_array(ids)], names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *run_part(coder, part.column(place))], names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+IDS = T.ArrayType(T.IntegerType())
+
+
+def encode_bpe(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """Add ``into``: the ids of ``text`` as the tiktoken library's ``encode_ordinary`` gives them.
+
+    ``ranks`` is the path of a rank file, ``pattern`` the split pattern. Null
+    or empty text gives an empty list. A column already named ``into`` is
+    replaced; all other columns and rows stay, repeated rows included.
+    """
+    return _coded(df, ranks, pattern, text, {into: IDS}, lambda coder, texts: [coder.encode(texts)])
+
+
 def decode_bpe(df: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add ``into``: the bytes of ``ids`` (binary, since ids need not end on whole characters).
 
     Null or empty ids give empty bytes; an id outside the rank file is an
     error. A column already named ``into`` is replaced.
     """
-    data, name = _shared_ranks(df, ranks)
-    place, schema = _place(df, ids), _out_schema(df, into, T.BinaryType())
-    keep = [i for i, c in enumerate(df.columns) if c != into]
-    names = schema.names
+    return _coded(df, ranks, None, ids, {into: T.BinaryType()}, lambda coder, lists: [coder.decode(lists)])
 
-    def vocabulary() -> list[bytes | None]:
-        tokens = parse_ranks(data.value)
-        out: list[bytes | None] = [None] * (max(tokens.values(), default=-1) + 1)
-        for token, i in tokens.items():
-            out[i] = token
-        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _once("decode", name, vocabulary).__getitem__
-        for batch in batches:
-            for first in range(0, batch.num_rows, PART):
-                part = batch.slice(first, PART)
-                lists = part.column(place).fill_null([])
-                flat, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-                texts = [b"".join(map(token, flat[a:b].tolist())) for a, b in zip([0, *ends], ends)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(texts, pa.binary())], names)
+def code_bpe(df: DataFrame, ranks: str, pattern: str, text: str = "text", into: str = "ids", back: str = "decoded") -> DataFrame:
+    """``encode_bpe`` and ``decode_bpe`` of its ids, in one pass and one process for each task."""
 
-    return df.mapInArrow(run, schema)
+    def both(coder: Coder, texts: pa.Array) -> list[pa.Array]:
+        ids = coder.encode(texts)
+        return [ids, coder.decode(ids)]
+
+    return _coded(df, ranks, pattern, text, {into: IDS, back: T.BinaryType()}, both)
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of its ids and of the bytes decoded from them."""
-    coded = decode_bpe(encode_bpe(docs.select("doc_id", "text"), ranks, pattern).select("doc_id", "ids"), ranks)
+    coded = code_bpe(docs.select("doc_id", "text"), ranks, pattern).drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketclime.llm.columns import shielded
 from marketclime.session import cut_lineage
 
 WORDS = 5
@@ -101,8 +102,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, share: float =
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with its columns."""
-    leaks = cut_lineage(find_leaks(docs, items, n, share).select("doc_id", "doc_hash").distinct(), "leaks")
+    """The rows of ``docs`` that hold no item, with its columns, whatever the names of those besides doc_id and text."""
+    own = docs.select("doc_id", "text")
+    leaks = cut_lineage(find_leaks(own, items.select("item_id", "text"), n, share).select("doc_id", "doc_hash").distinct(), "leaks")
     leaks = leaks.select(F.col("doc_id").alias("_leak_id"), F.col("doc_hash").alias("_leak_hash"))
     same = [F.col("doc_id").eqNullSafe(F.col("_leak_id")), F.xxhash64("text") == F.col("_leak_hash")]
-    return docs.join(leaks, same, "left_anti")
+    return shielded(docs, ("doc_id", "text"), lambda rows: rows.join(leaks, same, "left_anti"))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketclime.llm.components import components
+from marketclime.llm.columns import shielded
 from marketclime.llm.sieve import bitmap, with_maybe
 from marketclime.llm.textbytes import (
     SECOND_BASE,
@@ -367,20 +368,24 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows that go are told by id and text. Of rows equal in both one stays, and
     of texts that share the smallest id, or have none, that of the smallest key.
     """
-    found = near_duplicates(docs, percent)
+    found = near_duplicates(docs.select("doc_id", "text"), percent)
     named = F.struct(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     gone = found.filter(~F.col("stays")).select(named.alias("_gone")).distinct()
     again = found.filter(F.col("stays") & (F.col("n_shingles") > 0)).groupBy("doc_id", "text_key").count().filter("count > 1")
     gone = cut_lineage(gone.select("_gone._id", "_gone._key"), "gone")
     again = cut_lineage(again.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "again")
     key = F.xxhash64("text")
-    # only rows that may have to go are shuffled to meet the list
-    sieved = with_maybe(docs, key, bitmap(gone, "_key"))
-    doubtful = sieved.filter("_maybe").drop("_maybe")
-    meets = [doubtful["doc_id"].eqNullSafe(gone["_id"]), key == gone["_key"]]
-    once = sieved.filter("not _maybe").drop("_maybe").union(doubtful.join(gone, meets, "left_anti"))
-    if again.isEmpty():
-        return once
-    repeats = [once["doc_id"].eqNullSafe(again["_id"]), key == again["_key"]]
-    single = once.join(again, repeats, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.join(again, repeats, "left_anti").union(single)
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        # only rows that may have to go are shuffled to meet the list
+        sieved = with_maybe(rows, key, bitmap(gone, "_key"))
+        doubtful = sieved.filter("_maybe").drop("_maybe")
+        meets = [doubtful["doc_id"].eqNullSafe(gone["_id"]), key == gone["_key"]]
+        once = sieved.filter("not _maybe").drop("_maybe").union(doubtful.join(gone, meets, "left_anti"))
+        if again.isEmpty():
+            return once
+        repeats = [once["doc_id"].eqNullSafe(again["_id"]), key == again["_key"]]
+        single = once.join(again, repeats, "left_semi").dropDuplicates(["doc_id", "text"])
+        return once.join(again, repeats, "left_anti").union(single)
+
+    return shielded(docs, ("doc_id", "text"), chosen)

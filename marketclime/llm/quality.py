@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketclime.llm.columns import shielded
 from marketclime.llm.textbytes import (
     SECOND_BASE,
     column_bytes,
@@ -296,9 +297,10 @@ def document_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns."""
+    """The rows of ``docs`` that are kept, with its columns, whatever the names of those besides text, lang and source."""
     own = with_stats(docs.select("text", "lang", "source")).drop("text")
     groups, model = fit_outliers(cut_lineage(own, "stats"))
     prefix = "_quality_"
-    judged = judge_quality(with_stats(docs, prefix=prefix), groups, model, prefix)
-    return judged.filter("kept").select(*docs.columns)
+    return shielded(
+        docs, ("text", "lang", "source"), lambda rows: judge_quality(with_stats(rows, prefix=prefix), groups, model, prefix).filter("kept")
+    )

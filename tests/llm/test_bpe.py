@@ -42,3 +42,25 @@ def test_round_trip_with_nulls_and_clashing_columns(spark, library):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(df, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_both_ways_in_one_pass(spark, library):
+    rows = [(1, "Hé 漢 <|endoftext|>", 5, 6), (None, None, 7, 8), (3, "", None, 9), (4, "x" * 100_000, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids int, decoded int")
+    out = bpe.code_bpe(df, RANKS, public_tokenizers.PATTERN)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    for r in out.collect():
+        assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == (r.text or "")
+
+
+def test_digests(spark, library):
+    import hashlib
+
+    texts = ["", None, "a b", "été  ok\n\n", "a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in bpe.digests(df, RANKS, public_tokenizers.PATTERN).collect():
+        text = texts[r.doc_id] or ""
+        ids = library.encode_ordinary(text)
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()

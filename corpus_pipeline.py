@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketclime.llm import bpe, contamination, minhash, quality, secrets
+from marketclime.llm.columns import shielded
 from marketclime.session import scratch_path
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -37,15 +38,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked and n_chars set anew where there were some."""
-    found = secrets.redact(secrets.find_secrets(docs, into="_secrets"), secrets="_secrets")
-    changed = F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", changed).select(*docs.columns)
+
+    def masked(rows: DataFrame) -> DataFrame:
+        found = secrets.redact(secrets.find_secrets(rows, into="_secrets"), secrets="_secrets")
+        changed = F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        return found.withColumn("n_chars", changed)
+
+    return shielded(docs, ("text", "n_chars"), masked)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the digest of the text decoded from them."""
-    ranks = public_tokenizers.path(RANKS)
-    coded = bpe.decode_bpe(bpe.encode_bpe(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "ids"), ranks)
+    coded = bpe.code_bpe(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

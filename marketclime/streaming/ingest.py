@@ -20,6 +20,7 @@ from marketclime.session import cut_lineage
 from marketclime.sources.pages import requested_rows
 from marketclime.sources.prices import with_month
 from marketclime.sources.sinks import write_month_store
+from marketclime.sources.store import LoadStore
 
 WEEK_WINDOW = ("7 days", "7 days", "2 days")  # windows count from a Thursday; two days later is Saturday
 
@@ -170,3 +171,47 @@ def ingest_pages(
         append_new(rows.withColumnRenamed("row", "ordinal").drop("path"), store, dedupe_batch=False)
 
     return _finish(pages.writeStream.foreachBatch(store_batch), checkpoint, available_now)
+
+
+def ingest_loads(
+    rows: DataFrame, root: str, checkpoint: str, order: list[str], dedupe_batch: bool = True, available_now: bool = True
+) -> StreamingQuery:
+    """Stream of price rows into a :class:`LoadStore` by month: each micro-batch is a load with positions of its own.
+
+    ``order`` names the columns that place rows within a load (file and row,
+    say). A batch that is replayed finds itself in the load log and adds nothing.
+    """
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        LoadStore(batch.sparkSession, root).append_new(with_month(batch), checkpoint, number, order, dedupe_batch)
+
+    return _finish(rows.writeStream.foreachBatch(store_batch), checkpoint, available_now)
+
+
+def ingest_page_loads(pages: DataFrame, root: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Stream of fetched pages (path, html, expected) parsed once and stored as loads; rows are placed by page, then row."""
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        store = LoadStore(batch.sparkSession, root)
+        if not store.done(checkpoint, number):
+            # written once: the parse would run again for the months and for the positions
+            rows = cut_lineage(with_month(requested_rows(batch)), "page-rows")
+            store.append_new(rows, checkpoint, number, ["path", "row"], dedupe_batch=False)
+
+    return _finish(pages.writeStream.foreachBatch(store_batch), checkpoint, available_now)
+
+
+def ingest_weather_loads(rows: DataFrame, root: str, checkpoint: str, order: list[str], available_now: bool = True) -> StreamingQuery:
+    """Stream of weather rows (site_id, date, values, source) into a :class:`LoadStore` by year.
+
+    Settled rows replace preliminary ones; among equals the later load wins,
+    within a load the later place. Readers see a year before or after a
+    rewrite, never half of it.
+    """
+
+    def store_batch(batch: DataFrame, number: int) -> None:
+        years = batch.withColumn("year", F.year("date"))
+        store = LoadStore(batch.sparkSession, root, "year")
+        store.merge(years, checkpoint, number, order, ["site_id", "date"], lambda: (F.col("source") == SETTLED))
+
+    return _finish(rows.writeStream.foreachBatch(store_batch), checkpoint, available_now)

@@ -30,7 +30,7 @@ MAX_RANK_FILE = 64 << 20  # bytes; a rank file is a few hundred kilobytes
 PLACE_BITS = 40
 PLACES = (1 << PLACE_BITS) - 1
 NONE = 1 << 62  # a pair that does not merge
-GENERATION = 100_000  # remembered words (of under 64 characters) and matches per generation and worker: some 25 MB each
+GENERATION = 250_000  # remembered words (of under 64 characters) and matches per generation and worker: some 50 MB each
 
 
 def read_ranks(path: str) -> bytes:

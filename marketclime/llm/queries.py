@@ -57,6 +57,7 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
+        "next_shard",
     )
 
 

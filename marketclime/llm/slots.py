@@ -11,32 +11,62 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketclime.session import cut_lineage
 
 SLOTS = 4096
 SALTS = 64
+HEAVY = 4  # shares of a slot above which equal rows are dealt out
 
 
 def slot_records(docs: DataFrame, slots: int = SLOTS, overhead: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot and a salt per row, written out and read back.
+    """doc_id, size, text_crc32, virtual_slot and a salt per row.
 
     Size is the text's UTF-8 bytes (null: none) plus ``overhead``; the CRC is
     unsigned, 0 for null or empty text. The slot hashes id and text, so a
-    repeated id with another text may go elsewhere; rows equal in both share a
-    slot. The salt follows the input partition and splits the numbering of such rows.
+    repeated id with another text may go elsewhere. Rows equal in both share a
+    slot, unless together they weigh more than ``HEAVY`` slots' shares: then
+    their place in the input deals them over all slots, so that repeated rows
+    cannot tip a shard. Null ids and texts are values like others; other
+    columns of ``docs`` are not looked at. An empty table gives no rows.
+
+    The rows are written out first, so the places and with them the slots are
+    settled whatever is read again later.
     """
     crc = F.coalesce(F.crc32("text"), F.lit(0).cast("long"))
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"))
-    rows = rows.select(
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32")).select(
         "*",
-        F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64("doc_id", "text_crc32", "size").alias("_key"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("_deal"),
         F.pmod(F.hash(F.spark_partition_id()), F.lit(SALTS)).cast("int").alias("_salt"),
     )
-    return cut_lineage(rows, "slots")
+    rows = cut_lineage(rows, "slots").withColumn("virtual_slot", _slot("_key", slots))
+    heavy = heavy_keys(rows, slots)
+    if heavy is not None:
+        dealt = F.when(F.col("_heavy"), _slot("_deal", slots)).otherwise(F.col("virtual_slot"))
+        rows = rows.join(heavy, "_key", "left").withColumn("virtual_slot", dealt)
+    return rows.select("doc_id", "size", "text_crc32", "virtual_slot", "_salt")
+
+
+def _slot(column: str, slots: int) -> Column:
+    return F.pmod(F.col(column), F.lit(slots)).cast("int")
+
+
+def heavy_keys(records: DataFrame, slots: int) -> DataFrame | None:
+    """Keys of equal rows that weigh more than ``HEAVY`` slots' shares of all bytes: fewer than slots / HEAVY.
+
+    Only rows in slots of that weight are grouped by key. None where no slot is so heavy.
+    """
+    weights = slot_bytes(records)
+    limit = HEAVY * sum(weights.values()) // slots
+    crowded = [slot for slot, weight in weights.items() if weight > limit]
+    if not crowded:
+        return None
+    keys = records.filter(F.col("virtual_slot").isin(crowded)).groupBy("_key").agg(F.sum("size").alias("_bytes"))
+    return cut_lineage(keys.filter(F.col("_bytes") > limit).select("_key", F.lit(True).alias("_heavy")), "heavy-keys")
 
 
 def slot_bytes(records: DataFrame) -> dict[int, int]:
@@ -92,9 +122,9 @@ def rebalance(current: Sequence[int], weights: Mapping[int, int], shards: int) -
 
 
 def write_map(spark: SparkSession, path: str, version: int, assignment: Sequence[int]) -> None:
-    """Store one version of a map as a partition of the table at ``path``; earlier versions stay."""
+    """Store one version of a map as a partition of the table at ``path``; a version that exists is refused, earlier ones stay."""
     rows = spark.createDataFrame(list(enumerate(assignment)), "virtual_slot int, shard int")
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
@@ -122,8 +152,18 @@ def place_records(records: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, path: str, shards: int = 24, version: int = 1) -> DataFrame:
-    """Put all documents into shards of nearly equal bytes and store the map as ``version`` below ``path``."""
+    """Put all documents into shards of nearly equal bytes.
+
+    The map is stored below ``path`` as ``version``; edited for one more shard
+    it is stored as the version after that, and ``next_shard`` is each row's
+    shard under it. Repeated rows, null ids and null texts each keep a row; an
+    empty table gives no rows and both maps.
+    """
     spark = docs.sparkSession
     records = slot_records(docs)
-    write_map(spark, path, version, balance(slot_bytes(records), shards))
-    return place_records(records, read_map(spark, path, version))
+    weights = slot_bytes(records)
+    first = balance(weights, shards)
+    write_map(spark, path, version, first)
+    write_map(spark, path, version + 1, rebalance(first, weights, shards + 1))
+    edited = read_map(spark, path, version + 1).withColumnRenamed("shard", "next_shard")
+    return place_records(records, read_map(spark, path, version)).join(edited, "virtual_slot")

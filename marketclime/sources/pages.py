@@ -1,9 +1,10 @@
 """Bulletin pages: HTML tables to price rows.
 
-Pages with a plain table are cut by native text functions. Pages that are
-not that tidy (unclosed or nested tags, comments, unusual entities) go through
-the standard library's HTML parser in an Arrow-batched function; tidy pages
-pass it as null, so they cost it nothing.
+Pages with a plain table are cut by native text functions, after comments,
+scripts, styles and titles (a page's head, say) are taken out. Pages that are
+not that tidy (unclosed or nested tags, regions that do not end, unusual
+entities) go through the standard library's HTML parser in an Arrow-batched
+function; tidy pages pass it as null, so they cost it nothing.
 """
 
 from __future__ import annotations
@@ -27,14 +28,30 @@ _TABLE = (
     % (TABLE_CLASS, TABLE_CLASS)
 )
 _CELL_TAG = r"(?i)<(/?t[rdh])\b"
-_WELL_NESTED = r"^(?:tr(?:,t[dh],/t[dh])*,/tr(?:,|$))*$"
+_ROW = "tr,c*/tr,"  # a row, its cells closed and written as c
 _TAG = r"(?s)<[^>]*>"
 # markup that needs a real parser inside the table, and anywhere on the page
 _STRAY = (
     r"(?i)<(?:table|script|style|textarea|title)\b|<[!?]|<(?![a-z/])|&(?!(?:amp|lt|gt|quot|nbsp|#39);)"
     r"|=\s*(?:\"[^\"]*[<>][^\"]*\"|'[^']*[<>][^']*')"
 )
-_HIDDEN = r"(?i)<(?:!--|script|style|textarea|title|template)\b|<!--"
+_REGION = r"(?i)<(?:!--|script|style|textarea|title|iframe)"
+# regions whose insides are no markup: found from left to right in one pass, so that one inside another is part of it
+_BARE = (
+    r"(?is)<!--.*?-->"
+    r"|<(script|style)(?=[\s>])[^<>]*>.*?</\1\s*>"
+    r"|<(title|textarea|iframe)(?=[\s>])[^<>]*>([^<]*)</\2\s*>"
+)
+# what is read in more than one way, or was not closed: a real parser decides
+_DOUBTFUL = (
+    r"(?i)<!---?>|--!>|--\s+>|<!\[|<(?:script|style|title|textarea|iframe)\b[^>]*/>"
+    r"|</(?:script|style|title|textarea|iframe)(?!\s*>)"
+)
+_LEFT = (
+    r"(?i)<(?:!--|script|style|textarea|title|iframe|template|noembed|noframes|xmp|plaintext)\b|<!--"
+    r"|<[a-z/!?][^<>]*\x01"  # a region that began inside a tag
+    r"|<[a-z][^<>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)"  # a tag that ends within a quoted value
+)
 _ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 _NODE, _ROW_END, _CELL_START, _CELL_END = "\u0001", "\u0002", "\u0003", "\u0004"
 
@@ -67,8 +84,18 @@ def _native_rows(table: Column) -> Column:
 
 def _is_tidy(html: Column, table: Column) -> Column:
     """Whether cutting at the tags and parsing properly give the same cells."""
-    nesting = F.array_join(F.transform(F.regexp_extract_all(table, F.lit(_CELL_TAG), F.lit(1)), lambda t: F.lower(t)), ",")
-    return nesting.rlike(_WELL_NESTED) & ~table.rlike(_STRAY) & ~html.rlike(_HIDDEN)
+    names = F.transform(F.regexp_extract_all(table, F.lit(_CELL_TAG), F.lit(1)), lambda t: F.concat(F.lower(t), F.lit(",")))
+    cells = F.replace(F.replace(F.array_join(names, ""), F.lit("td,/td,"), F.lit("c")), F.lit("th,/th,"), F.lit("c"))
+    return (F.regexp_replace(cells, _ROW, "") == "") & ~table.rlike(_STRAY) & ~html.rlike(_LEFT)
+
+
+def _without_regions(html: Column) -> Column:
+    """The page without comments, scripts and styles; titles and the like leave their text. Each leaves node breaks.
+
+    A page with doubtful regions is given back as it is.
+    """
+    bare = F.regexp_replace(html, _BARE, f"{_NODE}$3{_NODE}")
+    return F.when(html.rlike(_REGION) & ~html.rlike(_DOUBTFUL), bare).otherwise(html)
 
 
 def _parsed_rows():
@@ -125,15 +152,28 @@ def _parsed_rows():
     return F.pandas_udf(parse, T.ArrayType(T.ArrayType(T.StringType())))
 
 
-def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``rows``: the cleaned cells of every data row (the first row is a header); empty without a table."""
-    table = F.regexp_extract(html, _TABLE, 1)
-    marked = pages.withColumn("_table", table)
+def _marked(pages: DataFrame, html: str) -> DataFrame:
+    """Add the page without hidden regions, its table and whether cutting that natively is right."""
     has_class = F.col(html).contains(TABLE_CLASS)
-    tidy = _is_tidy(F.col(html), F.col("_table")) & (F.col("_table") != "")
-    marked = marked.withColumn("_tidy", tidy).withColumn(
-        "_parsed", _parsed_rows()(F.when(has_class & ~F.col("_tidy"), F.col(html)))
+    bare = pages.withColumn("_bare", F.when(has_class, _without_regions(F.col(html))))
+    cut = bare.withColumn("_table", F.coalesce(F.regexp_extract("_bare", _TABLE, 1), F.lit("")))
+    own_marks = F.col(html).rlike(r"[\x01-\x04]")
+    tidy = (F.col("_table") != "") & _is_tidy(F.col("_bare"), F.col("_table")) & ~own_marks
+    return cut.withColumn("_tidy", F.coalesce(tidy, F.lit(False))).withColumn("_parse", has_class & ~F.col("_tidy"))
+
+
+def parser_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """One row: pages without the table's class, pages cut natively, and pages that need the HTML parser."""
+    marked = _marked(pages, html)
+    parse = F.coalesce(F.col("_parse"), F.lit(False))
+    return marked.agg(
+        F.count_if(~F.col("_tidy") & ~parse).alias("empty"), F.count_if("_tidy").alias("native"), F.count_if(parse).alias("parsed")
     )
+
+
+def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add ``rows``: the cleaned cells of every data row (the first row is a header); empty without a table or page."""
+    marked = _marked(pages, html).withColumn("_parsed", _parsed_rows()(F.when(F.col("_parse"), F.col(html))))
     none = F.array().cast("array<array<string>>")
     cells = F.when(F.col("_tidy"), _native_rows(F.col("_table"))).otherwise(F.coalesce("_parsed", none))
     # one step per reuse: Spark keeps a costly column that a later step reads twice
@@ -141,7 +181,7 @@ def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     body = F.slice("_cells", F.lit(2), F.greatest(F.size("_cells"), F.lit(1)))
     cleaned = cut.withColumn("_body", F.transform(body, lambda row: F.transform(row, lambda c: clean_cell(c))))
     kept = F.filter("_body", lambda row: (F.size(row) >= MIN_CELLS) & (F.get(row, F.lit(ITEM)) != ""))
-    return cleaned.withColumn("rows", kept).drop("_table", "_tidy", "_parsed", "_cells", "_body")
+    return cleaned.withColumn("rows", kept).drop("_bare", "_table", "_tidy", "_parse", "_parsed", "_cells", "_body")
 
 
 def _spread(pages: DataFrame, *keep: str) -> DataFrame:

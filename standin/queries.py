@@ -481,6 +481,21 @@ def page_rows(spark, sf_dir):
     )
 
 
+@query
+def headed_page_rows(spark, sf_dir):
+    """Rows of pages with a head, scripts and comments."""
+    rows = pages.bulletin_rows(views.headed_pages(spark, sf_dir))
+    return rows.select(
+        "date", "item", "unit", "price_low", "price_mode", "price_high", "quantity", "order_ok", "source_file"
+    )
+
+
+@query
+def page_parsers(spark, sf_dir):
+    """How many pages with a head are cut natively; only unclosed cells need the HTML parser."""
+    return pages.parser_counts(views.headed_pages(spark, sf_dir))
+
+
 @query
 def requested_page_rows(spark, sf_dir):
     rows = pages.requested_rows(views.pages(spark, sf_dir))

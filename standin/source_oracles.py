@@ -21,6 +21,13 @@ obs(
   cast(date as varchar) || '.html' as source_file from shown""",
     SHOWN,
 )
+ORACLES["headed_page_rows"] = ORACLES["page_rows"]
+obs(
+    "page_parsers",
+    """select count(*) filter (where false) as empty, count(*) filter (where block % 3 <> 0) as native,
+  count(*) filter (where block % 3 = 0) as parsed from (select distinct date, block from shown)""",
+    SHOWN,
+)
 obs("requested_page_rows", "select date, item, unit, price_low, price_mode, quantity from served", SERVED)
 obs(
     "page_counts",

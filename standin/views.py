@@ -340,6 +340,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HEAD = (
+    "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Prices of the day &amp; more</title><!-- <table class='table-bordered'> -->"
+    "<style>td > b { margin: 0 }</style><script>var t = \"<table class='table-bordered'><tr><td>no</td></tr>\"; if (1 < 2) t += '</td>';</script></head>"
+)
+
+
+def headed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bulletins as full pages: with a head, a script and a comment in the body, and a comment in each item's cell."""
+    body = F.replace(F.replace("html", F.lit("<html>"), F.lit(HEAD)), F.lit("</b></td>"), F.lit("</b><!-- item --></td>"))
+    late = F.lit("<script type='text/javascript'>document.write('<tr><td>x');</script></body>")
+    return pages(spark, sf_dir).withColumn("html", F.replace(body, F.lit("</body>"), late))
+
+
 def shown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price rows with the date a page shows: some "box" rows show the following day."""
     late = (F.col("unit") == "box") & (F.col("ordinal") % 7 == 0)

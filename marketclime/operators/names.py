@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketclime.functions.text import fold_arabic, nfkc
+from marketclime.session import cut_lineage
 
 MAX_DISTANCE = 2
 SAME_DAY_RATE = 0.05
@@ -69,21 +70,36 @@ def near_names(norms: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     )
 
 
+BLOCK_DAYS = 64
+
+
+def day_bits(days: DataFrame) -> DataFrame:
+    """One row per (item, block of 64 days): the days on which the item is listed as bits of a long. Rows without a date are left out."""
+    number = F.unix_date("date")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(BLOCK_DAYS)))
+    listed = days.filter(F.col("date").isNotNull())
+    return listed.groupBy("item", F.floor(number / BLOCK_DAYS).cast("int").alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _calendars(bits: DataFrame) -> DataFrame:
+    """One row per item: its blocks as a map, as long as the calendar at most."""
+    return bits.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("calendar"))
+
+
 def shared_days(pairs: DataFrame, days: DataFrame) -> DataFrame:
-    """Days on which both items of a pair are listed.
+    """Days on which both items of a pair are listed; pairs without such a day give 0 or no row.
 
-    Starts from the candidate pairs and walks the days of the rarer item, so
-    nothing is paired up per day.
+    Each side brings its calendar as bits, so a pair stays one row and days are
+    counted by AND.
     """
-    few = days.select(F.col("item").alias("item_b"), "date")
-    many = days.select(F.col("item").alias("item_a"), "date")
-    return (
-        pairs.select("item_a", "item_b")
-        .join(few, "item_b")
-        .join(many, ["item_a", "date"], "left_semi")
-        .groupBy("item_a", "item_b")
-        .agg(F.count(F.lit(1)).alias("shared_days"))
-    )
+    asked = pairs.select("item_a", "item_b")
+    named = asked.select(F.explode(F.array("item_a", "item_b")).alias("item")).distinct()
+    calendars = cut_lineage(_calendars(day_bits(days.join(named, "item", "left_semi"))), "calendars")
+    one = calendars.select(F.col("item").alias("item_a"), F.col("calendar").alias("_a"))
+    two = calendars.select(F.col("item").alias("item_b"), F.col("calendar").alias("_b"))
+    both = F.map_zip_with("_a", "_b", lambda block, a, b: F.bit_count(a.bitwiseAND(b)))
+    total = F.aggregate(F.map_values(both), F.lit(0).cast("long"), lambda sum_, n: sum_ + F.coalesce(n, F.lit(0)))
+    return asked.join(one, "item_a").join(two, "item_b").select("item_a", "item_b", total.alias("shared_days"))
 
 
 def near_duplicate_pairs(df: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -91,8 +107,8 @@ def near_duplicate_pairs(df: DataFrame, max_distance: int = MAX_DISTANCE) -> Dat
 
     ``item_a`` is the item listed on more days. Nothing is merged.
     """
-    days = item_days(df)
-    items = item_vocabulary(days)
+    days = cut_lineage(item_days(df), "item-days")
+    items = cut_lineage(item_vocabulary(days), "vocabulary")
     near = near_names(items.select("norm").distinct(), max_distance)
     one = items.select(
         F.col("norm").alias("norm_a"), F.struct((-F.col("days")).alias("d"), "first_ordinal", "item").alias("x")
@@ -100,7 +116,7 @@ def near_duplicate_pairs(df: DataFrame, max_distance: int = MAX_DISTANCE) -> Dat
     two = items.select(
         F.col("norm").alias("norm_b"), F.struct((-F.col("days")).alias("d"), "first_ordinal", "item").alias("y")
     )
-    pairs = (
+    pairs = cut_lineage(
         near.join(one, "norm_a")
         .join(two, "norm_b")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "edit_distance")
@@ -110,7 +126,8 @@ def near_duplicate_pairs(df: DataFrame, max_distance: int = MAX_DISTANCE) -> Dat
             "edit_distance",
             (-F.col("a.d")).alias("days_a"),
             (-F.col("b.d")).alias("days_b"),
-        )
+        ),
+        "name-pairs",
     )
     judged = pairs.join(shared_days(pairs, days), ["item_a", "item_b"], "left").withColumn(
         "shared_days", F.coalesce("shared_days", F.lit(0).cast("long"))
@@ -133,20 +150,20 @@ def exact_name_groups(df: DataFrame) -> DataFrame:
     """Items that differ only in spelling folds: one row per member with its group's verdict.
 
     ``max_shared_days`` is the largest number of days any two members share.
-    Members meet only on days they are both listed, which for spellings of one
-    name is rare.
+    Members meet once per block of 64 days and count shared days by AND.
     """
-    days = item_days(df)
-    items = item_vocabulary(days)
+    days = cut_lineage(item_days(df), "item-days")
+    items = cut_lineage(item_vocabulary(days), "vocabulary")
     groups = items.groupBy("norm").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1)
     members = items.join(groups, "norm")
-    listed = days.join(members.select("item", "norm"), "item").select("norm", "item", "date")
-    other = listed.select("norm", "date", F.col("item").alias("item_b"))
+    listed = day_bits(days.join(members.select("item"), "item", "left_semi")).join(members.select("item", "norm"), "item")
+    other = listed.select("norm", "block", F.col("item").alias("item_b"), F.col("bits").alias("bits_b"))
+    in_block = F.bit_count(F.col("bits").bitwiseAND(F.col("bits_b")))
     together = (
-        listed.join(other, ["norm", "date"])
-        .filter(F.col("item") < F.col("item_b"))
+        listed.join(other, ["norm", "block"])
+        .filter((F.col("item") < F.col("item_b")) & (in_block > 0))
         .groupBy("norm", "item", "item_b")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        .agg(F.sum(in_block).alias("shared"))
         .groupBy("norm")
         .agg(F.max("shared").alias("max_shared_days"))
     )

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 import pytest
@@ -74,3 +75,22 @@ def test_committed_review_examples(spark):
     near = names.near_names(names.normalise_names(df).select("norm")).collect()
     assert sorted(r.edit_distance for r in near) == [1, 2]
     assert df.select(F.levenshtein(F.lit("كرمب"), F.lit("كمــه")).alias("d")).first().d == 4
+
+
+def test_shared_days_by_bits_equal_sets_of_days(spark):
+    rng = random.Random(9)
+    start = dt.date(1969, 10, 1)  # blocks on both sides of day 0
+    listed = {item: {start + dt.timedelta(rng.randrange(400)) for _ in range(rng.randrange(1, 200))} for item in "abcde"}
+    days = [(item, d, i) for item, held in listed.items() for i, d in enumerate(held)] + [("a", None, 0), ("b", None, 0)]
+    df = spark.createDataFrame(days, "item string, date date, ordinal long")
+    pairs = [(a, b) for a in listed for b in listed if a < b]
+    got = names.shared_days(spark.createDataFrame(pairs, "item_a string, item_b string"), df).collect()
+    assert {(r.item_a, r.item_b): r.shared_days for r in got} == {(a, b): len(listed[a] & listed[b]) for a, b in pairs}
+    assert names.day_bits(df.limit(0)).collect() == []
+
+
+def test_no_join_meets_on_dates(rows):
+    df = rows(*[(i, f"2020-01-{1 + i:02d}", "name" + "s" * (i % 2), 1, 2, 3, 4) for i in range(20)])
+    for run in (names.near_duplicate_pairs, names.exact_name_groups):
+        plan = run(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and "date" in line]

@@ -10,6 +10,7 @@ from marketclime.functions.text import iso_date, plain_number, strip
 from marketclime.operators.quality import with_order_ok
 from marketclime.sources.reference import read_csv
 
+# Column names of the published files.
 OBSERVATION_FIELDS = ["date", "item", "unit", "price_low", "price_mode", "price_high", "quantity"]
 RAW_FIELDS = [*OBSERVATION_FIELDS, "kind", "order_ok", "source_file"]
 CLEAN_FIELDS = [
@@ -42,29 +43,27 @@ def coerce_prices(rows: DataFrame) -> DataFrame:
 
 
 def read_raw_prices(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed price rows. The ordinal follows row order within a file.
+    """Parsed price rows. The ordinal follows path order and row order within a file.
 
     A date the file writes badly is null; rows are kept, as every row is
     flagged rather than dropped later on.
     """
-    return coerce_prices(read_csv(spark, path, RAW_FIELDS)).withColumn("ordinal", F.monotonically_increasing_id())
+    return coerce_prices(read_csv(spark, path, RAW_FIELDS, "ordinal"))
 
 
 def read_clean_prices(spark: SparkSession, path: str) -> DataFrame:
     """Cleaned rows that are usable and have a date and a modal price."""
-    rows = read_csv(spark, path, CLEAN_FIELDS).filter(F.col("usable") == "1")
-    typed = coerce_prices(rows).withColumn("ordinal", F.monotonically_increasing_id())
+    typed = coerce_prices(read_csv(spark, path, CLEAN_FIELDS, "ordinal").filter(F.col("usable") == "1"))
     return typed.filter(F.col("date").isNotNull() & F.col("price_mode").isNotNull())
 
 
 def read_month_files(spark: SparkSession, path: str) -> DataFrame:
     """All monthly CSV files of a folder (gzip or plain), with ``order_ok`` derived.
 
-    A gzip file is read by one task; a month is the unit of work, and days of
-    one key never cross files, so the ordinal orders repeats rightly.
+    A gzip file is read by one task; the ordinal follows path order and row
+    order within a file.
     """
-    rows = coerce_prices(read_csv(spark, path, OBSERVATION_FIELDS))
-    return with_order_ok(rows).withColumn("ordinal", F.monotonically_increasing_id())
+    return with_order_ok(coerce_prices(read_csv(spark, path, OBSERVATION_FIELDS, "ordinal")))
 
 
 def read_month_store(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:

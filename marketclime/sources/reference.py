@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketclime.functions.text import month_numbers, plain_number, strip
+from marketclime.sources.tables import with_line_ordinal
 
 MAPPING_FIELDS = [
     "item",
@@ -29,15 +30,19 @@ CROP_FIELDS = (
 )
 
 
-def read_csv(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """A headed CSV with all columns as text; a byte order mark is skipped, absent columns are null."""
+def read_csv(spark: SparkSession, path: str, fields: list[str], ordinal: str | None = None) -> DataFrame:
+    """A headed CSV with all columns as text; a byte order mark is skipped, absent columns are null.
+
+    ``ordinal`` names a column to add that follows the files' path order and the rows' order within them.
+    """
     df = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
-    return df.select(*[(F.col(f) if f in df.columns else F.lit(None).cast("string")).alias(f) for f in fields])
+    wanted = [(F.col(f) if f in df.columns else F.lit(None).cast("string")).alias(f) for f in fields]
+    return with_line_ordinal(df, ordinal).select(*wanted, ordinal) if ordinal else df.select(*wanted)
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """Manual columns of an existing mapping: item, crop_id, notes; the last row per item wins."""
-    rows = read_csv(spark, path, ["item", "crop_id", "notes"]).withColumn("_row", F.monotonically_increasing_id())
+    rows = read_csv(spark, path, ["item", "crop_id", "notes"], "_row")
     named = rows.withColumn("item", strip(F.col("item"))).filter(F.col("item") != "")
     values = [F.coalesce(strip(F.col(c)), F.lit("")).alias(c) for c in ("crop_id", "notes")]
     return (
@@ -60,7 +65,7 @@ def crop_members(mapping: DataFrame) -> DataFrame:
 
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
     """Reviewed renames: from_item, to_item; the last row per from_item wins."""
-    rows = read_csv(spark, path, ["from_item", "to_item"]).withColumn("_row", F.monotonically_increasing_id())
+    rows = read_csv(spark, path, ["from_item", "to_item"], "_row")
     return (
         rows.select(strip(F.col("from_item")).alias("from_item"), strip(F.col("to_item")).alias("to_item"), "_row")
         .groupBy("from_item")

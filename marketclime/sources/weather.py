@@ -40,7 +40,7 @@ def read_weather(spark: SparkSession, path: str, site: Column | None = None) ->
     Without a ``site_id`` column the file is one site, named by ``site``.
     """
     fields = ["site_id", "date", *SHORT_NAMES, "source"]
-    raw = read_csv(spark, path, fields).withColumn("ordinal", F.monotonically_increasing_id())
+    raw = read_csv(spark, path, fields, "ordinal")
     rows = raw.select(
         F.coalesce("site_id", F.lit("site") if site is None else site).alias("site_id"),
         iso_date(F.col("date")).alias("date"),

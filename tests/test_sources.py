@@ -36,6 +36,35 @@ def test_clean_prices_keep_usable_rows(spark, tmp_path):
     assert [r.item for r in prices.read_clean_prices(spark, path).collect()] == ["a"]
 
 
+def test_ordinals_follow_paths_and_rows_whatever_the_split(spark, tmp_path):
+    """The largest file comes last by path, and files are cut into several parts."""
+    for name, n in (("a 1", 3), ("b%20", 900), ("c", 5000)):
+        lines = [f"2020-01-01,{name}-{i},kg,1,2,3,4" for i in range(n)]
+        write(tmp_path / f"{name}.csv", "\n".join([HEADER, *lines]) + "\n")
+    expected = [f"{name}-{i}" for name, n in (("a 1", 3), ("b%20", 900), ("c", 5000)) for i in range(n)]
+    settings = {"spark.sql.files.maxPartitionBytes": "9000", "spark.sql.files.openCostInBytes": "10"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = prices.read_month_files(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert df.select(F.spark_partition_id()).distinct().count() > 10
+        got = df.select("item", "ordinal").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r.item for r in sorted(got, key=lambda r: r.ordinal)] == expected
+    assert len({r.ordinal for r in got}) == len(expected)
+
+
+def test_the_last_file_by_path_wins(spark, tmp_path):
+    for name, crop in (("1", "old"), ("2", "new")):
+        write(tmp_path / f"{name}.csv", "item,crop_id,notes\n" + f"a,{crop},\n" + "".join(f"{name}x{i},c,\n" for i in range(20 if name == "1" else 2)))
+    assert {r.item: r.crop_id for r in reference.read_mapping(spark, str(tmp_path)).collect()}["a"] == "new"
+
+
 def test_month_files_round_trip(spark, tmp_path, rows):
     df = rows(
         (1, "2020-01-31", "b", 1, 2, 3, 4), (2, "2020-01-31", "a", 3, 2, 1, None), (3, "2020-02-01", "a", None, 2, 3, 4)

@@ -183,6 +183,20 @@ def test_exact_quantiles_with_weights(spark):
     assert (row.n, row.m, row.q) == (6, 1.5, pytest.approx(np.quantile([1, 1, 1, 2, 2, 5], 0.9)))
 
 
+def test_narrow_ranges_are_cut_until_they_fit(spark):
+    """Very many distinct values within one bucket, beside repeats, a null key and a group of one value."""
+    near = spark.range(200_000).select(F.lit("near").alias("k"), (1000 + F.col("id") * 1e-9).alias("v"), F.lit(1).alias("w"))
+    far = spark.createDataFrame([(None, 5.0, 3), (None, -5.0, 1), ("one", 2.0, 90_000), ("near", 1000.0, 50_000), ("near", 9.0, 0)], "k string, v double, w int")
+    probs = {"a": 0.0, "m": 0.5, "q": 0.9, "z": 1.0}
+    got = {r.k: r for r in exact_quantiles(near.union(far), ["k"], "v", probs, weight="w", values_per_task=10).collect()}
+    near_values = np.concatenate([1000 + np.arange(200_000) * 1e-9, np.full(50_000, 1000.0)])
+    for key, data in {"near": near_values, None: np.array([5.0, 5.0, 5.0, -5.0]), "one": np.full(90_000, 2.0)}.items():
+        assert got[key].n == data.size
+        for name, p in probs.items():
+            assert got[key][name] == pytest.approx(np.quantile(data, p), rel=1e-15, abs=1e-12)
+    assert len(got) == 3
+
+
 def test_mad_against_plain_python(spark):
     rng = random.Random(11)
     data = [(k, rng.gauss(100, 30)) for k in "abc" for _ in range(500 if k == "a" else 7)] + [("d", 1.0), ("d", 2.0)]

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketclime.functions.agronomy import (
@@ -37,6 +37,7 @@ from marketclime.operators.climate import complete_years
 from marketclime.session import cut_lineage
 
 MAX_SEASON_DAYS = 400  # fixed value: a heat-driven season that has not ended by then has no length
+_NEVER = 1 << 30  # a place beyond all days
 STAGES = ("ini", "dev", "mid", "late")
 STAGE_NAMES = ("initial", "development", "mid-season", "late")
 SENSITIVITY_BASES = (5.0, 8.0, 10.0, 12.0, 15.0)
@@ -48,12 +49,8 @@ def calibration_years(weather: DataFrame, min_days: int = 360) -> DataFrame:
     return cut_lineage(complete_years(weather, ["et0"], min_days).select("site_id", "year"), "years")
 
 
-def season_blocks(weather: DataFrame, years: DataFrame, longest: int) -> DataFrame:
-    """Per (site, start year), the days that seasons of up to ``longest`` days may reach, in date order.
-
-    Day ``k`` counts from 1 January of the start year. Weather is not limited
-    to settled days or complete years; only start years are.
-    """
+def _season_rows(weather: DataFrame, years: DataFrame, longest: int) -> DataFrame:
+    """A row per (site, start year) and day that seasons of up to ``longest`` days may reach."""
     last = 365 + max(longest, 1) - 1  # of a season planted on the last day of a leap year
     wind = F.coalesce("wind_mean", "wind_max")
     days = weather.select(
@@ -68,12 +65,48 @@ def season_blocks(weather: DataFrame, years: DataFrame, longest: int) -> DataFra
         F.explode(F.array(*[F.year("date") - back for back in range(last // 365 + 1)])).alias("year"),
     )
     k = F.datediff("date", date_of(F.col("year"), F.lit(1), F.lit(1)))
-    return (
-        days.filter(k <= last)
-        .join(years, ["site_id", "year"], "left_semi")
-        .groupBy("site_id", "year")
-        .agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), "tmin", "tmax", "et0", "precip", "u2", "rh"))).alias("days"))
+    return days.withColumn("k", k).filter(F.col("k") <= last).join(years, ["site_id", "year"], "left_semi")
+
+
+def season_blocks(weather: DataFrame, years: DataFrame, longest: int) -> DataFrame:
+    """Per (site, start year), the days that seasons of up to ``longest`` days may reach, in date order.
+
+    Day ``k`` counts from 1 January of the start year. Weather is not limited
+    to settled days or complete years; only start years are.
+    """
+    days = F.collect_list(F.struct("k", "tmin", "tmax", "et0", "precip", "u2", "rh"))
+    return _season_rows(weather, years, longest).groupBy("site_id", "year").agg(F.sort_array(days).alias("days"))
+
+
+def heat_sums(
+    weather: DataFrame, years: DataFrame, bases: DataFrame, longest: int, cap: float | None = None
+) -> DataFrame:
+    """Per (site, start year, base) of ``bases``: running heat sums, one place per day.
+
+    ``first_k`` is the day of the first place; each holds the ``heat`` and the
+    number of ``known`` days up to it. A missing day has a place too and adds
+    to neither, so heat never falls along the array and a gap shows in
+    ``known``.
+    """
+    by_day = Window.partitionBy("site_id", "year", "base").orderBy("k")
+    gdd = degree_days(F.col("tmin"), F.col("tmax"), F.col("base"), cap)
+    summed = (
+        _season_rows(weather, years, longest)
+        .join(bases, ["site_id", "year"])
+        .select("site_id", "year", "base", "k", gdd.alias("gdd"))
+        .select(
+            "site_id",
+            "year",
+            "base",
+            F.coalesce(F.sum("gdd").over(by_day), F.lit(0.0)).alias("heat"),
+            F.count("gdd").over(by_day).cast("int").alias("known"),
+            F.col("k").alias("from_k"),
+            F.coalesce(F.lead("k").over(by_day) - 1, F.col("k")).alias("to_k"),
+        )
+        .select("site_id", "year", "base", "heat", "known", F.explode(F.sequence("from_k", "to_k")).alias("k"))
     )
+    places = F.sort_array(F.collect_list(F.struct("k", "heat", "known")))
+    return summed.groupBy("site_id", "year", "base").agg(F.min("k").alias("first_k"), places.alias("sums"))
 
 
 def _every_variant(years: DataFrame, variants: DataFrame) -> DataFrame:
@@ -103,13 +136,19 @@ def _start_offset() -> Column:
     return F.datediff(start, date_of(F.col("year"), F.lit(1), F.lit(1)))
 
 
+def _dated(candidates: DataFrame) -> DataFrame:
+    """Candidates whose planting day exists, with its ``start_k``, dealt by site and year.
+
+    They are few bytes but much work, so their spread must not shrink with their size.
+    """
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dated = candidates.withColumn("start_k", _start_offset()).filter(F.col("start_k").isNotNull())
+    return dated.repartition(tasks, "site_id", "year")
+
+
 def _season_days(candidates: DataFrame, blocks: DataFrame, longest: Column) -> DataFrame:
     """Attach the days of each candidate's season, ``longest`` days from planting."""
-    dated = candidates.withColumn("start_k", _start_offset()).filter(F.col("start_k").isNotNull())
-    # candidates are few bytes but much work, so their spread must not shrink with their size
-    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dated = dated.repartition(tasks, "site_id", "year")
-    met = dated.join(blocks, ["site_id", "year"])
+    met = _dated(candidates).join(blocks, ["site_id", "year"])
     first = F.get("days", F.lit(0))["k"]
     last = F.get("days", F.size("days") - 1)["k"]
     # a block without gaps is cut by position, any other by day number
@@ -212,39 +251,49 @@ def calibrated_variants(
 # ------------------------------------------------------------ season length
 
 
-def _stage_lengths(heats: Column, start_k: Column, needs: Column) -> Column:
+def _stage_lengths(start: Column, needs: Column, max_days: int) -> Column:
     """Days each needed stage takes to gather its heat; null if a day is missing or the season never ends.
 
-    A fold over the daily heat: each stage starts from zero, so what it gathers
-    beyond its need is not carried over. ``needs`` holds positive needs only.
+    ``start`` is the planting day's place in ``sums``. A stage ends at the first
+    place whose heat exceeds that before the stage by its need, found by
+    halving; what it gathers beyond its need is not carried over. ``needs``
+    holds positive needs only.
     """
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0.0).alias("heat"),
-        F.lit(0).alias("taken"),
-        F.lit(0).alias("used"),
-        F.array().cast("array<int>").alias("lengths"),
+    sums = F.col("sums")
+    beyond = F.least(F.size(sums), start + max_days)
+
+    def upto(place: Column, field: str) -> Column:
+        return F.when(place > 0, F.get(sums, place - 1)[field]).otherwise(0)
+
+    def state(at: Column, lengths: Column) -> Column:
+        return F.struct(at.alias("at"), lengths.alias("lengths"))
+
+    def stage(now: Column, need: Column) -> Column:
+        def halve(span: Column, _: Column) -> Column:
+            middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+            full = reached(F.get(sums, middle)["heat"] - upto(now["at"], "heat"), need)
+            return (
+                F.when(span["low"] >= span["high"], span)
+                .when(full, F.struct(span["low"].alias("low"), middle.alias("high")))
+                .otherwise(F.struct((middle + 1).alias("low"), span["high"].alias("high")))
+            )
+
+        halvings = F.sequence(F.lit(1), F.lit(max_days.bit_length() + 1))
+        span = F.struct(now["at"].alias("low"), F.greatest(now["at"], beyond).alias("high"))
+        found = F.aggregate(halvings, span, halve, lambda end: end["low"])
+        # a stage that never ends leaves a place beyond all days
+        stop = F.when(now["at"] >= beyond, F.lit(_NEVER)).otherwise(F.least(found + 1, F.lit(_NEVER)))
+        stop = F.when(stop > beyond, F.lit(_NEVER)).otherwise(stop)
+        return F.transform(F.array(stop), lambda x: state(x, F.concat(now["lengths"], F.array(x - now["at"]))))[0]
+
+    def whole(end: Column) -> Column:
+        return (end["at"] < _NEVER) & (upto(end["at"], "known") - upto(start, "known") == end["at"] - start)
+
+    grown = F.aggregate(
+        needs, state(start, F.array().cast("array<int>")), stage, lambda end: F.when(whole(end), end["lengths"])
     )
-    failed = F.lit(-1)
-
-    def state(at, heat, taken, used, lengths) -> Column:
-        return F.struct(
-            at.alias("at"), heat.alias("heat"), taken.alias("taken"), used.alias("used"), lengths.alias("lengths")
-        )
-
-    def step(now: Column, day: Column) -> Column:
-        settled = (now["at"] < 0) | (now["at"] >= F.size(needs))
-        gap = (day["k"] != start_k + now["used"]) | day["gdd"].isNull()
-        heat, taken, used = now["heat"] + day["gdd"], now["taken"] + 1, now["used"] + 1
-        full = reached(heat, F.get(needs, now["at"]))
-        return (
-            F.when(settled, now)
-            .when(gap, state(failed, now["heat"], now["taken"], now["used"], now["lengths"]))
-            .when(full, state(now["at"] + 1, F.lit(0.0), F.lit(0), used, F.concat(now["lengths"], F.array(taken))))
-            .otherwise(state(now["at"], heat, taken, used, now["lengths"]))
-        )
-
-    return F.aggregate(heats, start, step, lambda end: F.when(end["at"] >= F.size(needs), end["lengths"]))
+    none = F.array().cast("array<int>")
+    return F.when(F.size(needs) == 0, none).when((start >= 0) & (start < F.size(sums)), grown)
 
 
 def stage_lengths(
@@ -257,18 +306,16 @@ def stage_lengths(
     """Stage lengths in days from the heat requirement, for every candidate that finishes within ``max_days``.
 
     Candidates carry ``requirement`` and ``base``. Stages without a need take
-    no day: the fold sees the positive needs only, and zeros are put back.
+    no day: the search sees the positive needs only, and zeros are put back.
+    Heat is summed once per site, start year and base, not per candidate.
     """
-    days = _season_days(candidates, season_blocks(weather, years, max_days), F.lit(max_days))
-    kept = [c for c in days.columns if c not in ("days", "start_k", *STAGES)]
-    heats = F.transform(
-        "days", lambda d: F.struct(d["k"].alias("k"), degree_days(d["tmin"], d["tmax"], F.col("base"), cap).alias("gdd"))
-    )
-    ready = days.select(
-        *kept, "start_k", heats.alias("_heats"), F.filter("requirement", lambda n: n > 0).alias("_needs")
-    )
-    # an outer generator, so that no filter on the result runs the fold again
-    found = _stage_lengths(F.col("_heats"), F.col("start_k"), F.col("_needs"))
+    bases = candidates.select("site_id", "year", "base").distinct()
+    met = _dated(candidates).join(heat_sums(weather, years, bases, max_days, cap), ["site_id", "year", "base"])
+    kept = [c for c in met.columns if c not in ("sums", "first_k", "start_k", *STAGES)]
+    start = (F.col("start_k") - F.col("first_k")).alias("_start")
+    ready = met.select(*kept, start, "sums", F.filter("requirement", lambda n: n > 0).alias("_needs"))
+    # an outer generator, so that no filter on the result runs the search again
+    found = _stage_lengths(F.col("_start"), F.col("_needs"), max_days)
     grown = ready.select(*kept, F.explode_outer(F.array(found)).alias("_taken")).filter(F.col("_taken").isNotNull())
     need = [F.get("requirement", F.lit(i)) > 0 for i in range(4)]
     lengths = []

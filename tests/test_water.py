@@ -290,3 +290,38 @@ def test_long_seasons_are_whole(spark, length):
         row = water.season_run(spark.createDataFrame([crop], ddl + kc), weather, years, 1.0, 1.0, longest=longest).first()
         assert row.season_days == length and row.et0_mm == pytest.approx(length * rows[0][et0])
         assert row.end == dt.date(2000, 12, 31) + dt.timedelta(days=length - 1)
+
+
+def test_stage_lengths_against_a_plain_walk(spark):
+    """Missing days, null temperatures, needs met exactly, zero needs, starts off the record, a season too long."""
+    first = dt.date(2019, 12, 30)
+    days = {first + dt.timedelta(days=i): 10.0 + (i * 7 % 5) for i in range(900)}
+    del days[dt.date(2020, 3, 10)]
+    days[dt.date(2020, 6, 1)] = None
+    sky = "site_id string, date date, tmin double, tmax double, et0 double, precip double, wind_mean double, wind_max double"
+    weather = spark.createDataFrame([("s", d, t, t, 1.0, 0.0, None, None) for d, t in days.items()], sky).repartition(3)
+    years = spark.createDataFrame([("s", 2019), ("s", 2020), ("s", 2021), ("t", 2020)], "site_id string, year int")
+    needs = [[20.0, 0.0, 31.0, 5.5], [0.0, 0.0, 0.0, 0.0], [0.0, 4.0, 0.0, 1.0], [90.0, 90.0, 90.0, 90.0], [1.0, 1.0, 1.0, 4000.0]]
+    starts = [(2019, 12, 29), (2019, 12, 30), (2020, 2, 29), (2020, 3, 9), (2020, 3, 11), (2020, 5, 20), (2020, 9, 1), (2021, 2, 29), (2021, 6, 1)]
+    asked = [(y, m, d, i, base) for y, m, d in starts for i in range(len(needs)) for base in (8.0, 11.5)]
+    rows = [("s", y, "c", i, m, d, base, needs[i], -1, -1, -1, -1) for y, m, d, i, base in asked]
+    schema = "site_id string, year int, crop_id string, variant int, month int, day int, base double, requirement array<double>, ini int, dev int, mid int, late int"
+    out = water.stage_lengths(spark.createDataFrame(rows, schema), weather, years, max_days=120).collect()
+
+    def walk(start, need, base):
+        now, lengths, used = start, [], 0
+        for n in need:
+            heat = taken = 0
+            while n > 0 and (heat + 1e-9 < n or not taken):
+                if used == 120 or days.get(now) is None:
+                    return None
+                heat, taken, used, now = heat + max(0.0, days[now] - base), taken + 1, used + 1, now + dt.timedelta(days=1)
+            lengths.append(taken)
+        return lengths
+
+    expected = {}
+    for y, m, d, i, base in asked:
+        if (y, m, d) != (2021, 2, 29) and (found := walk(dt.date(y, m, d), needs[i], base)):
+            expected[y, m, d, i, base] = found
+    got = {(r.year, r.month, r.day, r.variant, r.base): [r.ini, r.dev, r.mid, r.late] for r in out}
+    assert got == expected and len(out) == len(got) > 30

@@ -1,20 +1,26 @@
 """Bulletin pages: HTML tables to price rows.
 
-Pages with a plain table are cut by native text functions, after comments,
-scripts, styles and titles (a page's head, say) are taken out. Pages that are
-not that tidy (unclosed or nested tags, regions that do not end, unusual
-entities) go through the standard library's HTML parser in an Arrow-batched
-function; tidy pages pass it as null, so they cost it nothing.
+Pages go through Python in Arrow batches. A plain table is cut at its row and
+cell tags, after comments, scripts, styles and titles (a page's head, say) are
+taken out; cells that are not closed end where HTML's rules end them. Pages that
+are not plain (nested tables, regions that do not end, odd quotes) go through the
+standard library's HTML parser, tag by tag. Pages without the table's class are
+passed as null, so they cost Python nothing.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from html import unescape
+from html.parser import HTMLParser
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketclime.functions.text import clean_cell, date_of_text, number_of, strip
+from marketclime.functions.text import WHITE_SPACE, clean_cell, date_of_text, number_of
 from marketclime.operators.quality import with_order_ok
 
 # The table's class, and the order the cells are rendered in
@@ -23,165 +29,198 @@ TABLE_CLASS = "table-bordered"
 ITEM, UNIT, HIGH, MODE, LOW, QUANTITY, DATE = range(7)
 MIN_CELLS = 7
 
-_TABLE = (
-    r"(?is)<table\b[^>]*\bclass\s*=\s*(?:\"[^\"]*(?<![\w-])%s(?![\w-])[^\"]*\"|'[^']*(?<![\w-])%s(?![\w-])[^']*')[^>]*>(.*?)</table\s*>"
-    % (TABLE_CLASS, TABLE_CLASS)
-)
-_CELL_TAG = r"(?i)<(/?t[rdh])\b"
-_ROW = "tr,c*/tr,"  # a row, its cells closed and written as c
-_TAG = r"(?s)<[^>]*>"
-# markup that needs a real parser inside the table, and anywhere on the page
-_STRAY = (
-    r"(?i)<(?:table|script|style|textarea|title)\b|<[!?]|<(?![a-z/])|&(?!(?:amp|lt|gt|quot|nbsp|#39);)"
+_TABLE_TAG = re.compile(r"(?i)<table(?=[\t\n\r\f />])[^<>]*>")
+_PLAIN_TABLE_TAG = re.compile(r"(?ia)<table(?:[\t\n\r\f ]+[a-z][\w:.-]*=(?:\"[^\"&]*\"|'[^'&]*'))*[\t\n\r\f ]*>")
+_CLASS = re.compile(r"(?i)[\t\n\r\f ]class=(?:\"([^\"]*)\"|'([^']*)')")
+_TABLE_END = re.compile(r"(?i)</table[\t\n\r\f ]*>")
+_CELL_TAG = re.compile(r"(?i)<(/?t[rdh])(?=[\t\n\r\f />])[^<>]*>")
+_NODE, _ROW, _ROW_END, _CELL, _CELL_END = "\x01", "\x02", "\x03", "\x04", "\x05"
+_OWN_MARKS = re.compile("[\x01-\x05]")
+# tags and the marks put in their place, one pass over the table each
+_MARKS = [
+    (re.compile(r"(?i)</tr(?=[\t\n\r\f />])[^<>]*>"), _ROW_END),
+    (re.compile(r"(?i)</t[dh](?=[\t\n\r\f />])[^<>]*>"), _CELL_END),
+    (re.compile(r"(?i)<t[dh](?=[\t\n\r\f />])[^<>]*>"), _CELL),
+    (re.compile(r"(?i)<tr(?=[\t\n\r\f />])[^<>]*>"), _ROW),
+    (re.compile(r"<[^<>]*>"), _NODE),
+]
+_EDGE = WHITE_SPACE + _NODE + _ROW_END  # around a cell's text
+_TIDY = re.compile(r"(?:tr(?:td/td|th/th)*/tr)*")  # the names of the row and cell tags of a well nested table
+# markup inside the table that needs a real parser
+_STRAY = re.compile(
+    r"(?ia)<(?:table|script|style|textarea|title)\b|<[!?]|<(?![a-z/])|</(?![a-z])|<t[rdh]\b[^<>]*/>"
     r"|=\s*(?:\"[^\"]*[<>][^\"]*\"|'[^']*[<>][^']*')"
 )
-_REGION = r"(?i)<(?:!--|script|style|textarea|title|iframe)"
+_REGION = re.compile(r"(?i)<(?:!--|script|style|textarea|title|iframe)")
 # regions whose insides are no markup: found from left to right in one pass, so that one inside another is part of it
-_BARE = (
-    r"(?is)<!--.*?-->"
+_BARE = re.compile(
+    r"(?isa)<!--.*?-->"
     r"|<(script|style)(?=[\s>])[^<>]*>.*?</\1\s*>"
     r"|<(title|textarea|iframe)(?=[\s>])[^<>]*>([^<]*)</\2\s*>"
 )
 # what is read in more than one way, or was not closed: a real parser decides
-_DOUBTFUL = (
-    r"(?i)<!---?>|--!>|--\s+>|<!\[|<(?:script|style|title|textarea|iframe)\b[^>]*/>"
+_DOUBTFUL = re.compile(
+    r"(?ia)<!---?>|--!>|--\s+>|<!\[|<(?:script|style|title|textarea|iframe)\b[^>]*/>"
     r"|</(?:script|style|title|textarea|iframe)(?!\s*>)"
 )
-_LEFT = (
-    r"(?i)<(?:!--|script|style|textarea|title|iframe|template|noembed|noframes|xmp|plaintext)\b|<!--"
-    r"|<[a-z/!?][^<>]*\x01"  # a region that began inside a tag
+_LEFT = re.compile(
+    r"(?ia)<(?:!--|script|style|textarea|title|iframe|template|noembed|noframes|xmp|plaintext)\b|<!--"
     r"|<[a-z][^<>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)"  # a tag that ends within a quoted value
+    r"|<[a-z/][^<>]*+(?!>)"  # a tag that does not end
 )
-_ENTITIES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-_NODE, _ROW_END, _CELL_START, _CELL_END = "\u0001", "\u0002", "\u0003", "\u0004"
+_BROKEN = re.compile(r"(?i)<[a-z/!?][^<>]*\x01")  # a region that began inside a tag
 
 
-def _native_rows(table: Column) -> Column:
-    """Cells of a well nested table.
+def _without_regions(html: str) -> str:
+    """The page without comments, scripts and styles; titles and the like leave their text. Each leaves node breaks.
 
-    Row and cell tags become single marks and other tags node breaks in a few
-    passes over the whole table; cells are then cut at the marks. A cell is
-    its text nodes, each stripped, empty ones dropped, joined by a blank.
+    A page with doubtful regions is given back as it is.
+    """
+    if not _REGION.search(html) or _DOUBTFUL.search(html):
+        return html
+    return _BARE.sub(f"{_NODE}\\g<3>{_NODE}", html)
+
+
+def _plain_table(html: str) -> str | None:
+    """The inside of the first table of the class, if cutting it at its tags and parsing the page properly give the same cells."""
+    if _OWN_MARKS.search(html):
+        return None
+    bare = _without_regions(html)
+    if _LEFT.search(bare) or (_NODE in bare and _BROKEN.search(bare)):
+        return None
+    for tag in _TABLE_TAG.finditer(bare):
+        if TABLE_CLASS in tag[0]:
+            break
+    else:
+        return None
+    named = _CLASS.findall(tag[0])
+    if not _PLAIN_TABLE_TAG.fullmatch(tag[0]) or len(named) != 1 or TABLE_CLASS not in "".join(named[0]).split():
+        return None
+    end = _TABLE_END.search(bare, tag.end())
+    table = bare[tag.end() : end.start()] if end else None
+    return None if table is None or _STRAY.search(table) else table
+
+
+def _is_tidy(table: str) -> bool:
+    """Whether all rows and cells are closed."""
+    return _TIDY.fullmatch("".join(_CELL_TAG.findall(table)).lower()) is not None
+
+
+def _cut_rows(table: str) -> list[list[str]]:
+    """Rows of cell texts of a plain table. A cell that is not closed ends where the next cell or row begins.
+
+    A cell is its text nodes, each stripped, empty ones dropped, joined by a blank.
     """
-    text = F.regexp_replace(table, r"(?i)</tr\s*>", _ROW_END)
-    text = F.regexp_replace(text, r"(?i)</t[dh]\s*>", _CELL_END)
-    text = F.regexp_replace(text, r"(?is)<t[dh]\b[^>]*>", _CELL_START)
-    text = F.regexp_replace(text, _TAG, _NODE)
-    for entity, character in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    for tag, mark in _MARKS:
+        table = tag.sub(mark, table)
+    table = table.replace("&nbsp;", "\u00a0")
+    if "&" in table:
+        table = unescape(table)  # gives no marks: references to control characters are dropped
 
-    def cell(piece: Column) -> Column:
-        nodes = F.transform(F.split(F.substring_index(piece, _CELL_START, -1), _NODE), lambda t: strip(t))
-        return F.array_join(F.filter(nodes, lambda t: t != ""), " ")
+    def cell(piece: str) -> str:
+        text = piece.partition(_CELL_END)[0].strip(_EDGE)
+        if _NODE in text or _ROW_END in text:  # the end of a row closes no cell
+            text = " ".join(t for node in text.replace(_ROW_END, _NODE).split(_NODE) if (t := node.strip()))
+        return text
 
-    def row(line: Column) -> Column:
-        pieces = F.split(line, _CELL_END)
-        return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), cell)  # the rest follows the last cell
+    return [[cell(piece) for piece in line.split(_CELL)[1:]] for line in table.split(_ROW)[1:]]
 
-    lines = F.split(text, _ROW_END)
-    return F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), row)
 
+def _parser_rows(html: str) -> list[list[str]]:
+    """Rows of cell texts of the first table of the class, by the standard library's parser."""
+    table_class = TABLE_CLASS
 
-def _is_tidy(html: Column, table: Column) -> Column:
-    """Whether cutting at the tags and parsing properly give the same cells."""
-    names = F.transform(F.regexp_extract_all(table, F.lit(_CELL_TAG), F.lit(1)), lambda t: F.concat(F.lower(t), F.lit(",")))
-    cells = F.replace(F.replace(F.array_join(names, ""), F.lit("td,/td,"), F.lit("c")), F.lit("th,/th,"), F.lit("c"))
-    return (F.regexp_replace(cells, _ROW, "") == "") & ~table.rlike(_STRAY) & ~html.rlike(_LEFT)
+    class Table(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.done, self.skip = 0, False, 0
+            self.rows, self.cell = [], None
 
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style"):
+                self.skip += 1
+            classes = (dict(attrs).get("class") or "").split()
+            if tag == "table":
+                if self.depth or (not self.done and table_class in classes):
+                    self.depth += 1
+            elif self.depth and tag == "tr":
+                self.cell = None
+                self.rows.append([])
+            elif self.depth and tag in ("td", "th") and self.rows:
+                self.cell = []
+                self.rows[-1].append(self.cell)
 
-def _without_regions(html: Column) -> Column:
-    """The page without comments, scripts and styles; titles and the like leave their text. Each leaves node breaks.
+        def handle_endtag(self, tag):
+            if tag in ("script", "style") and self.skip:
+                self.skip -= 1
+            elif self.depth and tag in ("td", "th"):
+                self.cell = None
+            elif self.depth and tag == "table":
+                self.depth -= 1
+                self.done = self.depth == 0
+
+        def handle_data(self, data):
+            text = data.strip()
+            if self.depth and self.cell is not None and text and not self.skip:
+                self.cell.append(text)
+
+    parser = Table()
+    parser.feed(html)
+    parser.close()
+    return [[" ".join(cell) for cell in row] for row in parser.rows]
 
-    A page with doubtful regions is given back as it is.
-    """
-    bare = F.regexp_replace(html, _BARE, f"{_NODE}$3{_NODE}")
-    return F.when(html.rlike(_REGION) & ~html.rlike(_DOUBTFUL), bare).otherwise(html)
+
+def _per_text(function: Callable, kind: T.DataType):
+    """``function`` over texts, in Arrow batches; null stays null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(function, na_action="ignore")
+
+    return F.pandas_udf(run, kind)
+
+
+_CELLS = T.ArrayType(T.ArrayType(T.StringType()))
+
+
+def _native_rows(table: Column) -> Column:
+    """Cells of a plain table."""
+    return _per_text(_cut_rows, _CELLS)(table)
 
 
 def _parsed_rows():
     """html -> rows of cell texts of the first table of the class, by a real HTML parser."""
-    table_class = TABLE_CLASS
-
-    def parse(pages: pd.Series) -> pd.Series:
-        from html.parser import HTMLParser
-
-        class Table(HTMLParser):
-            def __init__(self):
-                super().__init__(convert_charrefs=True)
-                self.depth, self.done, self.skip = 0, False, 0
-                self.rows, self.cell = [], None
-
-            def handle_starttag(self, tag, attrs):
-                if tag in ("script", "style"):
-                    self.skip += 1
-                classes = (dict(attrs).get("class") or "").split()
-                if tag == "table":
-                    if self.depth or (not self.done and table_class in classes):
-                        self.depth += 1
-                elif self.depth and tag == "tr":
-                    self.cell = None
-                    self.rows.append([])
-                elif self.depth and tag in ("td", "th") and self.rows:
-                    self.cell = []
-                    self.rows[-1].append(self.cell)
-
-            def handle_endtag(self, tag):
-                if tag in ("script", "style") and self.skip:
-                    self.skip -= 1
-                elif self.depth and tag in ("td", "th"):
-                    self.cell = None
-                elif self.depth and tag == "table":
-                    self.depth -= 1
-                    self.done = self.depth == 0
-
-            def handle_data(self, data):
-                text = data.strip()
-                if self.depth and self.cell is not None and text and not self.skip:
-                    self.cell.append(text)
-
-        def rows_of(html):
-            if html is None:
-                return None
-            parser = Table()
-            parser.feed(html)
-            parser.close()
-            return [[" ".join(cell) for cell in row] for row in parser.rows]
-
-        return pages.map(rows_of, na_action="ignore")
-
-    return F.pandas_udf(parse, T.ArrayType(T.ArrayType(T.StringType())))
+    return _per_text(_parser_rows, _CELLS)
 
 
 def _marked(pages: DataFrame, html: str) -> DataFrame:
-    """Add the page without hidden regions, its table and whether cutting that natively is right."""
-    has_class = F.col(html).contains(TABLE_CLASS)
-    bare = pages.withColumn("_bare", F.when(has_class, _without_regions(F.col(html))))
-    cut = bare.withColumn("_table", F.coalesce(F.regexp_extract("_bare", _TABLE, 1), F.lit("")))
-    own_marks = F.col(html).rlike(r"[\x01-\x04]")
-    tidy = (F.col("_table") != "") & _is_tidy(F.col("_bare"), F.col("_table")) & ~own_marks
-    return cut.withColumn("_tidy", F.coalesce(tidy, F.lit(False))).withColumn("_parse", has_class & ~F.col("_tidy"))
+    """Add the inside of the page's table if it is plain, whether it is also well nested, and whether the page names the class."""
+    named = pages.withColumn("_named", F.coalesce(F.col(html).contains(TABLE_CLASS), F.lit(False)))
+    # a page without the class costs Python nothing
+    cut = named.withColumn("_table", _per_text(_plain_table, T.StringType())(F.when(F.col("_named"), F.col(html))))
+    tidy = (F.col("_table") != "") & _per_text(_is_tidy, T.BooleanType())(F.col("_table"))
+    return cut.withColumn("_tidy", F.coalesce(tidy, F.lit(False)))
 
 
 def parser_counts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row: pages without the table's class, pages cut natively, and pages that need the HTML parser."""
+    """One row: pages without the table's class, pages with a well nested table, and pages where HTML's rules for unclosed or odd markup decide."""
     marked = _marked(pages, html)
-    parse = F.coalesce(F.col("_parse"), F.lit(False))
     return marked.agg(
-        F.count_if(~F.col("_tidy") & ~parse).alias("empty"), F.count_if("_tidy").alias("native"), F.count_if(parse).alias("parsed")
+        F.count_if(~F.col("_named")).alias("empty"),
+        F.count_if("_tidy").alias("native"),
+        F.count_if(F.col("_named") & ~F.col("_tidy")).alias("parsed"),
     )
 
 
 def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``rows``: the cleaned cells of every data row (the first row is a header); empty without a table or page."""
-    marked = _marked(pages, html).withColumn("_parsed", _parsed_rows()(F.when(F.col("_parse"), F.col(html))))
-    none = F.array().cast("array<array<string>>")
-    cells = F.when(F.col("_tidy"), _native_rows(F.col("_table"))).otherwise(F.coalesce("_parsed", none))
+    marked = _marked(pages, html)
+    odd = F.when(F.col("_named") & F.col("_table").isNull(), F.col(html))
     # one step per reuse: Spark keeps a costly column that a later step reads twice
-    cut = marked.withColumn("_cells", cells)
+    cut = marked.withColumn("_cells", F.coalesce(_native_rows(F.col("_table")), _parsed_rows()(odd), F.array().cast(_CELLS)))
     body = F.slice("_cells", F.lit(2), F.greatest(F.size("_cells"), F.lit(1)))
     cleaned = cut.withColumn("_body", F.transform(body, lambda row: F.transform(row, lambda c: clean_cell(c))))
     kept = F.filter("_body", lambda row: (F.size(row) >= MIN_CELLS) & (F.get(row, F.lit(ITEM)) != ""))
-    return cleaned.withColumn("rows", kept).drop("_bare", "_table", "_tidy", "_parse", "_parsed", "_cells", "_body")
+    return cleaned.withColumn("rows", kept).drop("_named", "_table", "_tidy", "_cells", "_body")
 
 
 def _spread(pages: DataFrame, *keep: str) -> DataFrame:
@@ -231,7 +270,8 @@ def requested_rows(pages: DataFrame) -> DataFrame:
     elsewhere = F.exists(
         "rows", lambda row: (F.get(row, F.lit(DATE)) != "") & (F.get(row, F.lit(DATE)) != wanted)
     )
-    served = table_rows(pages).filter(~elsewhere)
+    # no filter: Spark would move it below the parse and run the parse twice
+    served = table_rows(pages).withColumn("rows", F.when(~elsewhere, F.col("rows")))
     rows = _spread(served, "path", "expected")
     return rows.select(
         F.col("expected").alias("date"),

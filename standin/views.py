@@ -309,24 +309,27 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shown_rows(spark, sf_dir).withColumn("block", F.floor(F.col("ordinal") / BLOCK_ROWS))
     messy = F.col("block") % 3 == 0
 
-    def cell(text: Column) -> Column:
-        shown = F.when(F.col("ordinal") % 2 == 1, _arabic(text)).otherwise(text)
-        close = F.when(messy, "").otherwise("</td>")
-        return F.concat(F.lit("<td> <span>"), F.coalesce(shown, F.lit("")), F.lit("</span>‏&nbsp;"), close)
-
-    cells = [
-        F.concat(F.lit("<td>"), F.replace(F.col("item"), F.lit(" "), F.lit(" <b>")), F.lit("</b></td>")),
-        cell(F.col("unit")),
-        cell(F.col("price_high").cast("string")),
-        cell(F.format_number("price_mode", 2)),
-        cell(F.col("price_low").cast("string")),
-        cell(F.col("quantity").cast("string")),
-        cell(F.date_format("shown", "dd-MM-yyyy")),
-    ]
-    line = F.concat(F.lit("<tr class='r'>"), *cells, F.lit("</tr>"))
-    listed = rows.groupBy("date", "block").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", line.alias("h")))), lambda x: x["h"]), "\n").alias("body")
-    )
+    def line(r: Column) -> Column:
+        def cell(text: Column) -> Column:
+            shown = F.when(r["ordinal"] % 2 == 1, _arabic(text)).otherwise(text)
+            close = F.when(messy, "").otherwise("</td>")
+            return F.concat(F.lit("<td> <span>"), F.coalesce(shown, F.lit("")), F.lit("</span>‏&nbsp;"), close)
+
+        cells = [
+            F.concat(F.lit("<td>"), F.replace(r["item"], F.lit(" "), F.lit(" <b>")), F.lit("</b></td>")),
+            cell(r["unit"]),
+            cell(r["price_high"].cast("string")),
+            cell(F.format_number(r["price_mode"], 2)),
+            cell(r["price_low"].cast("string")),
+            cell(r["quantity"].cast("string")),
+            cell(F.date_format(r["shown"], "dd-MM-yyyy")),
+        ]
+        return F.concat(F.lit("<tr class='r'>"), *cells, F.lit("</tr>"))
+
+    # lines are written from the listed rows: the rows alone are shuffled, and the work is dealt as the pages are
+    row = F.struct("ordinal", "item", "unit", "price_high", "price_mode", "price_low", "quantity", "shown")
+    listed = rows.groupBy("date", "block").agg(F.sort_array(F.collect_list(row)).alias("listed"))
+    listed = listed.withColumn("body", F.array_join(F.transform("listed", line), "\n"))
     head = "<html><body><table class='menu'><tr><td>x</td></tr></table><table class=\"table table-bordered\">"
     return listed.select(
         F.concat_ws("/", F.lit("raw"), F.col("block").cast("string"), F.concat("date", F.lit(".html"))).alias("path"),

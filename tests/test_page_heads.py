@@ -54,3 +54,30 @@ def test_a_very_long_table_and_script(spark):
     df = spark.createDataFrame([(page,)], "html string")
     assert pages.parser_counts(df).collect()[0].native == 1
     assert pages.table_rows(df).select(F.size("rows").alias("n")).collect()[0].n == 30000
+
+
+def test_unclosed_cells_are_cut_as_the_parser_reads_them():
+    rng = random.Random(7)
+    bits = [
+        "<tr>", "</tr>", "<td>", "</td>", "<TH class='x'>", "</TD >", "<b>", "</b>", "<br/>", "&amp;", "&nbsp;", "&#65;", "&copy", "<!-- c -->",
+        "a", "1,5", " ", "\n", "‏", "<td/>", "<td-x>", "</ td>", "<td title='a>b'>", "<td x", "<", '"', "<table>", "</table>", "<style>q</style>", "\x04",
+    ]
+    weights = [6] * 19 + [1] * (len(bits) - 19)
+    tables = ["<table class='table-bordered'>", '<table id="t" class="x table-bordered">', "<table class=table-bordered>", "<table class='table-bordered' class='x'>"]
+    cut = unclosed = 0
+    for _ in range(20000):
+        inside = "".join(rng.choices(bits, weights, k=rng.randint(1, 16)))
+        page = "".join(rng.choices(bits, weights, k=2)) + rng.choice(tables) + inside + "</table>" + "".join(rng.choices(bits, weights, k=2))
+        table = pages._plain_table(page)
+        if table is not None:
+            cut += 1
+            unclosed += not pages._is_tidy(table)
+            assert pages._cut_rows(table) == pages._parser_rows(page), page
+    assert cut > 2000 and unclosed > 1000  # the parser alone read these before
+
+
+def test_the_parse_is_planned_once(spark):
+    df = spark.createDataFrame([("p/2000-01-01.html", "<html></html>", None)], "path string, html string, expected date")
+    plan = pages.requested_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    # a filter over the parsed rows was moved below the parse and ran it twice
+    assert plan.count("regexp_replace") == 1

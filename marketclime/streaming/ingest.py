@@ -166,7 +166,8 @@ def ingest_pages(
     """Stream of fetched pages (path, html, expected) parsed and stored in the same pass."""
 
     def store_batch(batch: DataFrame, _: int) -> None:
-        rows = requested_rows(batch)
+        # written once: the parse would run again for the months and for the rows
+        rows = cut_lineage(requested_rows(batch), "page-rows")
         # one page per requested day: the row number within the page orders its repeats
         append_new(rows.withColumnRenamed("row", "ordinal").drop("path"), store, dedupe_batch=False)
 

@@ -94,7 +94,8 @@ from e qualify row_number() over (partition by user_id, date
 def _dripped(spark, frame, folder, batch):
     """A stream of ``frame`` in micro-batches, by the number column ``batch``."""
     for n in sorted(r[0] for r in frame.select(batch).distinct().collect()):
-        frame.filter(F.col(batch) == n).drop(batch).coalesce(1).write.mode("append").parquet(folder)
+        # one file per batch; a repartition, so that the rows are read and filtered in many tasks
+        frame.filter(F.col(batch) == n).drop(batch).repartition(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(frame.drop(batch).schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

@@ -141,3 +141,21 @@ def test_stored_raises_on_other_errors(spark, tmp_path):
     (path / "x.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         ingest._stored(spark, str(path), "date date").count()
+
+
+def test_pages_are_parsed_once(spark, tmp_path, monkeypatch):
+    cells = "".join(f"<td>{c}</td>" for c in ("a", "kg", "3", "2", "1", "5", ""))
+    page = f"<table class='table-bordered'><tr><th>h</th></tr><tr>{cells}</tr></table>"
+    df = spark.createDataFrame([("p/2000-01-01.html", page)], "path string, html string").withColumn("expected", F.lit("2000-01-01").cast("date"))
+    df.write.parquet(str(tmp_path / "in"))
+    seen = []
+
+    def append(rows, store, dedupe_batch=True):
+        seen.append((rows._jdf.queryExecution().optimizedPlan().toString(), rows.count()))
+
+    monkeypatch.setattr(ingest, "append_new", append)
+    arriving = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    ingest.ingest_pages(arriving, str(tmp_path / "store"), str(tmp_path / "c"))
+    ((plan, n),) = seen
+    # the rows are used twice there; before, each use parsed the pages
+    assert n == 1 and "ArrowEvalPython" not in plan

@@ -7,12 +7,11 @@ the two tokens before it: the last (n-gram), the one before (skip), both
 together, and a bias.
 
 Within a class a second softmax has a bias per token, its smoothed relative
-frequency, and a weight per hashed pair of the last token and the token. Pairs
-are features from a number of occurrences on (``FEATURE_LEAST``, and one pair
-in ``HEAVY``). As all other weights are zero, the normaliser of a context is one
-plus a sum over that context's pairs, so no pass over the class's words is
-needed. Both softmaxes have a Gaussian prior, so that contexts seen rarely stay
-near the bias.
+frequency, and a weight per hashed pair of the last token and the token. Every
+pair seen ``FEATURE_LEAST`` times is a feature. As all other weights are zero,
+the normaliser of a context is one plus a sum over that context's pairs, so no
+pass over the class's words is needed. Both softmaxes have a Gaussian prior, so
+that contexts seen rarely stay near the bias.
 
 Training reads all training texts once: counts of words, of token pairs and of
 (context buckets, class) are summed up in numpy per task and then by Spark. The
@@ -21,8 +20,10 @@ every update is a distributed pass over that table, whose size is fixed by the
 number of buckets. Pair weights of one context and class depend on no others, so
 each task updates its own contexts. Words are told by 64-bit hashes, words in
 pairs by 32 bits. Frequent words and pairs (at least one in ``HEAVY``, so no more
-than that many) are sent to the scoring tasks; all other words meet their counts
-by a join, in which no word is frequent.
+than that many) are sent to the scoring tasks; for all others the tasks ask, and
+questions meet counts and weights by a shuffle, in which no word or pair is
+frequent. Counts and questions travel packed, a row per bucket of hashes with
+many keys in it; buckets hold whole contexts, and their number follows the texts.
 """
 
 from __future__ import annotations
@@ -32,11 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketclime.llm.tally import Tally
-from marketclime.llm.textbytes import column_bytes, lower_ascii, slices, word_hashes, word_spans
+from marketclime.llm.tally import Tally, added
+from marketclime.llm.textbytes import column_bytes, lower_ascii, mix, slices, word_hashes, word_spans
 from marketclime.session import cut_lineage
 
 CLASSES, LAST, SKIP, PAIRS = 64, 256, 32, 2048  # buckets; powers of two
@@ -48,7 +50,11 @@ PRIOR = 4.0  # of class weights: as many tokens as speak for a weight of zero
 FEATURE_LEAST, PAIR_PRIOR, PAIR_EPOCHS = 2, 2.0, 24
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for hashes
 WORD_KIND, CELL_KIND, PAIR_KIND = 0, 1, 2
+DOC, ASK_WORD, ASK_PAIR, ASK_WEIGHT = 3, 4, 5, 6  # kinds of rows while scoring; a weight alone: the normaliser is known
 TABLE = 1 << 20  # distinct words a task holds before it hands them on
+PART_BYTES, PARTS_LEAST, BUCKETS = 8 << 20, 8, 4  # text per partition, fewest partitions, buckets per partition
+PACKED = "bucket int, kind int, keys binary, a binary, b binary"
+PACKED_NAMES = ["bucket", "kind", "keys", "a", "b"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -116,18 +122,53 @@ def log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """kind, key, n: counts of token hashes, context cells and token pairs over the training texts, written out."""
+def partitions_for(docs: DataFrame) -> int:
+    """As many partitions as keep the packed keys of one at a fixed size."""
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    return max(PARTS_LEAST, -(-size // PART_BYTES))
+
+
+def packed(kind: int, places: np.ndarray, buckets: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """A row per bucket, in which ``places`` (hashes) put the keys, with the bytes of its keys and values."""
+    bucket = (mix(places) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    found, firsts = np.unique(bucket[order], return_index=True)
+    edges = np.append(firsts, keys.size)
+
+    def column(array: np.ndarray) -> pa.Array:
+        offsets = (edges * array.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), found.size, [None, pa.py_buffer(offsets), pa.py_buffer(array[order])])
+
+    columns = [column(v) for v in (keys, *values)]
+    columns += [pa.nulls(found.size, pa.binary())] * (3 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(found.size, kind, np.int32)), *columns], PACKED_NAMES)
+
+
+def unpacked(batches: list[pa.RecordBatch], kind: int, *types: type) -> list[np.ndarray]:
+    """Keys and values of all packed rows of a kind."""
+    own = [b.filter(pc.equal(b.column("kind"), kind)) for b in batches]
+    columns = zip(("keys", "a", "b"), (np.uint64, *types))
+    return [np.frombuffer(b"".join(column_bytes(b.column(c))[0].tobytes() for b in own), t) for c, t in columns]
+
+
+def places_of(kind: int, keys: np.ndarray) -> np.ndarray:
+    """What the bucket of a key hangs on: pairs of one context and class lie together."""
+    return groups_of(keys) if kind == PAIR_KIND else keys
+
+
+def corpus_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """kind, key, n, total: counts of token hashes, context cells and token pairs over the training texts, written out.
+
+    Pairs are those seen ``FEATURE_LEAST`` times; their ``total`` counts the
+    tokens of their context and class, other pairs included.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CONTEXTS * CLASSES, np.int64)
         words, pairs = Tally(TABLE), Tally(TABLE)
 
-        def rows(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, key.size, 1 << 16):
-                part = key[i : i + (1 << 16)].view(np.int64)
-                kinds = pa.array(np.full(part.size, kind, np.int32))
-                yield pa.RecordBatch.from_arrays([kinds, pa.array(part), pa.array(n[i : i + (1 << 16)])], ["kind", "key", "n"])
+        def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return packed(kind, places_of(kind, key), parts * BUCKETS, key, n)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -137,15 +178,31 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 for kind, tally, found in ((WORD_KIND, words, tokens), (PAIR_KIND, pairs, pairs_of(tokens, begins[:-1]))):
                     tally.add(*np.unique(found, return_counts=True))
                     if tally.full:
-                        yield from rows(kind, *tally.take())
-        yield from rows(WORD_KIND, *words.take())
-        yield from rows(PAIR_KIND, *pairs.take())
+                        yield rows(kind, *tally.take())
+        yield rows(WORD_KIND, *words.take())
+        yield rows(PAIR_KIND, *pairs.take())
         seen = np.flatnonzero(cells)
-        yield from rows(CELL_KIND, seen.astype(np.uint64), cells[seen])
+        yield rows(CELL_KIND, seen.astype(np.uint64), cells[seen])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        for kind in (WORD_KIND, CELL_KIND, PAIR_KIND):
+            key, n = added(*unpacked(got, kind, np.int64))
+            total = np.zeros_like(n)
+            if kind == PAIR_KIND:
+                _, group = np.unique(groups_of(key), return_inverse=True)
+                total = np.bincount(group, n).astype(np.int64)[group] if key.size else total
+                often = n >= FEATURE_LEAST
+                key, n, total = key[often], n[often], total[often]
+            for i in range(0, key.size, 1 << 16):
+                j = slice(i, i + (1 << 16))
+                part = key[j].view(np.int64)
+                kinds = pa.array(np.full(part.size, kind, np.int32))
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(part), pa.array(n[j]), pa.array(total[j])], ["kind", "key", "n", "total"])
 
     training = docs.filter(~held_out(F.col("doc_id"))).select("text")
-    parts = training.mapInArrow(run, "kind int, key long, n long")
-    return cut_lineage(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    dealt = training.mapInArrow(run, PACKED).repartition(parts, "bucket")
+    return cut_lineage(dealt.mapInArrow(merge, "kind int, key long, n long, total long"), "counts")
 
 
 def train_classes(
@@ -201,40 +258,34 @@ def train_classes(
     return weights
 
 
-def frequent_pairs(counts: DataFrame, tokens: int) -> DataFrame:
-    """pair, n, total: the pairs that are features, with the tokens of their context and class; at most ``HEAVY`` rows, written out."""
-    pairs = counts.filter(F.col("kind") == PAIR_KIND).select(F.col("key").alias("pair"), "n")
-    often = (F.col("n") >= FEATURE_LEAST) & (F.col("n") * F.lit(HEAVY) >= F.lit(tokens))
-    chosen = cut_lineage(pairs.filter(often), "pairs")
-    group = F.shiftrightunsigned("pair", 26).alias("group")
-    wanted = chosen.select(group).distinct()
-    totals = pairs.select(group, "n").join(wanted, "group", "left_semi").groupBy("group").agg(F.sum("n").alias("total"))
-    return cut_lineage(chosen.select("*", group).join(totals, "group"), "pair-totals")
+def pair_features(counts: DataFrame, tokens: int) -> DataFrame:
+    """pair, n, total, mass: all counted pairs; ``mass``: the smoothed count of the words that have the token's 32 bits."""
+    pairs = counts.filter(F.col("kind") == PAIR_KIND).select(
+        F.col("key").alias("pair"), "n", "total", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("short")
+    )
+    words = counts.filter(F.col("kind") == WORD_KIND).groupBy(F.shiftrightunsigned("key", 32).alias("short"))
+    masses = cut_lineage(words.agg(F.sum(F.col("n") + F.lit(SMOOTH)).alias("mass")), "masses")
+    # frequent words, whose pairs are many, are sent; no more than about HEAVY can be
+    heavy = F.col("mass") * F.lit(HEAVY) >= F.lit(tokens)
+    sent = F.broadcast(masses.filter(heavy))
+    met = pairs.join(sent, "short").unionByName(pairs.join(sent, "short", "left_anti").join(masses.filter(~heavy), "short"))
+    return met.drop("short")
 
 
-def train_pairs(
-    chosen: DataFrame, keys: np.ndarray, counts: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray, parts: int = 8
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs in order, their weights, and the natural log of their contexts' normalisers, by gradient updates.
+def train_pairs(features: DataFrame, class_tokens: np.ndarray, class_words: np.ndarray, parts: int = 8) -> DataFrame:
+    """pair, n, weight, log_z: weights and the natural log of their contexts' normalisers, by gradient updates, written out.
 
-    ``keys`` and ``counts`` are the frequent words: a pair speaks only for
-    those, and every word of a frequent pair is one. A context's pairs meet in
-    one task; all tasks together hold at most ``HEAVY`` pairs.
+    A context's pairs meet in one task.
     """
-    short, place = np.unique(keys >> np.uint64(32), return_inverse=True)
-    share = (counts + SMOOTH) / (class_tokens + SMOOTH * (class_words + 1))[class_of(keys)]
-    sent = chosen.sparkSession.sparkContext.broadcast((short, np.bincount(place, share, short.size)))
+    class_mass = class_tokens + SMOOTH * (class_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, share = sent.value
         got = list(batches)
-        if not sum(b.num_rows for b in got) or not short.size:
+        if not sum(b.num_rows for b in got):
             return
-        pairs, n, total = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("pair", "n", "total"))
-        pairs = pairs.view(np.uint64)
-        word = pairs & np.uint64(0xFFFFFFFF)
-        at = np.minimum(np.searchsorted(short, word), short.size - 1)
-        plain = np.where(short[at] == word, share[at], 0.0)
+        key, n, total, mass = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("pair", "n", "total", "mass"))
+        pairs = key.view(np.uint64)
+        plain = mass / class_mass[class_of(pairs << np.uint64(32))]
         _, group = np.unique(groups_of(pairs), return_inverse=True)
         weights = np.zeros(pairs.size)
 
@@ -247,20 +298,21 @@ def train_pairs(
         logs = np.log(normaliser())[group]
         for i in range(0, pairs.size, 1 << 16):
             j = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[j].view(np.int64)), pa.array(weights[j]), pa.array(logs[j])], ["pair", "weight", "log_z"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (key, n, weights, logs)], ["pair", "n", "weight", "log_z"])
 
-    trained = chosen.repartition(parts, "group").select("pair", "n", "total")
-    found = trained.mapInArrow(run, "pair long, weight double, log_z double").toPandas()
-    pairs = found["pair"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(pairs)
-    return pairs[order], found["weight"].to_numpy(float)[order], found["log_z"].to_numpy(float)[order]
+    grouped = features.repartition(parts, F.shiftrightunsigned("pair", 26)).select("pair", "n", "total", "mass")
+    return cut_lineage(grouped.mapInArrow(run, "pair long, n long, weight double, log_z double"), "pair-weights")
+
+
+def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is among the sorted keys (at least one), and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), keys.size - 1)
+    return at, keys[at] == wanted
 
 
 @dataclass(frozen=True)
 class Model:
-    """Everything scoring needs besides the counts of rarer words; its size is fixed by the constants above."""
+    """Everything scoring needs besides the rarer words and pairs; its size is fixed by the constants above."""
 
     weights: np.ndarray
     class_tokens: np.ndarray  # training tokens per class
@@ -271,16 +323,18 @@ class Model:
     pair_weights: np.ndarray
     groups: np.ndarray  # sorted contexts and classes of the pairs
     group_logs: np.ndarray  # natural logs of their normalisers
-
-    def pair_scores(self, pairs: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-        """Natural log of what the context adds to each token within its class; ``heavy``: the token is a frequent word."""
-        if not self.pairs.size:
-            return np.zeros(pairs.size)
-        at = np.minimum(np.searchsorted(self.pairs, pairs), self.pairs.size - 1)
-        out = np.where(heavy & (self.pairs[at] == pairs), self.pair_weights[at], 0.0)
-        group = groups_of(pairs)
-        at = np.minimum(np.searchsorted(self.groups, group), self.groups.size - 1)
-        return out - np.where(self.groups[at] == group, self.group_logs[at], 0.0)
+    parts: int  # partitions in which questions meet the rarer words and pairs
+
+    def pair_scores(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log of what the context adds to each token within its class, as far as the frequent pairs tell;
+        whether the pair is one of them, and whether its context's normaliser is known."""
+        out, found, placed = np.zeros(pairs.size), np.zeros(pairs.size, bool), np.zeros(pairs.size, bool)
+        if self.pairs.size:
+            at, found = looked_up(self.pairs, pairs)
+            out = np.where(found, self.pair_weights[at], 0.0)
+            at, placed = looked_up(self.groups, groups_of(pairs))
+            out -= np.where(placed, self.group_logs[at], 0.0)
+        return out, found, placed
 
     @property
     def tokens(self) -> int:
@@ -292,8 +346,10 @@ class Model:
 
 
 def fit(docs: DataFrame) -> tuple[DataFrame, Model]:
-    """Counts (kind, key, n) and the model, learned from the documents that are not held out."""
-    counts = corpus_counts(docs)
+    """The model, learned from the documents that are not held out, and what is joined to texts: kind, key, n,
+    and for pairs weight and log_z."""
+    parts = partitions_for(docs)
+    counts = corpus_counts(docs, parts)
     words = counts.filter(F.col("kind") == WORD_KIND)
     per_class = words.groupBy(F.shiftrightunsigned("key", 58).alias("class")).agg(
         F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words")
@@ -301,19 +357,28 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Model]:
     tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for row in per_class.collect():
         tokens[row["class"]], distinct[row["class"]] = row["tokens"], row["words"]
-    # at most HEAVY words can have so many tokens
-    heavy = words.filter(F.col("n") * F.lit(HEAVY) >= F.lit(int(tokens.sum()))).select("key", "n").toPandas()
+    # at most HEAVY words can have so many tokens, nor can more pairs
+    frequent = F.col("n") * F.lit(HEAVY) >= F.lit(int(tokens.sum()))
+    heavy = words.filter(frequent).select("key", "n").toPandas()
     keys = heavy["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, heavy_counts = keys[order], heavy["n"].to_numpy(np.int64)[order]
-    pairs, weights, logs = train_pairs(frequent_pairs(counts, int(tokens.sum())), keys, heavy_counts, tokens, distinct)
+    trained = train_pairs(pair_features(counts, int(tokens.sum())), tokens, distinct, parts)
+    found = trained.filter(frequent).select("pair", "weight", "log_z").toPandas()
+    pairs = found["pair"].to_numpy(np.int64).view(np.uint64)
+    by_pair = np.argsort(pairs)
+    pairs, weights, logs = pairs[by_pair], found["weight"].to_numpy(float)[by_pair], found["log_z"].to_numpy(float)[by_pair]
     groups, first = np.unique(groups_of(pairs), return_index=True)
-    return counts, Model(train_classes(counts, tokens), tokens, distinct, keys, heavy_counts, pairs, weights, groups, logs[first])
+    model = Model(
+        train_classes(counts, tokens), tokens, distinct, keys, heavy_counts, pairs, weights, groups, logs[first], parts
+    )
+    plain = counts.filter(F.col("kind") != PAIR_KIND).select("kind", "key", "n")
+    learned = trained.select(F.lit(PAIR_KIND).alias("kind"), F.col("pair").alias("key"), "n", "weight", "log_z")
+    return plain.unionByName(learned, allowMissingColumns=True), model
 
 
-PARTIAL = (
-    "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, key long, times int"
-)
+ROWS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+ROW_NAMES = [c.split(" ")[0] for c in ROWS.split(", ")]
 
 
 def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
@@ -323,6 +388,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     every probability is one. Repeated rows and ids stay rows of their own.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    buckets = model.parts * BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -348,69 +414,109 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 shared = np.bincount(of_doc, count_score, n)
                 base = shared - n_tokens * base_log
                 near, near_of = np.unique(pairs_of(tokens, begins[:-1]), return_inverse=True)
-                near_known = np.zeros(near.size, bool)
-                near_known[near_of[known[place]]] = True
-                near_score = m.pair_scores(near, near_known)[near_of]
-                scores = shared + np.bincount(of_doc, class_score + near_score / np.log(10), n)
-                rare = ~known[place]
-                pairs, times = np.unique(of_doc[rare].astype(np.int64) * own.size + place[rare], return_counts=True)
-                rare_doc, rare_word = pairs // max(own.size, 1), own[pairs % max(own.size, 1)]
+                near_score, near_known, near_placed = m.pair_scores(near)
+                scores = shared + np.bincount(of_doc, class_score + near_score[near_of] / np.log(10), n)
                 rows = part.column("row").to_numpy()
-                yield _partial(rows, part.column("doc_id"), part.column("held_out"), n_tokens, known_here, base, scores)
-                for i in range(0, pairs.size, 1 << 16):
-                    j = slice(i, i + (1 << 16))
-                    yield _rare(rows[rare_doc[j]], rare_word[j], times[j])
+                yield _wide(
+                    _packed_docs(rows, buckets),
+                    [
+                        pa.array(rows), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens.astype(np.int64)),
+                        pa.array(known_here.astype(np.int64)), pa.array(base), pa.array(scores),
+                    ],
+                )
+                asks = ((ASK_WORD, own, place, ~known), (ASK_PAIR, near, near_of, ~near_known & ~near_placed), (ASK_WEIGHT, near, near_of, ~near_known & near_placed))
+                for kind, keys, key_of, asked in asks:
+                    mine = asked[key_of]
+                    found, times = np.unique(of_doc[mine].astype(np.int64) * keys.size + key_of[mine], return_counts=True)
+                    if found.size:
+                        key = keys[found % keys.size]
+                        spread = key if kind == ASK_WORD else groups_of(key)
+                        yield _wide(packed(kind, spread, buckets, key, rows[found // keys.size], times.astype(np.int32)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind in (WORD_KIND, PAIR_KIND):
+                own = batch.filter(pc.equal(batch.column("kind"), kind))
+                key = own.column("key").to_numpy().view(np.uint64)
+                values = [own.column(c).to_numpy() for c in (("n",) if kind == WORD_KIND else ("weight", "log_z"))]
+                if key.size:
+                    yield _wide(packed(kind, places_of(kind, key), buckets, key, *values))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = []
+        for batch in batches:
+            of_docs = batch.filter(pc.equal(batch.column("kind"), DOC))
+            yield of_docs.select(ROW_NAMES)
+            got.append(batch.select(PACKED_NAMES).filter(pc.not_equal(batch.column("kind"), DOC)))
+        asked = []  # rows, known words, what is added to the base, what the pairs add
+        keys, n = _ordered(*unpacked(got, WORD_KIND, np.int64))
+        wanted, rows, times = unpacked(got, ASK_WORD, np.int64, np.int32)
+        at, there = looked_up(keys, wanted) if keys.size else (np.zeros(wanted.size, int), np.zeros(wanted.size, bool))
+        c = np.where(there, n[at], 0) if keys.size else np.zeros(wanted.size)
+        asked.append((rows, there * times, times * np.log10(c + SMOOTH), np.zeros(rows.size)))
+        keys, weights, logs = _ordered(*unpacked(got, PAIR_KIND, np.float64, np.float64))
+        groups, first = np.unique(groups_of(keys), return_index=True)
+        for kind in (ASK_PAIR, ASK_WEIGHT):
+            wanted, rows, times = unpacked(got, kind, np.int64, np.int32)
+            if not keys.size:
+                continue
+            at, there = looked_up(keys, wanted)
+            more = np.where(there, weights[at], 0.0)
+            if kind == ASK_PAIR:
+                at, there = looked_up(groups, groups_of(wanted))
+                more = more - np.where(there, logs[first][at], 0.0)
+            on = more != 0
+            asked.append((rows[on], np.zeros(on.sum(), int), np.zeros(on.sum()), (times * more)[on] / np.log(10)))
+        rows, known, base, more = (np.concatenate(x) for x in zip(*asked))
+        rows, place = np.unique(rows, return_inverse=True)
+        known, base, more = (np.bincount(place, x, rows.size) for x in (known, base, more))
+        for i in range(0, rows.size, 1 << 16):
+            j = slice(i, i + (1 << 16))
+            size = rows[j].size
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows[j]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.int64()),
+                    pa.array(known[j].astype(np.int64)), pa.array(base[j]), pa.array(base[j] + more[j]),
+                ],
+                ROW_NAMES,
+            )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text"
     )
-    partial = rows.mapInArrow(run, PARTIAL)
-    words = counts.filter(F.col("kind") == WORD_KIND).select("key", F.col("n").alias("c"))
-    met = partial.join(words, "key", "left")
-    times = F.coalesce("times", F.lit(0))
-    gain = times * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))
+    wide = f"{PACKED}, {ROWS}"
+    # frequent words and pairs are in the model
+    rarer = F.col("kind").isin(WORD_KIND, PAIR_KIND) & (F.col("n") * F.lit(HEAVY) < F.lit(model.tokens))
+    learned = counts.filter(rarer).select("kind", "key", "n", "weight", "log_z").mapInArrow(pack, wide)
+    met = rows.mapInArrow(run, wide).union(learned).repartition(model.parts, "bucket").mapInArrow(answer, ROWS)
     summed = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("n_known", F.lit(0)) + F.when(F.col("c").isNotNull(), times).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("base", F.lit(0.0)) + gain).alias("base_score"),
-        F.sum(F.coalesce("score", F.lit(0.0)) + gain).alias("score"),
+        F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"),
+        F.sum("score").alias("score"),
     )
     train = F.lit(model.tokens).cast("long").alias("train_tokens")
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", train, "base_score", "score")
 
 
-def _nulls(n: int, kind: pa.DataType) -> pa.Array:
-    return pa.nulls(n, kind)
+def _packed_docs(rows: np.ndarray, buckets: int) -> list[pa.Array]:
+    """A row per document, dealt out by its number."""
+    bucket = (mix(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    return [pa.array(bucket), pa.array(np.full(rows.size, DOC, np.int32)), *[pa.nulls(rows.size, pa.binary())] * 3]
 
 
-NAMES = [c.split(" ")[0] for c in PARTIAL.split(", ")]
+def _wide(first: pa.RecordBatch | list[pa.Array], docs: list[pa.Array] | None = None) -> pa.RecordBatch:
+    """Packed rows and rows of documents in one form."""
+    first = first.columns if isinstance(first, pa.RecordBatch) else first
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    return pa.RecordBatch.from_arrays([*first, *(docs or [pa.nulls(len(first[0]), k) for k in kinds])], PACKED_NAMES + ROW_NAMES)
 
 
-def _partial(rows, ids, held, n_tokens, known, base, scores) -> pa.RecordBatch:
-    """What a document's frequent words and classes give; its key, a number of its own, meets no word."""
-    n = rows.size
-    keys = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(rows), ids, held, pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)),
-            pa.array(base), pa.array(scores), pa.array(keys), _nulls(n, pa.int32()),
-        ],
-        NAMES,
-    )
-
-
-def _rare(rows, words, times) -> pa.RecordBatch:
-    """One row per document and rarer word: how often it occurs."""
-    n = rows.size
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(rows), _nulls(n, pa.int64()), _nulls(n, pa.bool_()), _nulls(n, pa.int64()), _nulls(n, pa.int64()),
-            _nulls(n, pa.float64()), _nulls(n, pa.float64()), pa.array(words.view(np.int64)), pa.array(times.astype(np.int32)),
-        ],
-        NAMES,
-    )
+def _ordered(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    order = np.argsort(keys)
+    return [x[order] for x in (keys, *values)]
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -79,3 +79,15 @@ def test_given_documents_score_above_the_base(spark):
 def test_no_text_to_learn_from(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score_documents(docs).collect() == []
+
+
+def test_rare_pairs_count_as_frequent_ones_do(spark, monkeypatch):
+    docs = corpus(spark).repartition(3)
+    sent = sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs).collect())
+    for heavy in (1, 40, 400):  # hardly any, some and most words and pairs are frequent
+        monkeypatch.setattr(lm, "HEAVY", heavy)
+        counts, model = lm.fit(docs)
+        learned = counts.filter(f"kind = {lm.PAIR_KIND}")
+        assert model.pairs.size < learned.count() == learned.filter("weight is not null and log_z is not null and n > 1").count()
+        rows = lm.score(docs, counts, model).collect()
+        assert np.allclose(sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows), sent, atol=1e-5)

@@ -16,6 +16,7 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,11 +47,10 @@ _MARKS = [
 ]
 _EDGE = WHITE_SPACE + _NODE + _ROW_END  # around a cell's text
 _TIDY = re.compile(r"(?:tr(?:td/td|th/th)*/tr)*")  # the names of the row and cell tags of a well nested table
+# Patterns begin with one fixed character, to which the search jumps.
 # markup inside the table that needs a real parser
-_STRAY = re.compile(
-    r"(?ia)<(?:table|script|style|textarea|title)\b|<[!?]|<(?![a-z/])|</(?![a-z])|<t[rdh]\b[^<>]*/>"
-    r"|=\s*(?:\"[^\"]*[<>][^\"]*\"|'[^']*[<>][^']*')"
-)
+_STRAY = re.compile(r"(?ia)<(?:(?:table|script|style|textarea|title)\b|[!?]|(?![a-z/])|/(?![a-z])|t[rdh]\b[^<>]*/>)")
+_STRAY_VALUE = re.compile(r"(?ia)=\s*(?:\"[^\"]*[<>][^\"]*\"|'[^']*[<>][^']*')")
 _REGION = re.compile(r"(?i)<(?:!--|script|style|textarea|title|iframe)")
 # regions whose insides are no markup: found from left to right in one pass, so that one inside another is part of it
 _BARE = re.compile(
@@ -60,13 +60,13 @@ _BARE = re.compile(
 )
 # what is read in more than one way, or was not closed: a real parser decides
 _DOUBTFUL = re.compile(
-    r"(?ia)<!---?>|--!>|--\s+>|<!\[|<(?:script|style|title|textarea|iframe)\b[^>]*/>"
-    r"|</(?:script|style|title|textarea|iframe)(?!\s*>)"
+    r"(?ia)<(?:!---?>|!\[|(?:script|style|title|textarea|iframe)\b[^>]*/>|/(?:script|style|title|textarea|iframe)(?!\s*>))"
 )
+_DOUBTFUL_END = re.compile(r"(?a)--(?:!>|\s+>)")
 _LEFT = re.compile(
-    r"(?ia)<(?:!--|script|style|textarea|title|iframe|template|noembed|noframes|xmp|plaintext)\b|<!--"
-    r"|<[a-z][^<>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)"  # a tag that ends within a quoted value
-    r"|<[a-z/][^<>]*+(?!>)"  # a tag that does not end
+    r"(?ia)<(?:(?:script|style|textarea|title|iframe|template|noembed|noframes|xmp|plaintext)\b|!--"
+    r"|[a-z][^<>]*=\s*(?:\"[^\"<>]*>|'[^'<>]*>)"  # a tag that ends within a quoted value
+    r"|[a-z/][^<>]*+(?!>))"  # a tag that does not end
 )
 _BROKEN = re.compile(r"(?i)<[a-z/!?][^<>]*\x01")  # a region that began inside a tag
 
@@ -76,7 +76,7 @@ def _without_regions(html: str) -> str:
 
     A page with doubtful regions is given back as it is.
     """
-    if not _REGION.search(html) or _DOUBTFUL.search(html):
+    if not _REGION.search(html) or _DOUBTFUL.search(html) or _DOUBTFUL_END.search(html):
         return html
     return _BARE.sub(f"{_NODE}\\g<3>{_NODE}", html)
 
@@ -98,7 +98,7 @@ def _plain_table(html: str) -> str | None:
         return None
     end = _TABLE_END.search(bare, tag.end())
     table = bare[tag.end() : end.start()] if end else None
-    return None if table is None or _STRAY.search(table) else table
+    return None if table is None or _STRAY.search(table) or _STRAY_VALUE.search(table) else table
 
 
 def _is_tidy(table: str) -> bool:
@@ -182,6 +182,35 @@ def _per_text(function: Callable, kind: T.DataType):
 _CELLS = T.ArrayType(T.ArrayType(T.StringType()))
 
 
+def _page_rows(html: str) -> list[list[str]]:
+    """Rows of cell texts of the first table of the class: cut if it is plain, else by the parser."""
+    table = _plain_table(html)
+    return _parser_rows(html) if table is None else _cut_rows(table)
+
+
+def _rows_of_pages():
+    """html -> ``_page_rows``, null for null. The cells leave as one Arrow array with offsets, not as Python lists."""
+
+    def run(htmls: pa.Array) -> pa.Array:
+        cells, row_ends, page_ends, missing = [], [0], [0], []
+        for html in htmls.to_pylist():
+            missing.append(html is None)
+            for row in _page_rows(html) if html is not None else ():
+                cells += row
+                row_ends.append(len(cells))
+            page_ends.append(len(row_ends) - 1)
+        rows = pa.ListArray.from_arrays(pa.array(row_ends, pa.int32()), pa.array(cells, pa.string()))
+        return pa.ListArray.from_arrays(pa.array(page_ends, pa.int32()), rows, mask=pa.array(missing, pa.bool_()))
+
+    return F.arrow_udf(run, _CELLS)
+
+
+def _is_native(html: str) -> bool:
+    """Whether the page's table is plain, not empty and well nested."""
+    table = _plain_table(html)
+    return bool(table) and _is_tidy(table)
+
+
 def _native_rows(table: Column) -> Column:
     """Cells of a plain table."""
     return _per_text(_cut_rows, _CELLS)(table)
@@ -192,9 +221,14 @@ def _parsed_rows():
     return _per_text(_parser_rows, _CELLS)
 
 
+def _named(pages: DataFrame, html: str) -> DataFrame:
+    """Add whether the page names the class."""
+    return pages.withColumn("_named", F.coalesce(F.col(html).contains(TABLE_CLASS), F.lit(False)))
+
+
 def _marked(pages: DataFrame, html: str) -> DataFrame:
     """Add the inside of the page's table if it is plain, whether it is also well nested, and whether the page names the class."""
-    named = pages.withColumn("_named", F.coalesce(F.col(html).contains(TABLE_CLASS), F.lit(False)))
+    named = _named(pages, html)
     # a page without the class costs Python nothing
     cut = named.withColumn("_table", _per_text(_plain_table, T.StringType())(F.when(F.col("_named"), F.col(html))))
     tidy = (F.col("_table") != "") & _per_text(_is_tidy, T.BooleanType())(F.col("_table"))
@@ -203,8 +237,9 @@ def _marked(pages: DataFrame, html: str) -> DataFrame:
 
 def parser_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row: pages without the table's class, pages with a well nested table, and pages where HTML's rules for unclosed or odd markup decide."""
-    marked = _marked(pages, html)
-    return marked.agg(
+    named = _named(pages, html)
+    tidy = _per_text(_is_native, T.BooleanType())(F.when(F.col("_named"), F.col(html)))
+    return named.select("_named", F.coalesce(tidy, F.lit(False)).alias("_tidy")).agg(
         F.count_if(~F.col("_named")).alias("empty"),
         F.count_if("_tidy").alias("native"),
         F.count_if(F.col("_named") & ~F.col("_tidy")).alias("parsed"),
@@ -213,14 +248,13 @@ def parser_counts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def table_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``rows``: the cleaned cells of every data row (the first row is a header); empty without a table or page."""
-    marked = _marked(pages, html)
-    odd = F.when(F.col("_named") & F.col("_table").isNull(), F.col(html))
+    cells = _rows_of_pages()(F.when(F.col("_named"), F.col(html)))
     # one step per reuse: Spark keeps a costly column that a later step reads twice
-    cut = marked.withColumn("_cells", F.coalesce(_native_rows(F.col("_table")), _parsed_rows()(odd), F.array().cast(_CELLS)))
+    cut = _named(pages, html).withColumn("_cells", F.coalesce(cells, F.array().cast(_CELLS)))
     body = F.slice("_cells", F.lit(2), F.greatest(F.size("_cells"), F.lit(1)))
     cleaned = cut.withColumn("_body", F.transform(body, lambda row: F.transform(row, lambda c: clean_cell(c))))
     kept = F.filter("_body", lambda row: (F.size(row) >= MIN_CELLS) & (F.get(row, F.lit(ITEM)) != ""))
-    return cleaned.withColumn("rows", kept).drop("_named", "_table", "_tidy", "_cells", "_body")
+    return cleaned.withColumn("rows", kept).drop("_named", "_cells", "_body")
 
 
 def _spread(pages: DataFrame, *keep: str) -> DataFrame:

@@ -81,3 +81,16 @@ def test_the_parse_is_planned_once(spark):
     plan = pages.requested_rows(df)._jdf.queryExecution().optimizedPlan().toString()
     # a filter over the parsed rows was moved below the parse and ran it twice
     assert plan.count("regexp_replace") == 1
+
+
+def test_a_page_meets_python_once_and_its_cells_keep_their_places(spark):
+    odd = "<table class='table-bordered'><tr><th>h</th></tr><tr></tr><tr><td>a<table><tr><td>b</td></tr></table></td></tr></table>"
+    plain = f"<table class='table-bordered'><tr><th>h</th></tr>{ROW.format('x &amp; y')}<tr><td>short</td></tr>{ROW.format('z')}</table>"
+    df = spark.createDataFrame([("p", plain), ("o", odd), ("n", None), ("e", ""), ("q", plain)], "path string, html string")
+    got = pages.table_rows(df)
+    # two steps before: cuts, then the parser for the rest, each sent the page
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = [["x & y", *["1"] * 6], ["z", *["1"] * 6]]
+    assert {r.path: r.rows for r in got.collect()} == {"p": rows, "o": [], "n": [], "e": [], "q": rows}
+    cells = df.select("path", pages._rows_of_pages()("html").alias("cells"))
+    assert {r.path: r.cells for r in cells.collect()}["o"] == pages._parser_rows(odd)

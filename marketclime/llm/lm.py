@@ -52,9 +52,11 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # sta
 WORD_KIND, CELL_KIND, PAIR_KIND = 0, 1, 2
 DOC, ASK_WORD, ASK_PAIR, ASK_WEIGHT = 3, 4, 5, 6  # kinds of rows while scoring; a weight alone: the normaliser is known
 TABLE = 1 << 20  # distinct words a task holds before it hands them on
-PART_BYTES, PARTS_LEAST, BUCKETS = 8 << 20, 8, 4  # text per partition, fewest partitions, buckets per partition
-PACKED = "bucket int, kind int, keys binary, a binary, b binary"
-PACKED_NAMES = ["bucket", "kind", "keys", "a", "b"]
+PART_BYTES, PARTS_LEAST = 8 << 20, 8  # text per partition, fewest partitions
+BUCKETS, BUCKETS_PER_PART = 1024, 2  # a fixed number as long as it gives so many per partition
+HELD = 1 << 19  # questions a task holds before it packs them
+PACKED = "bucket int, kind int, first_row long, keys binary, a binary, b binary, c binary"
+PACKED_NAMES = ["bucket", "kind", "first_row", "keys", "a", "b", "c"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -128,27 +130,58 @@ def partitions_for(docs: DataFrame) -> int:
     return max(PARTS_LEAST, -(-size // PART_BYTES))
 
 
-def packed(kind: int, places: np.ndarray, buckets: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """A row per bucket, in which ``places`` (hashes) put the keys, with the bytes of its keys and values."""
+def buckets_for(parts: int) -> int:
+    return max(BUCKETS, BUCKETS_PER_PART * parts)
+
+
+def packed(kind: int, places: np.ndarray, buckets: int, keys: np.ndarray, *values: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row per bucket, in which ``places`` (hashes) put the keys, with the bytes of its keys and values.
+
+    Ascending ``rows`` go along as steps, in a column for their low byte and
+    one for the rest, nearly all zero; the first step of a bucket counts from ``first_row``.
+    """
     bucket = (mix(places) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     found, firsts = np.unique(bucket[order], return_index=True)
     edges = np.append(firsts, keys.size)
 
     def column(array: np.ndarray) -> pa.Array:
         offsets = (edges * array.itemsize).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), found.size, [None, pa.py_buffer(offsets), pa.py_buffer(array[order])])
+        return pa.Array.from_buffers(pa.binary(), found.size, [None, pa.py_buffer(offsets), pa.py_buffer(array)])
+
+    base = int(rows[0]) if rows is not None and rows.size else 0
+    columns = [column(v[order]) for v in (keys, *values)]
+    if rows is not None:
+        steps = np.diff(rows[order], prepend=base)
+        steps[firsts] = rows[order][firsts] - base
+        columns += [column((steps & 0xFF).astype(np.uint8)), column((steps >> 8).astype(np.int64))]
+    columns += [pa.nulls(found.size, pa.binary())] * (4 - len(columns))
+    kinds, bases = pa.array(np.full(found.size, kind, np.int32)), pa.array(np.full(found.size, base, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(found), kinds, bases, *columns], PACKED_NAMES)
+
 
-    columns = [column(v) for v in (keys, *values)]
-    columns += [pa.nulls(found.size, pa.binary())] * (3 - len(columns))
-    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(found.size, kind, np.int32)), *columns], PACKED_NAMES)
+def _of_kind(batches: list[pa.RecordBatch], kind: int) -> list[pa.RecordBatch]:
+    return [b.filter(pc.equal(b.column("kind"), kind)) for b in batches]
+
+
+def _values(own: list[pa.RecordBatch], column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column_bytes(b.column(column))[0].tobytes() for b in own), kind)
 
 
 def unpacked(batches: list[pa.RecordBatch], kind: int, *types: type) -> list[np.ndarray]:
     """Keys and values of all packed rows of a kind."""
-    own = [b.filter(pc.equal(b.column("kind"), kind)) for b in batches]
-    columns = zip(("keys", "a", "b"), (np.uint64, *types))
-    return [np.frombuffer(b"".join(column_bytes(b.column(c))[0].tobytes() for b in own), t) for c, t in columns]
+    own = _of_kind(batches, kind)
+    return [_values(own, c, t) for c, t in zip(("keys", "a", "b"), (np.uint64, *types))]
+
+
+def unpacked_questions(batches: list[pa.RecordBatch], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rows and times of all questions of a kind."""
+    own = _of_kind(batches, kind)
+    ends = np.cumsum(_values(own, "c", np.int64) * 256 + _values(own, "b", np.uint8)) if own else np.zeros(0, np.int64)
+    sizes = np.concatenate([pc.binary_length(b.column("b")).to_numpy(zero_copy_only=False) for b in own] or [np.zeros(0)]).astype(np.int64)
+    base = np.concatenate([b.column("first_row").to_numpy(zero_copy_only=False) for b in own] or [np.zeros(0, np.int64)])
+    before = np.append(0, ends)[np.cumsum(sizes) - sizes]
+    return _values(own, "keys", np.uint64), ends + np.repeat(base - before, sizes), _values(own, "a", np.int32)
 
 
 def places_of(kind: int, keys: np.ndarray) -> np.ndarray:
@@ -168,7 +201,7 @@ def corpus_counts(docs: DataFrame, parts: int) -> DataFrame:
         words, pairs = Tally(TABLE), Tally(TABLE)
 
         def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return packed(kind, places_of(kind, key), parts * BUCKETS, key, n)
+            return packed(kind, places_of(kind, key), buckets_for(parts), key, n)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -298,10 +331,10 @@ def train_pairs(features: DataFrame, class_tokens: np.ndarray, class_words: np.n
         logs = np.log(normaliser())[group]
         for i in range(0, pairs.size, 1 << 16):
             j = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (key, n, weights, logs)], ["pair", "n", "weight", "log_z"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[j]) for x in (key, n, weights.astype(np.float32), logs.astype(np.float32))], ["pair", "n", "weight", "log_z"])
 
     grouped = features.repartition(parts, F.shiftrightunsigned("pair", 26)).select("pair", "n", "total", "mass")
-    return cut_lineage(grouped.mapInArrow(run, "pair long, n long, weight double, log_z double"), "pair-weights")
+    return cut_lineage(grouped.mapInArrow(run, "pair long, n long, weight float, log_z float"), "pair-weights")
 
 
 def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -388,13 +421,22 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     every probability is one. Repeated rows and ids stay rows of their own.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    buckets = model.parts * BUCKETS
+    buckets = buckets_for(model.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         base_log = np.log10(m.tokens + SMOOTH * (m.words + 1))
         class_log = np.log10(m.class_tokens + SMOOTH * (m.class_words + 1))
         heavy_log = np.log10(m.heavy_counts + SMOOTH)
+        asks, held = {ASK_WORD: [], ASK_PAIR: [], ASK_WEIGHT: []}, 0  # keys, rows, times
+
+        def packs() -> Iterator[pa.RecordBatch]:
+            for kind, parts in asks.items():
+                if parts:
+                    key, row, times = (np.concatenate(x) for x in zip(*parts))
+                    parts.clear()
+                    yield _wide(packed(kind, key if kind == ASK_WORD else groups_of(key), buckets, key, times, rows=row))
+
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, begins = tokens_of(*column_bytes(part.column("text")))
@@ -424,14 +466,17 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                         pa.array(known_here.astype(np.int64)), pa.array(base), pa.array(scores),
                     ],
                 )
-                asks = ((ASK_WORD, own, place, ~known), (ASK_PAIR, near, near_of, ~near_known & ~near_placed), (ASK_WEIGHT, near, near_of, ~near_known & near_placed))
-                for kind, keys, key_of, asked in asks:
+                kinds = ((ASK_WORD, own, place, ~known), (ASK_PAIR, near, near_of, ~near_known & ~near_placed), (ASK_WEIGHT, near, near_of, ~near_known & near_placed))
+                for kind, keys, key_of, asked in kinds:
                     mine = asked[key_of]
                     found, times = np.unique(of_doc[mine].astype(np.int64) * keys.size + key_of[mine], return_counts=True)
                     if found.size:
-                        key = keys[found % keys.size]
-                        spread = key if kind == ASK_WORD else groups_of(key)
-                        yield _wide(packed(kind, spread, buckets, key, rows[found // keys.size], times.astype(np.int32)))
+                        asks[kind].append((keys[found % keys.size], rows[found // keys.size], times.astype(np.int32)))
+                        held += found.size
+                if held > HELD:
+                    yield from packs()
+                    held = 0
+        yield from packs()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -450,14 +495,14 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             got.append(batch.select(PACKED_NAMES).filter(pc.not_equal(batch.column("kind"), DOC)))
         asked = []  # rows, known words, what is added to the base, what the pairs add
         keys, n = _ordered(*unpacked(got, WORD_KIND, np.int64))
-        wanted, rows, times = unpacked(got, ASK_WORD, np.int64, np.int32)
+        wanted, rows, times = unpacked_questions(got, ASK_WORD)
         at, there = looked_up(keys, wanted) if keys.size else (np.zeros(wanted.size, int), np.zeros(wanted.size, bool))
         c = np.where(there, n[at], 0) if keys.size else np.zeros(wanted.size)
         asked.append((rows, there * times, times * np.log10(c + SMOOTH), np.zeros(rows.size)))
-        keys, weights, logs = _ordered(*unpacked(got, PAIR_KIND, np.float64, np.float64))
+        keys, weights, logs = _ordered(*unpacked(got, PAIR_KIND, np.float32, np.float32))
         groups, first = np.unique(groups_of(keys), return_index=True)
         for kind in (ASK_PAIR, ASK_WEIGHT):
-            wanted, rows, times = unpacked(got, kind, np.int64, np.int32)
+            wanted, rows, times = unpacked_questions(got, kind)
             if not keys.size:
                 continue
             at, there = looked_up(keys, wanted)
@@ -504,7 +549,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 def _packed_docs(rows: np.ndarray, buckets: int) -> list[pa.Array]:
     """A row per document, dealt out by its number."""
     bucket = (mix(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    return [pa.array(bucket), pa.array(np.full(rows.size, DOC, np.int32)), *[pa.nulls(rows.size, pa.binary())] * 3]
+    kinds = pa.array(np.full(rows.size, DOC, np.int32))
+    return [pa.array(bucket), kinds, pa.nulls(rows.size, pa.int64()), *[pa.nulls(rows.size, pa.binary())] * 4]
 
 
 def _wide(first: pa.RecordBatch | list[pa.Array], docs: list[pa.Array] | None = None) -> pa.RecordBatch:

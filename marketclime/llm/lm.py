@@ -24,6 +24,8 @@ than that many) are sent to the scoring tasks; for all others the tasks ask, and
 questions meet counts and weights by a shuffle, in which no word or pair is
 frequent. Counts and questions travel packed, a row per bucket of hashes with
 many keys in it; buckets hold whole contexts, and their number follows the texts.
+What a task finds for a text is added up there, and these sums travel packed as
+well, a row per bucket of texts: their number never passes that of the questions.
 """
 
 from __future__ import annotations
@@ -51,10 +53,12 @@ FEATURE_LEAST, PAIR_PRIOR, PAIR_EPOCHS = 2, 2.0, 24
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # stand for hashes
 WORD_KIND, CELL_KIND, PAIR_KIND = 0, 1, 2
 DOC, ASK_WORD, ASK_PAIR, ASK_WEIGHT = 3, 4, 5, 6  # kinds of rows while scoring; a weight alone: the normaliser is known
+SUM_WORDS, SUM_PAIRS = 7, 8  # what a task's words and pairs add to the texts that asked
 TABLE = 1 << 20  # distinct words a task holds before it hands them on
 PART_BYTES, PARTS_LEAST = 8 << 20, 8  # text per partition, fewest partitions
 BUCKETS, BUCKETS_PER_PART = 1024, 2  # a fixed number as long as it gives so many per partition
 HELD = 1 << 19  # questions a task holds before it packs them
+DOC_BITS = 4  # so many texts in a row share a bucket: the steps between them stay short
 PACKED = "bucket int, kind int, first_row long, keys binary, a binary, b binary, c binary"
 PACKED_NAMES = ["bucket", "kind", "first_row", "keys", "a", "b", "c"]
 
@@ -491,16 +495,16 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         got = []
         for batch in batches:
             of_docs = batch.filter(pc.equal(batch.column("kind"), DOC))
-            yield of_docs.select(ROW_NAMES)
+            yield of_docs
             got.append(batch.select(PACKED_NAMES).filter(pc.not_equal(batch.column("kind"), DOC)))
-        asked = []  # rows, known words, what is added to the base, what the pairs add
         keys, n = _ordered(*unpacked(got, WORD_KIND, np.int64))
         wanted, rows, times = unpacked_questions(got, ASK_WORD)
         at, there = looked_up(keys, wanted) if keys.size else (np.zeros(wanted.size, int), np.zeros(wanted.size, bool))
         c = np.where(there, n[at], 0) if keys.size else np.zeros(wanted.size)
-        asked.append((rows, there * times, times * np.log10(c + SMOOTH), np.zeros(rows.size)))
+        yield _packed_sums(SUM_WORDS, rows, times * np.log10(c + SMOOTH), there * times, buckets)
         keys, weights, logs = _ordered(*unpacked(got, PAIR_KIND, np.float32, np.float32))
         groups, first = np.unique(groups_of(keys), return_index=True)
+        asked = []  # rows, what the pairs add
         for kind in (ASK_PAIR, ASK_WEIGHT):
             wanted, rows, times = unpacked_questions(got, kind)
             if not keys.size:
@@ -511,20 +515,28 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 at, there = looked_up(groups, groups_of(wanted))
                 more = more - np.where(there, logs[first][at], 0.0)
             on = more != 0
-            asked.append((rows[on], np.zeros(on.sum(), int), np.zeros(on.sum()), (times * more)[on] / np.log(10)))
-        rows, known, base, more = (np.concatenate(x) for x in zip(*asked))
-        rows, place = np.unique(rows, return_inverse=True)
-        known, base, more = (np.bincount(place, x, rows.size) for x in (known, base, more))
-        for i in range(0, rows.size, 1 << 16):
-            j = slice(i, i + (1 << 16))
-            size = rows[j].size
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows[j]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.int64()),
-                    pa.array(known[j].astype(np.int64)), pa.array(base[j]), pa.array(base[j] + more[j]),
-                ],
-                ROW_NAMES,
-            )
+            asked.append((rows[on], (times * more)[on]))
+        if asked:
+            rows, more = (np.concatenate(x) for x in zip(*asked))
+            yield _packed_sums(SUM_PAIRS, rows, more, np.zeros(rows.size, int), buckets)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        docs = [b.select(ROW_NAMES) for b in _of_kind(got, DOC)]
+        if not sum(b.num_rows for b in docs):
+            return
+        of_docs = pa.Table.from_batches(docs).sort_by("row")
+        row, known, base, scores = (of_docs.column(c).to_numpy() for c in ("row", "n_known", "base", "score"))
+        amounts, rows, times = unpacked_questions(got, SUM_WORDS)
+        place = np.searchsorted(row, rows)
+        words = np.bincount(place, amounts.view(np.float64), row.size)
+        known = known + np.bincount(place, times, row.size).astype(np.int64)
+        amounts, rows, _ = unpacked_questions(got, SUM_PAIRS)
+        pairs = np.bincount(np.searchsorted(row, rows), amounts.view(np.float64), row.size) / np.log(10)
+        whole = of_docs.select(ROW_NAMES[:4])
+        for name, values in (("n_known", known), ("base", base + words), ("score", scores + words + pairs)):
+            whole = whole.append_column(name, pa.array(values))
+        yield from whole.combine_chunks().to_batches(max_chunksize=1 << 16)
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text"
@@ -533,22 +545,27 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     # frequent words and pairs are in the model
     rarer = F.col("kind").isin(WORD_KIND, PAIR_KIND) & (F.col("n") * F.lit(HEAVY) < F.lit(model.tokens))
     learned = counts.filter(rarer).select("kind", "key", "n", "weight", "log_z").mapInArrow(pack, wide)
-    met = rows.mapInArrow(run, wide).union(learned).repartition(model.parts, "bucket").mapInArrow(answer, ROWS)
-    summed = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    )
+    met = rows.mapInArrow(run, wide).union(learned).repartition(model.parts, "bucket").mapInArrow(answer, wide)
+    summed = met.repartition(model.parts, "bucket").mapInArrow(total, ROWS)
     train = F.lit(model.tokens).cast("long").alias("train_tokens")
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", train, "base_score", "score")
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", train, F.col("base").alias("base_score"), "score")
+
+
+def doc_places(rows: np.ndarray) -> np.ndarray:
+    """What the bucket of a text hangs on."""
+    return (rows >> DOC_BITS).astype(np.uint64)
+
+
+def _packed_sums(kind: int, rows: np.ndarray, amounts: np.ndarray, known: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The sums of each text that asked, packed as questions are: the amount's bits for keys, known words for times."""
+    rows, place = np.unique(rows, return_inverse=True)
+    sums, known = np.bincount(place, amounts, rows.size), np.bincount(place, known, rows.size)
+    return _wide(packed(kind, doc_places(rows), buckets, sums.view(np.uint64), known.astype(np.int32), rows=rows))
 
 
 def _packed_docs(rows: np.ndarray, buckets: int) -> list[pa.Array]:
     """A row per document, dealt out by its number."""
-    bucket = (mix(rows.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    bucket = (mix(doc_places(rows)) % np.uint64(buckets)).astype(np.int32)
     kinds = pa.array(np.full(rows.size, DOC, np.int32))
     return [pa.array(bucket), kinds, pa.nulls(rows.size, pa.int64()), *[pa.nulls(rows.size, pa.binary())] * 4]
 

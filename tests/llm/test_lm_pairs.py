@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import random
 import re
@@ -91,3 +92,30 @@ def test_rare_pairs_count_as_frequent_ones_do(spark, monkeypatch):
         assert model.pairs.size < learned.count() == learned.filter("weight is not null and log_z is not null and n > 1").count()
         rows = lm.score(docs, counts, model).collect()
         assert np.allclose(sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows), sent, atol=1e-5)
+
+
+def test_answers_do_not_multiply_with_partitions(spark, monkeypatch):
+    """Sums travel packed: what the texts' questions bring back is no row per text and partition."""
+    docs = corpus(spark).repartition(3)
+    monkeypatch.setattr(lm, "HEAVY", 1)
+    counts, model = lm.fit(docs)
+    plain, made = type(docs).mapInArrow, {}
+
+    def counted(self, func, schema, *args, **more):
+        rows = made[func.__name__] = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for batch in func(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return plain(self, run, schema, *args, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    found = {}
+    for parts in (4, 48):
+        rows = lm.score(docs, counts, dataclasses.replace(model, parts=parts)).collect()
+        found[parts] = sorted((r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in rows)
+        blocks = -(-len(rows) // 16) + 3  # texts lie together by 16; 3: the last of each input partition
+        assert len(rows) < made["answer"].value <= len(rows) + 2 * parts * blocks
+    assert np.allclose(found[4], found[48], atol=1e-5)

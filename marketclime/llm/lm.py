@@ -54,6 +54,7 @@ END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)  # sta
 WORD_KIND, CELL_KIND, PAIR_KIND = 0, 1, 2
 DOC, ASK_WORD, ASK_PAIR, ASK_WEIGHT = 3, 4, 5, 6  # kinds of rows while scoring; a weight alone: the normaliser is known
 SUM_WORDS, SUM_PAIRS = 7, 8  # what a task's words and pairs add to the texts that asked
+PAIR_KINDS, SUM_KINDS = (PAIR_KIND, ASK_PAIR, ASK_WEIGHT), (SUM_WORDS, SUM_PAIRS)
 TABLE = 1 << 20  # distinct words a task holds before it hands them on
 PART_BYTES, PARTS_LEAST = 8 << 20, 8  # text per partition, fewest partitions
 BUCKETS, BUCKETS_PER_PART = 1024, 2  # a fixed number as long as it gives so many per partition
@@ -135,26 +136,41 @@ def partitions_for(docs: DataFrame) -> int:
 
 
 def buckets_for(parts: int) -> int:
-    return max(BUCKETS, BUCKETS_PER_PART * parts)
+    """A multiple of 256: a bucket tells one byte of its keys."""
+    return max(BUCKETS, -(-BUCKETS_PER_PART * parts // 256) * 256)
 
 
-def packed(kind: int, places: np.ndarray, buckets: int, keys: np.ndarray, *values: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row per bucket, in which ``places`` (hashes) put the keys, with the bytes of its keys and values.
+def _blend(kind: int, keys: np.ndarray) -> np.ndarray:
+    """A byte from the lower seven bytes of each key; of a pair, from its context and class alone."""
+    low = keys & np.uint64((1 << 56) - 1)
+    return mix(low >> np.uint64(26) if kind in PAIR_KINDS else low) & np.uint64(255)
 
-    Ascending ``rows`` go along as steps, in a column for their low byte and
+
+def bucket_of(kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key; pairs of one context and class lie together. Its low byte is the key's highest, blended."""
+    group = groups_of(keys) if kind in PAIR_KINDS else keys
+    more = (mix(group) >> np.uint64(8)) % np.uint64(buckets // 256)
+    return (more * np.uint64(256) + (keys >> np.uint64(56) ^ _blend(kind, keys))).astype(np.int32)
+
+
+def packed(kind: int, bucket: np.ndarray, buckets: int, keys: np.ndarray, *values: np.ndarray, rows: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row per bucket with the bytes of its keys and values.
+
+    The highest byte of a key is told by its bucket, so seven go along (all
+    eight of sums). Ascending ``rows`` go along as steps, in a column for their low byte and
     one for the rest, nearly all zero; the first step of a bucket counts from ``first_row``.
     """
-    bucket = (mix(places) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     found, firsts = np.unique(bucket[order], return_index=True)
     edges = np.append(firsts, keys.size)
 
     def column(array: np.ndarray) -> pa.Array:
-        offsets = (edges * array.itemsize).astype(np.int32)
+        offsets = (edges * array[:1].nbytes if array.size else edges).astype(np.int32)
         return pa.Array.from_buffers(pa.binary(), found.size, [None, pa.py_buffer(offsets), pa.py_buffer(array)])
 
     base = int(rows[0]) if rows is not None and rows.size else 0
-    columns = [column(v[order]) for v in (keys, *values)]
+    stored = keys if kind in SUM_KINDS else keys.view(np.uint8).reshape(-1, 8)[:, :7]
+    columns = [column(np.ascontiguousarray(v[order])) for v in (stored, *values)]
     if rows is not None:
         steps = np.diff(rows[order], prepend=base)
         steps[firsts] = rows[order][firsts] - base
@@ -172,10 +188,24 @@ def _values(own: list[pa.RecordBatch], column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column_bytes(b.column(column))[0].tobytes() for b in own), kind)
 
 
+def _keys(own: list[pa.RecordBatch], kind: int) -> np.ndarray:
+    """The keys of packed rows, whole again."""
+    if kind in SUM_KINDS or not own:
+        return _values(own, "keys", np.uint64)
+    stored = _values(own, "keys", np.uint8).reshape(-1, 7)
+    out = np.zeros((len(stored), 8), np.uint8)
+    out[:, :7] = stored
+    low = out.view(np.uint64).ravel()
+    sizes = np.concatenate([pc.binary_length(b.column("keys")).to_numpy(zero_copy_only=False) for b in own]).astype(np.int64) // 7
+    bucket = np.concatenate([b.column("bucket").to_numpy() for b in own]).astype(np.uint64)
+    top = np.repeat(bucket & np.uint64(255), sizes) ^ _blend(kind, low)
+    return top << np.uint64(56) | low
+
+
 def unpacked(batches: list[pa.RecordBatch], kind: int, *types: type) -> list[np.ndarray]:
     """Keys and values of all packed rows of a kind."""
     own = _of_kind(batches, kind)
-    return [_values(own, c, t) for c, t in zip(("keys", "a", "b"), (np.uint64, *types))]
+    return [_keys(own, kind), *(_values(own, c, t) for c, t in zip(("a", "b"), types))]
 
 
 def unpacked_questions(batches: list[pa.RecordBatch], kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,12 +215,7 @@ def unpacked_questions(batches: list[pa.RecordBatch], kind: int) -> tuple[np.nda
     sizes = np.concatenate([pc.binary_length(b.column("b")).to_numpy(zero_copy_only=False) for b in own] or [np.zeros(0)]).astype(np.int64)
     base = np.concatenate([b.column("first_row").to_numpy(zero_copy_only=False) for b in own] or [np.zeros(0, np.int64)])
     before = np.append(0, ends)[np.cumsum(sizes) - sizes]
-    return _values(own, "keys", np.uint64), ends + np.repeat(base - before, sizes), _values(own, "a", np.int32)
-
-
-def places_of(kind: int, keys: np.ndarray) -> np.ndarray:
-    """What the bucket of a key hangs on: pairs of one context and class lie together."""
-    return groups_of(keys) if kind == PAIR_KIND else keys
+    return _keys(own, kind), ends + np.repeat(base - before, sizes), _values(own, "a", np.int32)
 
 
 def corpus_counts(docs: DataFrame, parts: int) -> DataFrame:
@@ -205,7 +230,8 @@ def corpus_counts(docs: DataFrame, parts: int) -> DataFrame:
         words, pairs = Tally(TABLE), Tally(TABLE)
 
         def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return packed(kind, places_of(kind, key), buckets_for(parts), key, n)
+            buckets = buckets_for(parts)
+            return packed(kind, bucket_of(kind, key, buckets), buckets, key, n)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -439,7 +465,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 if parts:
                     key, row, times = (np.concatenate(x) for x in zip(*parts))
                     parts.clear()
-                    yield _wide(packed(kind, key if kind == ASK_WORD else groups_of(key), buckets, key, times, rows=row))
+                    yield _wide(packed(kind, bucket_of(kind, key, buckets), buckets, key, times, rows=row))
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -489,7 +515,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 key = own.column("key").to_numpy().view(np.uint64)
                 values = [own.column(c).to_numpy() for c in (("n",) if kind == WORD_KIND else ("weight", "log_z"))]
                 if key.size:
-                    yield _wide(packed(kind, places_of(kind, key), buckets, key, *values))
+                    yield _wide(packed(kind, bucket_of(kind, key, buckets), buckets, key, *values))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -551,21 +577,21 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     return summed.select("doc_id", "held_out", "n_tokens", "n_known", train, F.col("base").alias("base_score"), "score")
 
 
-def doc_places(rows: np.ndarray) -> np.ndarray:
-    """What the bucket of a text hangs on."""
-    return (rows >> DOC_BITS).astype(np.uint64)
+def doc_bucket(rows: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each text, by its number."""
+    return (mix((rows >> DOC_BITS).astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _packed_sums(kind: int, rows: np.ndarray, amounts: np.ndarray, known: np.ndarray, buckets: int) -> pa.RecordBatch:
     """The sums of each text that asked, packed as questions are: the amount's bits for keys, known words for times."""
     rows, place = np.unique(rows, return_inverse=True)
     sums, known = np.bincount(place, amounts, rows.size), np.bincount(place, known, rows.size)
-    return _wide(packed(kind, doc_places(rows), buckets, sums.view(np.uint64), known.astype(np.int32), rows=rows))
+    return _wide(packed(kind, doc_bucket(rows, buckets), buckets, sums.view(np.uint64), known.astype(np.int32), rows=rows))
 
 
 def _packed_docs(rows: np.ndarray, buckets: int) -> list[pa.Array]:
     """A row per document, dealt out by its number."""
-    bucket = (mix(doc_places(rows)) % np.uint64(buckets)).astype(np.int32)
+    bucket = doc_bucket(rows, buckets)
     kinds = pa.array(np.full(rows.size, DOC, np.int32))
     return [pa.array(bucket), kinds, pa.nulls(rows.size, pa.int64()), *[pa.nulls(rows.size, pa.binary())] * 4]
 

@@ -119,3 +119,21 @@ def test_answers_do_not_multiply_with_partitions(spark, monkeypatch):
         blocks = -(-len(rows) // 16) + 3  # texts lie together by 16; 3: the last of each input partition
         assert len(rows) < made["answer"].value <= len(rows) + 2 * parts * blocks
     assert np.allclose(found[4], found[48], atol=1e-5)
+
+
+def test_packed_keys_come_back_whole():
+    rng = np.random.default_rng(3)
+    for kind in (lm.WORD_KIND, lm.CELL_KIND, lm.PAIR_KIND, lm.ASK_WORD, lm.ASK_PAIR, lm.ASK_WEIGHT):
+        keys = np.arange(5000, dtype=np.uint64) if kind == lm.CELL_KIND else rng.integers(0, 2**64, 5000, dtype=np.uint64)
+        rows, order = np.sort(rng.integers(0, 2**40, 5000)), np.arange(5000, dtype=np.int32)
+        for buckets in (lm.buckets_for(1), lm.buckets_for(700)):
+            batch = lm.packed(kind, lm.bucket_of(kind, keys, buckets), buckets, keys, order, rows=rows)
+            assert key_bytes(batch) == 7 * keys.size
+            got, of_row, at = lm.unpacked_questions([batch], kind)
+            assert (got == keys[at]).all() and (of_row == rows[at]).all() and sorted(at) == order.tolist()
+    pairs = rng.integers(0, 2**38, 50, dtype=np.uint64).repeat(20) << np.uint64(26) | rng.integers(0, 2**26, 1000, dtype=np.uint64)
+    assert len(set(zip(lm.groups_of(pairs), lm.bucket_of(lm.PAIR_KIND, pairs, 1024)))) == 50  # contexts stay whole
+
+
+def key_bytes(batch):
+    return sum(len(x) for x in batch.column("keys").to_pylist())
